@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,3 +48,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/fluvia-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors, once for each context, so that their Python workers can import it."""
+    context = spark.sparkContext
+    if not getattr(context, "_fluvia_shipped", False):
+        package = Path(__file__).parent
+        target = os.path.join(tempfile.mkdtemp(prefix="fluvia-"), "fluvia.zip")
+        with zipfile.ZipFile(target, "w") as archive:
+            for file in sorted(package.rglob("*.py")):
+                archive.write(file, Path("fluvia") / file.relative_to(package))
+        context.addPyFile(target)
+        context._fluvia_shipped = True
+    return spark
