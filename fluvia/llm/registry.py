@@ -7,26 +7,53 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluvia.llm import bpe, line_dedup, simhash, warc
+from fluvia.llm import ann, audio, bpe, chat, line_dedup, packing, quality, sharding, simhash, warc
+from fluvia.session import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.ann_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(table(spark, sf_dir, "documents"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"), keep=["doc_id"])
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(table(spark, sf_dir, "conversations")).withColumnRenamed("conv", "conv_id")
+
+
+def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.audio_table(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("n_bytes"))
+    return sharding.extendible_shards(docs, size=F.col("n_bytes"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.warc_round_trip(table(spark, sf_dir, "pages"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -34,8 +61,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_ann": op2_ann,
     "op3_bpe": op3_bpe,
+    "op4_packing": op4_packing,
+    "op5_chat": op5_chat,
+    "op6_audio": op6_audio,
     "op7_line_dedup": op7_line_dedup,
+    "op8_quality": op8_quality,
+    "op9_sharding": op9_sharding,
     "op10_warc": op10_warc,
 }
 
@@ -52,6 +85,14 @@ marked AS (SELECT l.*, coalesce(l.doc_id > p.first, false) AS gone FROM lines l
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id, r
+""",
+    "op9_sharding": f"""
+WITH h AS (
+    SELECT doc_id, strlen(text) AS n_bytes, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS h FROM documents
+),
+s AS (SELECT d, h >> (60 - d) AS prefix, CAST(sum(coalesce(n_bytes, 0)) AS BIGINT) AS total FROM h, (SELECT CAST(range AS INTEGER) AS d FROM range(0, 41)) GROUP BY ALL),
+p AS (SELECT h.*, s.*, row_number() OVER (PARTITION BY doc_id ORDER BY d) AS rn FROM h, s WHERE h.h >> (60 - s.d) = s.prefix AND s.total <= {64 << 20})
+SELECT doc_id, n_bytes, d AS shard_depth, prefix AS shard_prefix, 0 AS shard_page, total AS shard_bytes FROM p WHERE rn = 1
 """,
     "op10_warc": r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
