@@ -1,12 +1,49 @@
-"""The corpus pipeline: quality, line dedup, near-dedup, packing."""
+"""The corpus pipeline: quality filter, line dedup, SimHash near-dedup, best-fit packing."""
 
 from __future__ import annotations
 
-from fluvia.llm import line_dedup
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from fluvia.llm import line_dedup, packing, quality, simhash
+from fluvia.session import materialize, ship
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts. It learns from the labels of this input's documents alone."""
+    ship(spark)
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model).where("predicted = 1").select(docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier document has; n_chars follows the text."""
+    ship(spark)
+    kept = line_dedup.line_dedup(docs).select(docs.columns)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose five-word shingles are similar by 0.8 or more."""
+    ship(spark)
+    return simhash.drop_near_duplicates(docs, width=5, similarity=0.8).select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in sequences of 2048 tokens."""
+    ship(spark)
+    return packing.pack(docs, keep=["doc_id"])
+
+
+STAGES = [("quality", keep_good), ("line_dedup", drop_repeated_lines), ("simhash", drop_near_copies), ("packing", pack_sequences)]
+
+#: Tokens, fingerprints and a fitted model are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn, each written as Parquet in the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -336,7 +336,7 @@ def bpe_encode(docs: DataFrame, *, text_col: str = "text", tokenizer: str | None
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *outputs])
 
     schema = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(n, _SPARK[n]) for n in outputs)])
-    return docs.select(docs[text_col].cast("string"), *keep).mapInArrow(encode, schema)
+    return docs.select(docs[text_col].cast("string").alias("__text"), *keep).mapInArrow(encode, schema)
 
 
 def bpe_decode(encoded: DataFrame, *, ids_col: str = "ids", output: str = "decoded", tokenizer: str | None = None) -> DataFrame:

@@ -197,7 +197,7 @@ def parse_transcripts(df: DataFrame, model: Model, *, text_col: str = "transcrip
 
     turns = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("text", T.StringType())]))
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("turns", turns), T.StructField("rendered", T.StringType())])
-    return df.select(df[text_col].cast("string"), *keep).mapInArrow(run, schema)
+    return df.select(df[text_col].cast("string").alias("__text"), *keep).mapInArrow(run, schema)
 
 
 def format_conversations(conversations: DataFrame, **columns: str) -> DataFrame:

@@ -237,7 +237,7 @@ def pieces(docs: DataFrame, *, keep: list[str], text_col: str = "text", size: in
 
     fields = [docs.schema[c] for c in keep] + [T.StructField("piece", T.IntegerType())] + [T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32")]
     fields += [T.StructField("ids", T.BinaryType())] * with_ids + [T.StructField("uid", T.LongType())]
-    return docs.select(docs[text_col].cast("string"), *keep).mapInArrow(run, T.StructType(fields))
+    return docs.select(docs[text_col].cast("string").alias("__text"), *keep).mapInArrow(run, T.StructType(fields))
 
 
 OWN = ("piece", "start", "length", "ids_crc32", "ids", "uid", "sequence_id", "offset")

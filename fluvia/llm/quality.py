@@ -157,5 +157,5 @@ def score(docs: DataFrame, model: Model, *, keep: list[str] | None = None, id_co
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found), pa.array((found >= THRESHOLD).astype(np.int32))], names=[*keep, "__held", "score", "predicted"])
 
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("__held", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    scored = docs.select(docs[text_col].cast("string"), *keep, held_out(id_col).alias("__held")).mapInArrow(run, schema)
+    scored = docs.select(docs[text_col].cast("string").alias("__text"), *keep, held_out(id_col).alias("__held")).mapInArrow(run, schema)
     return scored.select(*keep, F.col("__held").alias("held_out"), "score", "predicted")

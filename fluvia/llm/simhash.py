@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, *, text_col: str = "text", keep: list[str], wi
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found.view(np.int64))], names=[*keep, "fp"])
 
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("fp", T.LongType())])
-    return docs.select(docs[text_col].cast("string"), *keep).mapInArrow(run, schema)
+    return docs.select(docs[text_col].cast("string").alias("__text"), *keep).mapInArrow(run, schema)
 
 
 def distance(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
@@ -205,13 +205,16 @@ def shard_links(points: np.ndarray, home: np.ndarray, radius: int) -> tuple[np.n
     return points[moved], points[roots[moved]]
 
 
-def hamming_links(distinct: DataFrame, *, radius: int = 3, shard_rows: int = 16_384, sample_rows: int = 8192) -> DataFrame:
-    """Links (u, v), u and v fingerprints, that join all of ``fp`` within ``radius`` bits: a forest for each shard.
+def hamming_links(distinct: DataFrame, *, radius: int = 3, shard_rows: int = 8192, sample_rows: int = 8192) -> DataFrame:
+    """Links (view, u, v), u and v fingerprints of one view, that join all of ``fp`` within ``radius`` bits.
 
-    The tree's upper levels come from the ``sample_rows`` fingerprints of smallest hash (at most 64 KB on the driver);
-    their number follows the row count, so that a shard keeps about ``shard_rows`` rows at home.
+    Each shard gives a forest. ``view`` (0 if the input has none) parts fingerprints that are never compared; all views
+    share one tree. Its upper levels come from the ``sample_rows`` fingerprints of smallest hash (at most 64 KB on the
+    driver); their number follows the row count, so that a shard keeps about ``shard_rows`` rows at home.
     """
-    n = distinct.count()
+    if "view" not in distinct.columns:
+        distinct = distinct.withColumn("view", F.lit(0))
+    n = distinct.groupBy("view").count().agg(F.max("count")).first()[0]
     few = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample_rows).collect()
     sample = np.array([r["fp"] for r in few], dtype=np.int64).view(np.uint64)
     depth = max(0, min(int(np.ceil(np.log2(max(n, 1) / shard_rows))), int(np.log2(sample_rows)) - 3))
@@ -219,16 +222,17 @@ def hamming_links(distinct: DataFrame, *, radius: int = 3, shard_rows: int = 16_
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points = batch.column(0).to_numpy().view(np.uint64)
+            points = batch.column(1).to_numpy().view(np.uint64)
             index, shard, home = tree.route(points, radius)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(points[index].view(np.int64)), pa.array(home)], names=["shard", "fp", "home"])
+            view = batch.column(0).to_numpy()[index]
+            yield pa.RecordBatch.from_arrays([pa.array(view), pa.array(shard), pa.array(points[index].view(np.int64)), pa.array(home)], names=["view", "shard", "fp", "home"])
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         u, v = shard_links(pdf["fp"].to_numpy(dtype=np.int64).view(np.uint64), pdf["home"].to_numpy(dtype=bool), radius)
-        return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
+        return pd.DataFrame({"view": pdf["view"].iloc[0], "u": u.view(np.int64), "v": v.view(np.int64)})
 
-    routed = distinct.select("fp").mapInArrow(route, "shard int, fp bigint, home boolean")
-    return routed.groupBy("shard").applyInPandas(search, "u bigint, v bigint")
+    routed = distinct.select("view", "fp").mapInArrow(route, "view int, shard int, fp bigint, home boolean")
+    return routed.groupBy("view", "shard").applyInPandas(search, "view int, u bigint, v bigint")
 
 
 def components(links: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
@@ -263,8 +267,125 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
     fps = materialize(fingerprints(docs, text_col=text_col, keep=[id_col], width=width).withColumnRenamed(id_col, "id"), "fingerprints")
     distinct = materialize(fps.groupBy("fp").agg(F.min("id").alias("least")), "fingerprint-classes")
-    roots = components(hamming_links(distinct, radius=radius), "fingerprint-links")
+    roots = components(hamming_links(distinct, radius=radius).select("u", "v"), "fingerprint-links")
     named = distinct.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = named.join(least, "root").select("fp", "component_id")
     return fps.join(classes, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+VIEWS = 12
+VIEW_SHINGLES = 3
+_MULTIPLIERS = np.array([(2 * i + 1) * 0x9E3779B97F4A7C15 % (1 << 64) | 1 for i in range(1, VIEWS + 1)], dtype=np.uint64)
+
+
+def view_fingerprints(hashes: np.ndarray) -> np.ndarray:
+    """VIEWS fingerprints, each of the VIEW_SHINGLES different shingles that come first in an order of its own.
+
+    Texts whose shingle sets have the similarity J agree in a view with a probability of about J ** VIEW_SHINGLES.
+    """
+    if not len(hashes):
+        return np.zeros(VIEWS, dtype=np.uint64)
+    some = np.unique(hashes)
+    mixed = (some ^ (some >> np.uint64(29)))[None, :] * _MULTIPLIERS[:, None]
+    mixed ^= mixed >> np.uint64(32)
+    if len(some) > VIEW_SHINGLES:
+        first = np.argpartition(mixed, VIEW_SHINGLES - 1, axis=1)[:, :VIEW_SHINGLES]
+        mixed = np.take_along_axis(mixed, first, axis=1)
+    bits = np.unpackbits(np.ascontiguousarray(mixed.astype("<u8")).view(np.uint8).reshape(VIEWS, -1, 8), axis=2, bitorder="little")
+    ones = bits.sum(axis=1, dtype=np.int64)
+    return np.packbits(2 * ones > mixed.shape[1], axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(id, norm, views): a 128-bit hash of the normalised words, and the fingerprint of all shingles with those of the views."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            norms, views = [], []
+            for text in batch.column(1).to_pylist():
+                norms.append(xxhash.xxh3_128_digest(b" ".join((text or "").encode().lower().split())))
+                hashes = shingle_hashes(text, width)
+                views.append(np.concatenate([np.array([fingerprint(hashes)], dtype=np.uint64), view_fingerprints(hashes)]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(norms, pa.binary()), pa.array(views, pa.list_(pa.int64()))], names=["id", "norm", "views"])
+
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("norm", T.BinaryType()), T.StructField("views", T.ArrayType(T.LongType()))])
+    return docs.where(F.col(id_col).isNotNull()).select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
+
+
+def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(id, shingles): the different shingle hashes of the texts of ``ids``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+
+    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id", "left_semi")
+    return some.mapInArrow(run, T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("shingles", T.ArrayType(T.LongType()))])).dropDuplicates(["id"])
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) with ``close``: whether the Jaccard similarity of their shingle sets reaches the bound."""
+    left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", (both >= similarity * (F.size("sa") + F.size("sb") - both)).alias("close"))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 3, depth: int = 3) -> DataFrame:
+    """(id, group) of every different id: the smallest id of its group of near copies, its own if it has none.
+
+    Two texts link if the Jaccard similarity of their ``width``-word shingle sets is ``similarity`` or more. Texts of
+    equal normalised words are one. Candidates are texts whose fingerprints, of all shingles or of one of VIEWS samples,
+    lie within ``radius`` bits in the vantage-point trees. Of each set of candidates, all are compared exactly with the
+    one of smallest id. Those that are not close to it form sets anew, by a further view up to ``depth`` views, then
+    without it, until none is left: so a set costs its size, and a common passage never makes all pairs.
+
+    Null or blank text equals other blank text. Null ids take no part. Rows of equal id are one document, whose smallest
+    normalised hash counts. An empty table gives an empty result.
+    """
+    table = materialize(sketches(docs, id_col, text_col, width), "sketches")
+    one = table.groupBy("id").agg(F.min(F.struct("norm", "views")).alias("s")).select("id", "s.norm", "s.views")
+    classes = one.groupBy("norm").agg(F.min(F.struct("id", "views")).alias("r"))
+    reps = materialize(classes.select("norm", "r.id", "r.views"), "sketch-classes")
+    seen = reps.select("id", F.posexplode("views").alias("view", "fp"))
+    fps = materialize(seen.groupBy("view", "fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "view-fingerprints")
+    links = hamming_links(fps.select("view", "fp"), radius=radius)
+    groups = fps.select("view", "fp", F.col("fp").alias("g"), "n").union(fps.join(links.select("view", F.col("u").alias("fp"), F.col("v").alias("g")), ["view", "fp"]).select("view", "fp", "g", "n")).distinct()
+    whole = groups.groupBy("view", "g").agg(F.sum("n").alias("size")).where("size > 1").select("view", "g")
+    members = seen.join(groups.join(whole, ["view", "g"]).select("view", "fp", "g"), ["view", "fp"]).select(F.xxhash64("view", "g").alias("key"), "id").distinct()
+
+    found: DataFrame | None = None
+    sets: DataFrame | None = None
+    level = 0
+    while True:
+        members = materialize(members, "candidates")
+        pivots = members.groupBy("key").agg(F.min("id").alias("pivot"))
+        paired = members.join(pivots, "key").where("id <> pivot")
+        if level == 0:
+            ids = members.select("id").distinct()
+            sets = materialize(shingle_sets(docs, ids, id_col, text_col, width), "shingle-sets")
+        elif members.isEmpty():
+            break
+        checked = materialize(similar_pairs(paired.select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), sets, similarity), "checked")
+        close = checked.where("close").select("a", "b")
+        found = close if found is None else found.union(close)
+        left = paired.join(checked.where("not close").select(F.col("a").alias("id"), F.col("b").alias("pivot")), ["id", "pivot"]).select("key", "id")
+        level += 1
+        if level < depth:
+            left = left.join(reps.select("id", "views"), "id").select("id", "key", F.posexplode("views").alias("view", "fp")).select(F.xxhash64("key", "view", "fp").alias("key"), "id").distinct()
+        several = left.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        members = left.join(several, "key", "left_semi")
+    roots = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")), "near-copies")
+    named = reps.select("norm", "id").join(roots.withColumnRenamed("u", "id"), "id", "left").select("norm", F.coalesce("root", "id").alias("group"))
+    return one.select("id", "norm").join(named, "norm").select("id", "group")
+
+
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """The input's rows without near copies: one document of each group of ``near_duplicates`` stays, that of smallest id.
+
+    Of rows of equal id one stays. Rows with a null id all stay.
+    """
+    kept = near_duplicates(docs, id_col=id_col, **options).where(F.col("id") == F.col("group")).select(F.col("id").alias(id_col))
+    named = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    return named.unionByName(docs.where(F.col(id_col).isNull()))
