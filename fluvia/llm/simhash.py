@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -252,7 +252,8 @@ def components(links: DataFrame, name: str = "components", most_rounds: int = 60
         large = materialize(large, name)
         small = large.join(minima(large), "u")
         edges = materialize(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct(), name)
-        if edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty() and edges.groupBy("u").count().where("count > 1").isEmpty():
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty():  # all stars
             return edges.select("u", F.col("v").alias("root"))
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
@@ -276,6 +277,7 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 VIEWS = 12
 VIEW_SHINGLES = 3
+PIVOTS = 64
 _MULTIPLIERS = np.array([(2 * i + 1) * 0x9E3779B97F4A7C15 % (1 << 64) | 1 for i in range(1, VIEWS + 1)], dtype=np.uint64)
 
 
@@ -298,18 +300,20 @@ def view_fingerprints(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, norm, views): a 128-bit hash of the normalised words, and the fingerprint of all shingles with those of the views."""
+    """(id, norm, views, size): a 128-bit hash of the normalised words, the fingerprint of all shingles with those of the
+    views, and how many different shingles there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            norms, views = [], []
+            norms, views, sizes = [], [], []
             for text in batch.column(1).to_pylist():
                 norms.append(xxhash.xxh3_128_digest(b" ".join((text or "").encode().lower().split())))
                 hashes = shingle_hashes(text, width)
+                sizes.append(len(np.unique(hashes)))
                 views.append(np.concatenate([np.array([fingerprint(hashes)], dtype=np.uint64), view_fingerprints(hashes)]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(norms, pa.binary()), pa.array(views, pa.list_(pa.int64()))], names=["id", "norm", "views"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(norms, pa.binary()), pa.array(views, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], names=["id", "norm", "views", "size"])
 
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("norm", T.BinaryType()), T.StructField("views", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("norm", T.BinaryType()), T.StructField("views", T.ArrayType(T.LongType())), T.StructField("size", T.LongType())])
     return docs.where(F.col(id_col).isNotNull()).select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
@@ -338,44 +342,54 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Two texts link if the Jaccard similarity of their ``width``-word shingle sets is ``similarity`` or more. Texts of
     equal normalised words are one. Candidates are texts whose fingerprints, of all shingles or of one of VIEWS samples,
     lie within ``radius`` bits in the vantage-point trees. Of each set of candidates, all are compared exactly with the
-    one of smallest id. Those that are not close to it form sets anew, by a further view up to ``depth`` views, then
-    without it, until none is left: so a set costs its size, and a common passage never makes all pairs.
+    one of smallest id. Those that are not close to it form sets anew, each by one more view, up to ``depth`` views; what
+    is then left is compared with PIVOTS texts of its set, then with four times as many, until none is left. So a set costs its size, and a
+    common passage never makes all pairs.
 
     Null or blank text equals other blank text. Null ids take no part. Rows of equal id are one document, whose smallest
     normalised hash counts. An empty table gives an empty result.
     """
     table = materialize(sketches(docs, id_col, text_col, width), "sketches")
-    one = table.groupBy("id").agg(F.min(F.struct("norm", "views")).alias("s")).select("id", "s.norm", "s.views")
-    classes = one.groupBy("norm").agg(F.min(F.struct("id", "views")).alias("r"))
-    reps = materialize(classes.select("norm", "r.id", "r.views"), "sketch-classes")
-    seen = reps.select("id", F.posexplode("views").alias("view", "fp"))
+    one = table.groupBy("id").agg(F.min(F.struct("norm", "views", "size")).alias("s")).select("id", "s.*")
+    classes = one.groupBy("norm").agg(F.min(F.struct("id", "views", "size")).alias("r"))
+    reps = materialize(classes.select("norm", "r.*"), "sketch-classes")
+    seen = reps.select("id", "size", F.posexplode("views").alias("view", "fp"))
     fps = materialize(seen.groupBy("view", "fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "view-fingerprints")
     links = hamming_links(fps.select("view", "fp"), radius=radius)
     groups = fps.select("view", "fp", F.col("fp").alias("g"), "n").union(fps.join(links.select("view", F.col("u").alias("fp"), F.col("v").alias("g")), ["view", "fp"]).select("view", "fp", "g", "n")).distinct()
     whole = groups.groupBy("view", "g").agg(F.sum("n").alias("size")).where("size > 1").select("view", "g")
-    members = seen.join(groups.join(whole, ["view", "g"]).select("view", "fp", "g"), ["view", "fp"]).select(F.xxhash64("view", "g").alias("key"), "id").distinct()
+    members = seen.join(groups.join(whole, ["view", "g"]).select("view", "fp", "g"), ["view", "fp"]).select(F.xxhash64("view", "g").alias("key"), "id", F.array("view").alias("used"), "size").distinct()
 
-    found: DataFrame | None = None
-    sets: DataFrame | None = None
-    level = 0
+    level, found, sets = 0, None, None
     while True:
         members = materialize(members, "candidates")
-        pivots = members.groupBy("key").agg(F.min("id").alias("pivot"))
-        paired = members.join(pivots, "key").where("id <> pivot")
         if level == 0:
-            ids = members.select("id").distinct()
-            sets = materialize(shingle_sets(docs, ids, id_col, text_col, width), "shingle-sets")
+            sets = materialize(shingle_sets(docs, members.select("id").distinct(), id_col, text_col, width), "shingle-sets")
         elif members.isEmpty():
             break
-        checked = materialize(similar_pairs(paired.select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), sets, similarity), "checked")
-        close = checked.where("close").select("a", "b")
-        found = close if found is None else found.union(close)
-        left = paired.join(checked.where("not close").select(F.col("a").alias("id"), F.col("b").alias("pivot")), ["id", "pivot"]).select("key", "id")
+        if level < depth:
+            pivots = members.groupBy("key").agg(F.min(F.struct("id", "size")).alias("p")).select("key", F.col("p.id").alias("pivot"), F.col("p.size").alias("pivot_size"))
+            many = 1
+        else:
+            many = PIVOTS * 4 ** (level - depth)
+            first = F.row_number().over(Window.partitionBy("key").orderBy("id"))
+            pivots = members.select("key", F.col("id").alias("pivot"), F.col("size").alias("pivot_size"), first.alias("k")).where(F.col("k") <= many).drop("k")
+        # a set under ``similarity`` times the other's size cannot be close to it
+        fits = F.least("size", "pivot_size") >= similarity * F.greatest("size", "pivot_size")
+        paired = members.join(pivots, "key").where((F.col("id") > F.col("pivot")) & fits).select("key", "id", "pivot")
+        checked = materialize(similar_pairs(paired.select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), sets, similarity).where("close").select("a", "b"), "close")
+        found = checked if found is None else found.union(checked)
+        linked = paired.join(checked.withColumnsRenamed({"a": "id", "b": "pivot"}), ["id", "pivot"], "left_semi").select("key", "id").distinct()
+        # the pivots and what is close to one are done; the others go on
+        left = members.join(linked, ["key", "id"], "left_anti").join(pivots.select("key", F.col("pivot").alias("id")), ["key", "id"], "left_anti")
         level += 1
         if level < depth:
-            left = left.join(reps.select("id", "views"), "id").select("id", "key", F.posexplode("views").alias("view", "fp")).select(F.xxhash64("key", "view", "fp").alias("key"), "id").distinct()
+            views = left.join(reps.select("id", "views"), "id").select("id", "size", "views", "used", F.explode(F.sequence(F.lit(0), F.lit(VIEWS))).alias("view")).where(~F.array_contains("used", F.col("view")))
+            used = F.array_sort(F.array_append("used", F.col("view")))
+            left = views.select(F.xxhash64(used, F.transform(used, lambda v: F.get("views", v))).alias("key"), "id", used.alias("used"), "size").distinct()
         several = left.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-        members = left.join(several, "key", "left_semi")
+        members = left.join(several, "key", "left_semi").select("key", "id", "used", "size")
+
     roots = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")), "near-copies")
     named = reps.select("norm", "id").join(roots.withColumnRenamed("u", "id"), "id", "left").select("norm", F.coalesce("root", "id").alias("group"))
     return one.select("id", "norm").join(named, "norm").select("id", "group")
