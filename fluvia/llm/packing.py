@@ -208,7 +208,7 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, *, keep: list[str], text_col: str = "text", size: int = 2048, end_id: int = 0, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
-    """The kept columns and each document's pieces: piece, start, length, ids_crc32, ids (binary) if asked for, uid."""
+    """The kept columns and each document's pieces: piece, start, length, ids_crc32, ids (binary) if asked for, __uid."""
     shared = docs.sparkSession.sparkContext.broadcast(read_spec(tokenizer))
     more = ["ids"] if with_ids else []
 
@@ -231,16 +231,16 @@ def pieces(docs: DataFrame, *, keep: list[str], text_col: str = "text", size: in
             number, start, length = np.array(spans, dtype=np.int64).reshape(-1, 3).T
             yield pa.RecordBatch.from_arrays(
                 [*(c.take(index) for c in batch.columns[1:]), pa.array(number.astype(np.int32)), pa.array(start), pa.array(length), pa.array(sums, pa.int64()), *([pa.array(ids, pa.binary())] if with_ids else []), pa.array(uid + np.arange(len(rows)))],
-                names=[*keep, "piece", "start", "length", "ids_crc32", *more, "uid"],
+                names=[*keep, "piece", "start", "length", "ids_crc32", *more, "__uid"],
             )
             uid += len(rows)
 
     fields = [docs.schema[c] for c in keep] + [T.StructField("piece", T.IntegerType())] + [T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32")]
-    fields += [T.StructField("ids", T.BinaryType())] * with_ids + [T.StructField("uid", T.LongType())]
+    fields += [T.StructField("ids", T.BinaryType())] * with_ids + [T.StructField("__uid", T.LongType())]
     return docs.select(docs[text_col].cast("string").alias("__text"), *keep).mapInArrow(run, T.StructType(fields))
 
 
-OWN = ("piece", "start", "length", "ids_crc32", "ids", "uid", "sequence_id", "offset")
+OWN = ("piece", "start", "length", "ids_crc32", "ids", "__uid", "sequence_id", "offset")
 
 
 def pack(docs: DataFrame, *, keep: list[str] | None = None, text_col: str = "text", size: int = 2048, end_id: int = 0, tokenizer: str | None = None, with_ids: bool = False, most_patterns: int = 20_000) -> DataFrame:
@@ -254,18 +254,18 @@ def pack(docs: DataFrame, *, keep: list[str] | None = None, text_col: str = "tex
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in OWN and c != text_col]
     cutup = materialize(pieces(docs, keep=keep, text_col=text_col, size=size, end_id=end_id, tokenizer=tokenizer, with_ids=with_ids), "pieces")
-    buckets = cutup.groupBy("length", F.shiftright("uid", 33).alias("bucket")).count()
+    buckets = cutup.groupBy("length", F.shiftright("__uid", 33).alias("__bucket")).count()
     counts = np.zeros(size + 1, dtype=np.int64)
     for row in buckets.groupBy("length").agg(F.sum("count").alias("n")).collect():  # at most ``size`` rows
         counts[row["length"]] = row["n"]
     shared = docs.sparkSession.sparkContext.broadcast(places(plan(counts, size, most_patterns)))
 
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = buckets.select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    numbered = cutup.withColumn("bucket", F.shiftright("uid", 33)).join(firsts, ["length", "bucket"])
-    within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("uid"))
+    before = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = buckets.select("length", "__bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__first"))
+    numbered = cutup.withColumn("__bucket", F.shiftright("__uid", 33)).join(firsts, ["length", "__bucket"])
+    within = F.row_number().over(Window.partitionBy("length", "__bucket").orderBy("__uid"))
     columns = [*keep, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
-    numbered = numbered.select(*columns, (F.col("first") + within - 1).alias("number"))
+    numbered = numbered.select(*columns, (F.col("__first") + within - 1).alias("__number"))
     at = len(columns)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -79,9 +79,9 @@ def extendible_shards(df: DataFrame, *, key_col: str = "doc_id", size: Column |
     """
     size = F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))) if size is None else size
     df = df.drop(*(set(OWN) - {key_col}))
-    names = df.columns
-    rows = df.select("*", key_hash(F.col(key_col)).alias("h"), F.coalesce(size.cast("long"), F.lit(0)).alias("bytes")) if not {"h", "bytes"} & set(names) else df.select(F.struct("*").alias("__row"), key_hash(F.col(key_col)).alias("h"), F.coalesce(size.cast("long"), F.lit(0)).alias("bytes"))
-    keep = names if "__row" not in rows.columns else ["__row"]
+    # the input's columns travel as one, so that their names cannot clash
+    rows = df.select(F.struct("*").alias("__row"), key_hash(F.col(key_col)).alias("h"), F.coalesce(size.cast("long"), F.lit(0)).alias("bytes"))
+    keep = ["__row"]
     total = rows.agg(F.sum("bytes")).first()[0] or 0
     base, upto = 0, min(BITS, max(1, total // max_bytes).bit_length() + step_bits)
     done: DataFrame | None = None
@@ -97,4 +97,4 @@ def extendible_shards(df: DataFrame, *, key_col: str = "doc_id", size: Column |
             done = done.union(overflow(rows, max_bytes).select(*keep, "shard_depth", "shard_prefix", "shard_page", "shard_bytes"))
             break
         base, upto = upto + 1, min(BITS, upto + 1 + 3 * step_bits)
-    return done if keep == names else done.select("__row.*", *OWN)
+    return done.select("__row.*", *OWN)
