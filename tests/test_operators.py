@@ -195,3 +195,16 @@ def test_score_parts_reach_100(spark):
 def test_empty_tables(spark):
     none = days(spark, [])
     assert flow.annual_stats(none).count() == 0 and extremes.annual_maxima(daily.complete_grid(none)).count() == 0 and extremes.low_flows(none).count() == 0
+
+
+def test_display(spark):
+    from fluvia.operators import display
+
+    r = spark.createDataFrame([("1", x / 100) for x in range(101)] + [("2", 1.0)] * 9 + [("3", 1.0)], "k string, r double")
+    assert [(x["k"], round(x["lower"], 6), round(x["upper"], 6)) for x in display.residual_axis_limits(r, "r", ["k"]).collect()] == [("1", 0.0, 0.99)]
+    data, use = display.acquisition_scope(F.lit(True), F.lit(False), F.lit(None).cast("boolean"))
+    assert tuple(spark.range(1).select(data, use).first()) == ("Parcial — sem cotas e curvas-chave",) * 2
+    s = spark.createDataFrame([("1", True, False), ("2", False, True), ("3", False, False)], "station_code string, a boolean, b boolean")
+    got = display.visible(s, {"a": F.col("a"), "b": F.col("b")}, ["b", "a"]).collect()
+    assert [(x["station_code"], x["visible_layer"]) for x in got] == [("1", "a"), ("2", "b")]
+    assert spark.range(1).select(display.layer_priority(display.map_layer(F.lit(True), F.lit(True), F.lit(True), F.lit(False)))).first()[0] == 4
