@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -214,7 +214,7 @@ def hamming_links(distinct: DataFrame, *, radius: int = 3, shard_rows: int = 819
     """
     if "view" not in distinct.columns:
         distinct = distinct.withColumn("view", F.lit(0))
-    n = distinct.groupBy("view").count().agg(F.max("count")).first()[0]
+    n = distinct.groupBy("view").count().agg(F.max("count")).first()[0] or 0
     few = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample_rows).collect()
     sample = np.array([r["fp"] for r in few], dtype=np.int64).view(np.uint64)
     depth = max(0, min(int(np.ceil(np.log2(max(n, 1) / shard_rows))), int(np.log2(sample_rows)) - 3))
@@ -275,9 +275,11 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return fps.join(classes, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-VIEWS = 12
+VIEWS = 16
 VIEW_SHINGLES = 3
-PIVOTS = 64
+#: Rows and shingles of one block of a set of candidates that are compared with each other.
+BLOCK_ROWS = 1024
+BLOCK_SHINGLES = 1_000_000
 _MULTIPLIERS = np.array([(2 * i + 1) * 0x9E3779B97F4A7C15 % (1 << 64) | 1 for i in range(1, VIEWS + 1)], dtype=np.uint64)
 
 
@@ -336,15 +338,49 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return pairs.join(left, "a").join(right, "b").select("a", "b", (both >= similarity * (F.size("sa") + F.size("sb") - both)).alias("close"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 3, depth: int = 3) -> DataFrame:
+def close_links(sets: list[np.ndarray], block: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, first row) of a spanning forest of the links between shingle sets of the similarity or more.
+
+    Shared shingles are counted by products of 0/1 matrices, over some columns at a time. Rows of two blocks are linked
+    across them only, as each block is compared within itself elsewhere.
+    """
+    sizes = np.array([len(x) for x in sets], dtype=np.float32)
+    rows = np.repeat(np.arange(len(sets)), sizes.astype(np.int64))
+    values, column, counts = np.unique(np.concatenate([np.asarray(x, dtype=np.int64) for x in sets]) if len(rows) else np.empty(0, np.int64), return_inverse=True, return_counts=True)
+    kept = counts[column] > 1
+    number = np.cumsum(counts > 1) - 1
+    rows, column = rows[kept], number[column[kept]]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    both = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        a, b = np.searchsorted(column, (lo, lo + 2048))
+        part = np.zeros((len(sets), 2048), dtype=np.float32)
+        part[rows[a:b], column[a:b] - lo] = 1
+        both += part @ part.T
+    near = both >= np.float32(similarity) * (sizes[:, None] + sizes[None, :] - both) - 1e-3
+    if block.min() != block.max():
+        near &= block[:, None] != block[None, :]
+    forest = Forest(len(sets))
+    for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+        i, j = int(i), int(j)
+        shared, total = int(both[i, j]), int(sizes[i] + sizes[j])
+        if shared >= similarity * (total - shared):
+            forest.join(i, j)
+    found = np.array([forest.find(i) for i in range(len(sets))], dtype=np.int64)
+    moved = np.flatnonzero(found != np.arange(len(sets)))
+    return moved, found[moved]
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
     """(id, group) of every different id: the smallest id of its group of near copies, its own if it has none.
 
     Two texts link if the Jaccard similarity of their ``width``-word shingle sets is ``similarity`` or more. Texts of
     equal normalised words are one. Candidates are texts whose fingerprints, of all shingles or of one of VIEWS samples,
     lie within ``radius`` bits in the vantage-point trees. Of each set of candidates, all are compared exactly with the
-    one of smallest id. Those that are not close to it form sets anew, each by one more view, up to ``depth`` views; what
-    is then left is compared with PIVOTS texts of its set, then with four times as many, until none is left. So a set costs its size, and a
-    common passage never makes all pairs.
+    one of smallest id. Where that leaves some apart, the set's texts are parted by a second view, and within those sets
+    all are compared, in blocks of bounded size that hand on a forest of their links: a common passage or a large group
+    of copies never makes a row for each pair.
 
     Null or blank text equals other blank text. Null ids take no part. Rows of equal id are one document, whose smallest
     normalised hash counts. An empty table gives an empty result.
@@ -360,37 +396,34 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     whole = groups.groupBy("view", "g").agg(F.sum("n").alias("size")).where("size > 1").select("view", "g")
     members = seen.join(groups.join(whole, ["view", "g"]).select("view", "fp", "g"), ["view", "fp"]).select(F.xxhash64("view", "g").alias("key"), "id", F.array("view").alias("used"), "size").distinct()
 
-    level, found, sets = 0, None, None
-    while True:
-        members = materialize(members, "candidates")
-        if level == 0:
-            sets = materialize(shingle_sets(docs, members.select("id").distinct(), id_col, text_col, width), "shingle-sets")
-        elif members.isEmpty():
-            break
-        if level < depth:
-            pivots = members.groupBy("key").agg(F.min(F.struct("id", "size")).alias("p")).select("key", F.col("p.id").alias("pivot"), F.col("p.size").alias("pivot_size"))
-            many = 1
-        else:
-            many = PIVOTS * 4 ** (level - depth)
-            first = F.row_number().over(Window.partitionBy("key").orderBy("id"))
-            pivots = members.select("key", F.col("id").alias("pivot"), F.col("size").alias("pivot_size"), first.alias("k")).where(F.col("k") <= many).drop("k")
-        # a set under ``similarity`` times the other's size cannot be close to it
-        fits = F.least("size", "pivot_size") >= similarity * F.greatest("size", "pivot_size")
-        paired = members.join(pivots, "key").where((F.col("id") > F.col("pivot")) & fits).select("key", "id", "pivot")
-        checked = materialize(similar_pairs(paired.select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), sets, similarity).where("close").select("a", "b"), "close")
-        found = checked if found is None else found.union(checked)
-        linked = paired.join(checked.withColumnsRenamed({"a": "id", "b": "pivot"}), ["id", "pivot"], "left_semi").select("key", "id").distinct()
-        # the pivots and what is close to one are done; the others go on
-        left = members.join(linked, ["key", "id"], "left_anti").join(pivots.select("key", F.col("pivot").alias("id")), ["key", "id"], "left_anti")
-        level += 1
-        if level < depth:
-            views = left.join(reps.select("id", "views"), "id").select("id", "size", "views", "used", F.explode(F.sequence(F.lit(0), F.lit(VIEWS))).alias("view")).where(~F.array_contains("used", F.col("view")))
-            used = F.array_sort(F.array_append("used", F.col("view")))
-            left = views.select(F.xxhash64(used, F.transform(used, lambda v: F.get("views", v))).alias("key"), "id", used.alias("used"), "size").distinct()
-        several = left.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-        members = left.join(several, "key", "left_semi").select("key", "id", "used", "size")
-
-    roots = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")), "near-copies")
+    members = materialize(members, "candidates")
+    sets = materialize(shingle_sets(docs, members.select("id").distinct(), id_col, text_col, width), "shingle-sets")
+
+    # each with the text of smallest id of its set; one set under ``similarity`` times the other's size is never close
+    pivots = members.groupBy("key").agg(F.min(F.struct("id", "size")).alias("p")).select("key", F.col("p.id").alias("pivot"), F.col("p.size").alias("pivot_size"))
+    fits = F.least("size", "pivot_size") >= similarity * F.greatest("size", "pivot_size")
+    paired = members.join(pivots, "key").select("key", "id", "pivot", fits.alias("fits"))
+    asked = paired.where("fits and id > pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+    close = materialize(similar_pairs(asked, sets, similarity).where("close").select(F.col("a").alias("u"), F.col("b").alias("v")), "close")
+
+    # sets that are not all close to their pivot go on: by two agreeing views, all within are compared
+    apart = paired.where("id > pivot").join(close.withColumnsRenamed({"u": "id", "v": "pivot"}), ["id", "pivot"], "left_anti").select("key", "id").distinct()
+    rest = members.join(apart.withColumn("apart", F.lit(1)), ["key", "id"], "left").join(apart.select("key").distinct(), "key", "left_semi").join(reps.select("id", "views"), "id")
+    rest = rest.select("id", "size", "views", F.coalesce("apart", F.lit(0)).alias("apart"), F.explode(F.transform(F.filter(F.sequence(F.lit(0), F.lit(VIEWS)), lambda v: ~F.array_contains("used", v)), lambda v: F.array_sort(F.array_append("used", v)))).alias("two"))
+    rest = rest.groupBy(F.xxhash64("two", F.transform("two", lambda v: F.get("views", v))).alias("key"), "id", "size").agg(F.max("apart").alias("apart"))
+    sizes = rest.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.max("apart").alias("apart")).where("n > 1 and apart = 1")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("words") / BLOCK_SHINGLES)).cast("int")
+    rest = rest.select("key", "id").join(sizes.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rest = rest.select("key", "id", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("key", "id", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    kind = docs.schema[id_col].dataType
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", ignore_index=True)
+        u, v = close_links(list(pdf["shingles"]), pdf["block"].to_numpy(), similarity)
+        return pd.DataFrame({"u": pdf["id"].to_numpy()[u], "v": pdf["id"].to_numpy()[v]})
+
+    more = rest.join(sets, "id").groupBy("key", "lo", "hi").applyInPandas(compare, T.StructType([T.StructField("u", kind), T.StructField("v", kind)]))
+    roots = components(close.union(more), "near-copies")
     named = reps.select("norm", "id").join(roots.withColumnRenamed("u", "id"), "id", "left").select("norm", F.coalesce("root", "id").alias("group"))
     return one.select("id", "norm").join(named, "norm").select("id", "group")
 
