@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -109,3 +110,35 @@ def value_stats(has: Column, value: Column | str, prefix: str) -> list[Column]:
     """Days, days with a value, missing, failure percentage, and mean, least and greatest finite value."""
     n, k, v = F.count("*"), F.count_if(has), finite(value)
     return [n.alias("days_in_period"), k.alias("days_with_value"), (n - k).alias("days_missing"), (100 * (n - k) / n).alias("failure_pct"), F.avg(v).alias(f"{prefix}_mean"), F.min(v).alias(f"{prefix}_min"), F.max(v).alias(f"{prefix}_max")]
+
+
+@dataclass
+class SeriesResult:
+    """A set of daily records with where they came from; the variables are filters of one table."""
+
+    source_type: str
+    source_label: str
+    records: DataFrame
+    notes: list[str] = field(default_factory=list)
+
+    def of(self, variable: str) -> DataFrame:
+        return self.records.where(F.col("variable") == variable)
+
+    def station_codes(self) -> DataFrame:
+        return self.records.select("station_code").distinct()
+
+    def require(self, variable: str) -> SeriesResult:
+        """Raises where the variable has no records."""
+        if self.of(variable).isEmpty():
+            raise ValueError(f"the source has no {variable} records")
+        return self
+
+
+def combine(results: Sequence[SeriesResult]) -> SeriesResult:
+    """The records of several results, with all notes; none at all raises."""
+    if not results:
+        raise ValueError("there is nothing to combine")
+    records = results[0].records
+    for r in results[1:]:
+        records = records.unionByName(r.records, allowMissingColumns=True)
+    return SeriesResult("combined", " + ".join(dict.fromkeys(r.source_label for r in results)), records, [n for r in results for n in r.notes])

@@ -123,3 +123,14 @@ SELECT measurement_id, round(w + 2 * d, 6) AS wetted_perimeter_m, round(area / (
 def hydraulic_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = view(spark, sf_dir, "measurements").withColumns({"wetted_area_m2": F.col("discharge_m3s") / 2, "width_m": 20 + F.col("stage_cm") / 10, "mean_depth_m": 1 + F.col("stage_cm") / 100})
     return curves.hydraulic_geometry(m).select("measurement_id", "wetted_perimeter_m", "hydraulic_radius_m", "section_factor")
+
+
+@query(
+    f"""WITH {cte("measurements")},
+a AS (SELECT station_code, count(*) AS n FROM (SELECT station_code FROM measurements GROUP BY station_code, round_even(stage_cm, 0) HAVING count(*) >= 5 AND max(discharge_m3s) > min(discharge_m3s)) GROUP BY 1),
+b AS (SELECT station_code, count(*) AS n FROM (SELECT station_code FROM measurements GROUP BY station_code, round_even(discharge_m3s, 2) HAVING count(*) >= 5 AND max(stage_cm) > min(stage_cm)) GROUP BY 1)
+SELECT m.station_code, count(*) AS n_measurements, min(measurement_datetime) AS date_start, max(measurement_datetime) AS date_end, count(*) FILTER (WHERE stage_cm <= 0) AS n_stage_le_zero, count(*) FILTER (WHERE discharge_m3s <= 0) AS n_discharge_le_zero,
+       coalesce(any_value(a.n), 0) AS n_repeated_stage_groups, coalesce(any_value(b.n), 0) AS n_repeated_discharge_groups, 'fallback_app_diagnostics' AS diagnostic_source FROM measurements m LEFT JOIN a USING (station_code) LEFT JOIN b USING (station_code) GROUP BY 1"""
+)
+def fallback_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.fallback_summary(view(spark, sf_dir, "measurements"))

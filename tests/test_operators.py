@@ -208,3 +208,14 @@ def test_display(spark):
     got = display.visible(s, {"a": F.col("a"), "b": F.col("b")}, ["b", "a"]).collect()
     assert [(x["station_code"], x["visible_layer"]) for x in got] == [("1", "a"), ("2", "b")]
     assert spark.range(1).select(display.layer_priority(display.map_layer(F.lit(True), F.lit(True), F.lit(True), F.lit(False)))).first()[0] == 4
+
+
+def test_results_combine(spark):
+    rows = days(spark, [1, 2], name="value").withColumn("variable", F.lit("discharge"))
+    both = daily.combine([daily.SeriesResult("ana_xml", "a", rows, ["x"]), daily.SeriesResult("ana_json", "b", rows.withColumn("variable", F.lit("stage")))])
+    assert both.of("stage").count() == 2 and both.source_label == "a + b" and both.notes == ["x"]
+    assert daily.single_station(both.records, "001") == "1"
+    with pytest.raises(ValueError):
+        both.require("rainfall")
+    with pytest.raises(ValueError):
+        daily.combine([])
