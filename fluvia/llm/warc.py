@@ -82,18 +82,22 @@ def parse_headers(head: bytes) -> dict[str, str]:
 
 def inflate(data: bytes, chunk: int = 1 << 20) -> Iterator[bytes]:
     """The content of a gzip file of one or many members, in bounded pieces."""
-    rest = memoryview(data)
-    while len(rest):
+    at = 0
+    while at < len(data):
         stream = zlib.decompressobj(31)
         while not stream.eof:
-            piece = stream.decompress(stream.unconsumed_tail or rest[:chunk], chunk)
-            if not stream.unconsumed_tail:
-                used = min(chunk, len(rest)) - len(stream.unused_data)
-                if not used and not piece and not stream.eof:
-                    raise ValueError("a gzip stream ends early")
-                rest = rest[used:]
-            if piece:
-                yield piece
+            fed = data[at : at + chunk]
+            at += len(fed)
+            piece = stream.decompress(fed, chunk)
+            while piece or stream.unconsumed_tail:
+                if piece:
+                    yield piece
+                if stream.eof:
+                    break
+                piece = stream.decompress(stream.unconsumed_tail, chunk)
+            if not fed and not stream.eof:
+                raise ValueError("a gzip stream ends early")
+        at -= len(stream.unused_data)  # they belong to the next member
 
 
 def mark_revisits(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
@@ -116,7 +120,8 @@ def write_warc(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
     """
     body = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     source = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), body.alias("body"))
-    marks = mark_revisits(pages, id_col=id_col, html_col=html_col, min_bytes=min_bytes)
+    # written first, so that the size of the marks is known: few of them spare the pages' shuffle
+    marks = materialize(mark_revisits(pages, id_col=id_col, html_col=html_col, min_bytes=min_bytes), "warc-revisits")
     marks = marks.select(F.col("page").alias("m_page"), F.col("sha").alias("m_sha"), "first")
     rows = source.join(marks, F.expr("page <=> m_page and sha1(body) = m_sha"), "left").select("page", "url", "body", "first", F.col("m_sha").isNotNull().alias("revisit"))
 
