@@ -38,7 +38,7 @@ BINDINGS: dict[str, tuple[str, list[str], str]] = {
             "CAST(p_size * 4 AS DOUBLE) AS stage_min_cm", "CAST(p_size * 4 + 180 AS DOUBLE) AS stage_max_cm", "CAST(5 + p_size AS DOUBLE) AS coefficient_a", "CAST(p_partkey % 5 AS DOUBLE) * 0.2 AS coefficient_h0", "1.2 + CAST(p_size % 10 AS DOUBLE) * 0.1 AS coefficient_n",
             "CAST(1 + p_partkey % 2 AS INT) AS consistency_level", "CASE WHEN p_size % 3 = 0 THEN '01/0' || CAST(1 + p_size % 3 AS STRING) ELSE CAST(1 + p_size % 3 AS STRING) END AS segment_number_raw",
         ],
-        "p_partkey <= 60",
+        "true",
     ),
     "stations": (
         "supplier",
