@@ -280,7 +280,7 @@ VIEW_SHINGLES = 3
 #: Rows and shingles of one block of a set of candidates that are compared with each other.
 BLOCK_ROWS = 1024
 BLOCK_SHINGLES = 1_000_000
-_MULTIPLIERS = np.array([(2 * i + 1) * 0x9E3779B97F4A7C15 % (1 << 64) | 1 for i in range(1, VIEWS + 1)], dtype=np.uint64)
+_SEEDS = np.array([i * 0x9E3779B97F4A7C15 % (1 << 64) for i in range(1, VIEWS + 1)], dtype=np.uint64)
 
 
 def view_fingerprints(hashes: np.ndarray) -> np.ndarray:
@@ -291,8 +291,11 @@ def view_fingerprints(hashes: np.ndarray) -> np.ndarray:
     if not len(hashes):
         return np.zeros(VIEWS, dtype=np.uint64)
     some = np.unique(hashes)
-    mixed = (some ^ (some >> np.uint64(29)))[None, :] * _MULTIPLIERS[:, None]
-    mixed ^= mixed >> np.uint64(32)
+    # splitmix64's finaliser, seeded by the view: multiples of one constant order small values alike in all views
+    mixed = some[None, :] + _SEEDS[:, None]
+    mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    mixed ^= mixed >> np.uint64(31)
     if len(some) > VIEW_SHINGLES:
         first = np.argpartition(mixed, VIEW_SHINGLES - 1, axis=1)[:, :VIEW_SHINGLES]
         mixed = np.take_along_axis(mixed, first, axis=1)
