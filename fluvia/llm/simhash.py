@@ -1,11 +1,13 @@
 """SimHash near-dedup through vantage-point trees.
 
-Fingerprints are partitioned by Hamming distance: the upper levels of a vantage-point tree, built on a bounded sample of
-the fingerprints, split all of them into shards. A fingerprint lives in one shard and also visits each shard across a
-boundary that its ball of the search radius reaches (triangle inequality), so every pair within the radius meets in
-exactly one shard. There a local tree finds the exact pairs and keeps a spanning forest of them; shards never hand on
-all pairs of a group. The forests are joined to components by alternating star contractions, which take rounds
-logarithmic in the components' size.
+Fingerprints are partitioned by Hamming distance. Two fingerprints within the radius differ by at most half of it in
+their upper or in their lower 32 bits, so there is a vantage-point tree for each half, searched with half the radius: its
+boundary bands are a third as wide as those of one tree over 64 bits, and visits grow far more slowly with the table. The
+upper levels of both trees, built on a bounded sample, split all fingerprints into shards. A fingerprint lives in one
+shard of each tree and also visits each shard across a boundary that its ball reaches (triangle inequality), so every
+pair within the radius meets in a shard. There local trees find the exact pairs by all 64 bits and keep a spanning forest
+of them; shards never hand on all pairs of a group. The forests are joined to components by alternating star
+contractions, which take rounds logarithmic in the components' size.
 """
 
 from __future__ import annotations
@@ -149,113 +151,145 @@ class Forest:
             self.up[max(i, j)] = min(i, j)
 
 
-def connect(close: np.ndarray, rows: np.ndarray, columns: np.ndarray, forest: Forest) -> None:
-    """Joins the rows and columns that a block of a closeness matrix links."""
-    links = np.count_nonzero(close)
-    if links > 4 * (len(rows) + len(columns)):
-        # dense: spread the smallest label until nothing changes, then join each to its label
-        r, c = np.arange(len(rows)), len(rows) + np.arange(len(columns))
-        while True:
-            c2 = np.minimum(c, np.where(close, r[:, None], len(rows) + len(columns)).min(axis=0))
-            r2 = np.minimum(r, np.where(close, c2[None, :], len(rows) + len(columns)).min(axis=1))
-            if np.array_equal(r, r2) and np.array_equal(c, c2):
-                break
-            r, c = r2, c2
-        both = np.concatenate([rows, columns])
-        for i, label in zip(both.tolist(), both[np.concatenate([r, c])].tolist(), strict=True):
-            forest.join(i, label)
-        return
-    for i, j in zip(*np.nonzero(close), strict=True):
-        forest.join(int(rows[i]), int(columns[j]))
-
-
-def link(points: np.ndarray, home: np.ndarray, guest: np.ndarray, radius: int, forest: Forest, block: int = 512) -> None:
-    """Joins all pairs within the radius of which at least one is at home; a local vantage-point tree prunes the rest."""
-    stack = [(home, guest)]
+def sweep(points: np.ndarray, members: np.ndarray, radius: int, forest: Forest, batch: int = 128, block: int = 8192) -> None:
+    """Joins all pairs of the members within the radius: a search that compares what it reaches with what is unreached.
+
+    Each member is compared with the unreached ones only, so a dense group shrinks at once, whatever its size.
+    """
+    unreached, reached = members, members[:0]
+    while len(unreached):
+        if not len(reached):
+            reached, unreached = unreached[:1], unreached[1:]
+        some, reached = reached[:batch], reached[batch:]
+        kept, new = [], [reached]
+        for lo in range(0, len(unreached), block):
+            part = unreached[lo : lo + block]
+            close = np.bitwise_count(points[some][:, None] ^ points[part][None, :]) <= radius
+            found = close.any(axis=0)
+            if found.any():
+                new.append(part[found])
+                for i, j in zip(some[close[:, found].argmax(axis=0)].tolist(), new[-1].tolist(), strict=True):
+                    forest.join(i, j)
+                part = part[~found]
+            kept.append(part)
+        reached, unreached = np.concatenate(new), np.concatenate(kept) if kept else unreached
+
+
+def dense(points: np.ndarray, radius: int, share: float = 0.01) -> bool:
+    """Whether evenly placed points have over the given share of others within the radius, or lie mostly so near that no tree prunes."""
+    some = points[np.linspace(0, len(points) - 1, 16).astype(int)]
+    apart = np.bitwise_count(some[:, None] ^ points[np.linspace(0, len(points) - 1, min(len(points), 2048)).astype(int)][None, :])
+    return bool(np.mean(apart <= radius) > share + 1 / min(len(points), 2048) or np.median(apart) <= 6 * radius)
+
+
+def link(points: np.ndarray, keys: np.ndarray, home: np.ndarray, guest: np.ndarray, reach: int, radius: int, forest: Forest, block: int = 512) -> None:
+    """Joins all pairs within the radius, and within ``reach`` by their keys, of which at least one is at home.
+
+    A local vantage-point tree over the keys prunes; where keys are all alike, one over the points does.
+    """
+    stack = [(home, guest, keys, reach)]
     while stack:
-        home, guest = stack.pop()
-        if not len(home) or len(home) + len(guest) < 2:
+        home, guest, by, near = stack.pop()
+        both = np.concatenate([home, guest])
+        if not len(home) or len(both) < 2:
             continue
-        choice = split(points[home], 4) if len(home) > block else None
+        if dense(points[both], radius):
+            sweep(points, both, radius, forest)
+            continue
+        choice = split(by[home], 4) if len(home) > block else None
+        if choice is None and len(home) > block and by is not points:
+            by, near = points, radius
+            choice = split(by[home], 4)
         if choice is None:
-            both = np.concatenate([home, guest])
             for lo in range(0, len(home), block):
                 rows = home[lo : lo + block]
                 for at in range(lo, len(both), 4 * block):
                     columns = both[at : at + 4 * block]
-                    close = np.bitwise_count(points[rows][:, None] ^ points[columns][None, :]) <= radius
-                    if np.count_nonzero(close) > (len(rows) if at == lo else 0):
-                        connect(close, rows, columns, forest)
+                    for i, j in zip(*np.nonzero(np.bitwise_count(points[rows][:, None] ^ points[columns][None, :]) <= radius), strict=True):
+                        forest.join(int(rows[i]), int(columns[j]))
             continue
         vantage, limit, d = choice
-        g = distance(points[guest], vantage)
-        edge = home[(d <= limit) & (d > limit - radius)]
-        stack.append((home[d <= limit], guest[g <= limit + radius]))
-        stack.append((home[d > limit], np.concatenate([guest[g > limit - radius], edge])))
+        g = distance(by[guest], vantage)
+        edge = home[(d <= limit) & (d > limit - near)]
+        stack.append((home[d <= limit], guest[g <= limit + near], by, near))
+        stack.append((home[d > limit], np.concatenate([guest[g > limit - near], edge]), by, near))
+
+
+HALVES = 2
 
 
-def shard_links(points: np.ndarray, home: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(point, root) of the points that the shard joins to another: a star for each group."""
+def half(points: np.ndarray, number: int) -> np.ndarray:
+    """The upper (0) or lower (1) 32 bits."""
+    return points >> np.uint64(32) if number == 0 else points & np.uint64(0xFFFFFFFF)
+
+
+def shard_links(points: np.ndarray, home: np.ndarray, number: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(point, root) of the points that the shard of one half's tree joins to another: a star for each group."""
     order = np.lexsort((np.arange(len(points)), points))
     points, home = points[order], home[order]
     forest = Forest(len(points))
-    link(points, np.flatnonzero(home), np.flatnonzero(~home), radius, forest)
+    link(points, half(points, number), np.flatnonzero(home), np.flatnonzero(~home), radius // HALVES, radius, forest)
     roots = np.array([forest.find(i) for i in range(len(points))], dtype=np.int64)
     moved = np.flatnonzero(roots != np.arange(len(points)))
     return points[moved], points[roots[moved]]
 
 
-def hamming_links(distinct: DataFrame, *, radius: int = 3, shard_rows: int = 8192, sample_rows: int = 8192) -> DataFrame:
-    """Links (view, u, v), u and v fingerprints of one view, that join all of ``fp`` within ``radius`` bits.
+def sample_fingerprints(distinct: DataFrame, n: int, least: int = 8192, most: int = 1 << 20) -> np.ndarray:
+    """About n / 64 of the fingerprints, by their hash, ``least`` and at most ``most`` (8 MB) of them or so."""
+    wanted = min(most, max(least, n // 64))
+    few = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(max(1, n // wanted))) == 0).select("fp").toPandas()["fp"]
+    return np.sort(few.to_numpy(dtype=np.int64).view(np.uint64))
+
 
-    Each shard gives a forest. ``view`` (0 if the input has none) parts fingerprints that are never compared; all views
-    share one tree. Its upper levels come from the ``sample_rows`` fingerprints of smallest hash (at most 64 KB on the
-    driver); their number follows the row count, so that a shard keeps about ``shard_rows`` rows at home.
+def hamming_links(distinct: DataFrame, *, radius: int = 3, shard_rows: int = 8192) -> DataFrame:
+    """Links (u, v) of fingerprints that join all of ``fp`` within ``radius`` bits; each shard gives a forest.
+
+    The trees' upper levels come from a sample of the fingerprints that grows with them up to about 8 MB on the driver;
+    the number of levels follows the row count, so that a shard keeps about ``shard_rows`` rows at home. Beyond 10^9
+    fingerprints the sample is not larger and shards grow instead, by 8 bytes a row. Fingerprints that are all alike in a
+    half cannot be told apart by its tree and share a shard, which the local search parts by the other half.
     """
-    if "view" not in distinct.columns:
-        distinct = distinct.withColumn("view", F.lit(0))
-    n = distinct.groupBy("view").count().agg(F.max("count")).first()[0] or 0
-    few = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample_rows).collect()
-    sample = np.array([r["fp"] for r in few], dtype=np.int64).view(np.uint64)
-    depth = max(0, min(int(np.ceil(np.log2(max(n, 1) / shard_rows))), int(np.log2(sample_rows)) - 3))
-    tree = Tree(sample, depth)
+    n = distinct.count()
+    sample = sample_fingerprints(distinct, n)
+    depth = max(0, int(np.ceil(np.log2(max(n, 1) / shard_rows))))
+    trees = [Tree(half(sample, i), depth) for i in range(HALVES)]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points = batch.column(1).to_numpy().view(np.uint64)
-            index, shard, home = tree.route(points, radius)
-            view = batch.column(0).to_numpy()[index]
-            yield pa.RecordBatch.from_arrays([pa.array(view), pa.array(shard), pa.array(points[index].view(np.int64)), pa.array(home)], names=["view", "shard", "fp", "home"])
+            points = batch.column(0).to_numpy().view(np.uint64)
+            for number, tree in enumerate(trees):
+                index, shard, home = tree.route(half(points, number), radius // HALVES)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(index), number, dtype=np.int32)), pa.array(shard), pa.array(points[index].view(np.int64)), pa.array(home)], names=["half", "shard", "fp", "home"])
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        u, v = shard_links(pdf["fp"].to_numpy(dtype=np.int64).view(np.uint64), pdf["home"].to_numpy(dtype=bool), radius)
-        return pd.DataFrame({"view": pdf["view"].iloc[0], "u": u.view(np.int64), "v": v.view(np.int64)})
+        u, v = shard_links(pdf["fp"].to_numpy(dtype=np.int64).view(np.uint64), pdf["home"].to_numpy(dtype=bool), int(pdf["half"].iloc[0]), radius)
+        return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    routed = distinct.select("view", "fp").mapInArrow(route, "view int, shard int, fp bigint, home boolean")
-    return routed.groupBy("view", "shard").applyInPandas(search, "view int, u bigint, v bigint")
+    routed = distinct.select("fp").mapInArrow(route, "half int, shard int, fp bigint, home boolean")
+    return routed.groupBy("half", "shard").applyInPandas(search, "u bigint, v bigint")
 
 
-def components(links: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, name: str = "components") -> DataFrame:
     """(u, root) of every node that has a link, but for the roots: root is the smallest node that u reaches.
 
-    Large-star and small-star steps alternate until all links are stars. Each round is cut off by a written table; a
-    node with many links is a key of partial aggregates and of a join, never a group in one task.
+    Large-star and small-star steps alternate until all links are stars. Each round is cut off by a written table. A
+    node with many links is a key of partial aggregates and of a join whose both sides are plain shuffles, which adaptive
+    execution splits; it is never a group in one task. No links give no rows.
     """
 
     def minima(pairs: DataFrame) -> DataFrame:
         return pairs.groupBy("u").agg(F.min("v").alias("m"))
 
     edges = materialize(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
-    for _ in range(most_rounds):
+    while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(minima(both).select("u", F.least("u", "m").alias("m")), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(materialize(minima(both).select("u", F.least("u", "m").alias("m")), name), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialize(large, name)
-        small = large.join(minima(large), "u")
+        small = large.join(materialize(minima(large), name), "u")
         edges = materialize(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct(), name)
         ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
         if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty():  # all stars
             return edges.select("u", F.col("v").alias("root"))
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
 def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
@@ -268,9 +302,9 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
     fps = materialize(fingerprints(docs, text_col=text_col, keep=[id_col], width=width).withColumnRenamed(id_col, "id"), "fingerprints")
     distinct = materialize(fps.groupBy("fp").agg(F.min("id").alias("least")), "fingerprint-classes")
-    roots = components(hamming_links(distinct, radius=radius).select("u", "v"), "fingerprint-links")
+    roots = components(hamming_links(distinct.select("fp"), radius=radius), "fingerprint-links")
     named = distinct.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = materialize(named.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")  # both sides of the join are then plain shuffles
     classes = named.join(least, "root").select("fp", "component_id")
     return fps.join(classes, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -278,30 +312,32 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 VIEWS = 16
 VIEW_SHINGLES = 3
 #: Rows and shingles of one block of a set of candidates that are compared with each other.
-BLOCK_ROWS = 1024
-BLOCK_SHINGLES = 1_000_000
+BLOCK_ROWS = 2048
+BLOCK_SHINGLES = 500_000
 _SEEDS = np.array([i * 0x9E3779B97F4A7C15 % (1 << 64) for i in range(1, VIEWS + 1)], dtype=np.uint64)
 
 
 def view_fingerprints(hashes: np.ndarray) -> np.ndarray:
     """VIEWS fingerprints, each of the VIEW_SHINGLES different shingles that come first in an order of its own.
 
-    Texts whose shingle sets have the similarity J agree in a view with a probability of about J ** VIEW_SHINGLES.
+    Texts whose shingle sets have the similarity J agree in a view with a probability of about J ** VIEW_SHINGLES. Long
+    texts are mixed in parts, of which each hands on its first shingles. No hashes give zeros.
     """
     if not len(hashes):
         return np.zeros(VIEWS, dtype=np.uint64)
     some = np.unique(hashes)
-    # splitmix64's finaliser, seeded by the view: multiples of one constant order small values alike in all views
-    mixed = some[None, :] + _SEEDS[:, None]
-    mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    mixed ^= mixed >> np.uint64(31)
-    if len(some) > VIEW_SHINGLES:
-        first = np.argpartition(mixed, VIEW_SHINGLES - 1, axis=1)[:, :VIEW_SHINGLES]
-        mixed = np.take_along_axis(mixed, first, axis=1)
-    bits = np.unpackbits(np.ascontiguousarray(mixed.astype("<u8")).view(np.uint8).reshape(VIEWS, -1, 8), axis=2, bitorder="little")
+    firsts = np.empty((VIEWS, 0), dtype=np.uint64)
+    for lo in range(0, len(some), 1 << 14):
+        # splitmix64's finaliser, seeded by the view: multiples of one constant order small values alike in all views
+        mixed = some[None, lo : lo + (1 << 14)] + _SEEDS[:, None]
+        mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        mixed ^= mixed >> np.uint64(31)
+        mixed = np.concatenate([firsts, mixed], axis=1)
+        firsts = np.partition(mixed, VIEW_SHINGLES - 1, axis=1)[:, :VIEW_SHINGLES] if mixed.shape[1] > VIEW_SHINGLES else mixed
+    bits = np.unpackbits(np.ascontiguousarray(firsts.astype("<u8")).view(np.uint8).reshape(VIEWS, -1, 8), axis=2, bitorder="little")
     ones = bits.sum(axis=1, dtype=np.int64)
-    return np.packbits(2 * ones > mixed.shape[1], axis=1, bitorder="little").view("<u8")[:, 0]
+    return np.packbits(2 * ones > firsts.shape[1], axis=1, bitorder="little").view("<u8")[:, 0]
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -341,35 +377,47 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return pairs.join(left, "a").join(right, "b").select("a", "b", (both >= similarity * (F.size("sa") + F.size("sb") - both)).alias("close"))
 
 
-def close_links(sets: list[np.ndarray], block: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, first row) of a spanning forest of the links between shingle sets of the similarity or more.
+def close_links(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, first row) of a spanning forest of all links between sorted shingle sets of the similarity or more.
 
-    Shared shingles are counted by products of 0/1 matrices, over some columns at a time. Rows of two blocks are linked
-    across them only, as each block is compared within itself elsewhere.
+    Sets of the similarity share a shingle among the rarest of each (as many as the bound allows them to differ in, and
+    one more), so an inverted index of those gives the candidates: a passage that all sets hold is in few of them. Each
+    set reached is compared with unreached ones only. Empty sets have no links.
     """
-    sizes = np.array([len(x) for x in sets], dtype=np.float32)
-    rows = np.repeat(np.arange(len(sets)), sizes.astype(np.int64))
-    values, column, counts = np.unique(np.concatenate([np.asarray(x, dtype=np.int64) for x in sets]) if len(rows) else np.empty(0, np.int64), return_inverse=True, return_counts=True)
-    kept = counts[column] > 1
-    number = np.cumsum(counts > 1) - 1
-    rows, column = rows[kept], number[column[kept]]
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    rows = np.repeat(np.arange(len(sets)), sizes)
+    values = np.concatenate([np.asarray(x, dtype=np.int64) for x in sets]) if len(rows) else np.empty(0, np.int64)
+    _, column, counts = np.unique(values, return_inverse=True, return_counts=True)
+    order = np.lexsort((column, counts[column], rows))
+    column = column[order]  # rows are in order before and after
+    place = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    prefix = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
+    held = (place < prefix[rows]) & (counts[column] > 1)
+    rows, column = rows[held], column[held]
     order = np.argsort(column, kind="stable")
-    rows, column = rows[order], column[order]
-    both = np.zeros((len(sets), len(sets)), dtype=np.float32)
-    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
-        a, b = np.searchsorted(column, (lo, lo + 2048))
-        part = np.zeros((len(sets), 2048), dtype=np.float32)
-        part[rows[a:b], column[a:b] - lo] = 1
-        both += part @ part.T
-    near = both >= np.float32(similarity) * (sizes[:, None] + sizes[None, :] - both) - 1e-3
-    if block.min() != block.max():
-        near &= block[:, None] != block[None, :]
+    postings, column_of = rows[order], column[order]
+    starts = np.searchsorted(column_of, column)  # of each entry's posting list
+    ends = np.searchsorted(column_of, column, side="right")
+    first = np.searchsorted(rows, np.arange(len(sets) + 1))
+
     forest = Forest(len(sets))
-    for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
-        i, j = int(i), int(j)
-        shared, total = int(both[i, j]), int(sizes[i] + sizes[j])
-        if shared >= similarity * (total - shared):
-            forest.join(i, j)
+    open_ = np.ones(len(sets), dtype=bool)
+    for seed in range(len(sets)):
+        if not open_[seed]:
+            continue
+        open_[seed] = False
+        reached = [seed]
+        while reached:
+            i = reached.pop()
+            near = [x[open_[x]] for a, b in zip(starts[first[i] : first[i + 1]].tolist(), ends[first[i] : first[i + 1]].tolist(), strict=True) if len(x := postings[a:b]) > 1]
+            near = np.unique(np.concatenate(near)) if near else np.empty(0, np.int64)
+            near = near[np.minimum(sizes[near], sizes[i]) >= similarity * np.maximum(sizes[near], sizes[i]) - 1e-9]
+            for j in near.tolist():
+                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if shared >= similarity * (int(sizes[i] + sizes[j]) - shared):
+                    forest.join(i, j)
+                    open_[j] = False
+                    reached.append(j)
     found = np.array([forest.find(i) for i in range(len(sets))], dtype=np.int64)
     moved = np.flatnonzero(found != np.arange(len(sets)))
     return moved, found[moved]
@@ -379,11 +427,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """(id, group) of every different id: the smallest id of its group of near copies, its own if it has none.
 
     Two texts link if the Jaccard similarity of their ``width``-word shingle sets is ``similarity`` or more. Texts of
-    equal normalised words are one. Candidates are texts whose fingerprints, of all shingles or of one of VIEWS samples,
-    lie within ``radius`` bits in the vantage-point trees. Of each set of candidates, all are compared exactly with the
-    one of smallest id. Where that leaves some apart, the set's texts are parted by a second view, and within those sets
-    all are compared, in blocks of bounded size that hand on a forest of their links: a common passage or a large group
-    of copies never makes a row for each pair.
+    equal normalised words are one. Candidates are texts whose fingerprints of all shingles lie within ``radius`` bits,
+    by the vantage-point trees, or whose fingerprints of one of VIEWS samples of shingles are equal. Of each set of
+    candidates, all are compared exactly with the one of smallest id. Where that leaves some apart, the set's texts are
+    parted by a second view, and within those sets an inverted index finds all links, in blocks of bounded size that hand
+    on a forest of them: a common passage or a large group of copies never makes a row for each pair.
 
     Null or blank text equals other blank text. Null ids take no part. Rows of equal id are one document, whose smallest
     normalised hash counts. An empty table gives an empty result.
@@ -393,17 +441,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = one.groupBy("norm").agg(F.min(F.struct("id", "views", "size")).alias("r"))
     reps = materialize(classes.select("norm", "r.*"), "sketch-classes")
     seen = reps.select("id", "size", F.posexplode("views").alias("view", "fp"))
-    fps = materialize(seen.groupBy("view", "fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "view-fingerprints")
-    links = hamming_links(fps.select("view", "fp"), radius=radius)
-    groups = fps.select("view", "fp", F.col("fp").alias("g"), "n").union(fps.join(links.select("view", F.col("u").alias("fp"), F.col("v").alias("g")), ["view", "fp"]).select("view", "fp", "g", "n")).distinct()
-    whole = groups.groupBy("view", "g").agg(F.sum("n").alias("size")).where("size > 1").select("view", "g")
-    members = seen.join(groups.join(whole, ["view", "g"]).select("view", "fp", "g"), ["view", "fp"]).select(F.xxhash64("view", "g").alias("key"), "id", F.array("view").alias("used"), "size").distinct()
+    # samples of similar texts are equal or far apart; the fingerprints of all shingles go through the trees
+    whole = materialize(seen.where("view = 0").groupBy("fp").agg(F.count("*").alias("n")), "view-fingerprints")
+    links = hamming_links(whole.select("fp"), radius=radius)
+    groups = whole.select("fp", F.col("fp").alias("g"), "n").union(whole.join(links.select(F.col("u").alias("fp"), F.col("v").alias("g")), "fp").select("fp", "g", "n")).distinct()
+    several = groups.groupBy("g").agg(F.sum("n").alias("size")).where("size > 1").select("g")
+    groups = materialize(groups.join(several, "g").select("fp", "g"), "view-groups")
+    near = seen.where("view = 0").join(groups, "fp").select("view", "g", "id", "size")
+    equal = materialize(seen.where("view > 0").groupBy("view", "fp").count().where("count > 1").select("view", "fp"), "view-classes")
+    same = seen.where("view > 0").join(equal, ["view", "fp"]).select("view", F.col("fp").alias("g"), "id", "size")
+    members = near.union(same).select(F.xxhash64("view", "g").alias("key"), "id", F.array("view").alias("used"), "size").distinct()
 
     members = materialize(members, "candidates")
     sets = materialize(shingle_sets(docs, members.select("id").distinct(), id_col, text_col, width), "shingle-sets")
 
     # each with the text of smallest id of its set; one set under ``similarity`` times the other's size is never close
-    pivots = members.groupBy("key").agg(F.min(F.struct("id", "size")).alias("p")).select("key", F.col("p.id").alias("pivot"), F.col("p.size").alias("pivot_size"))
+    pivots = materialize(members.groupBy("key").agg(F.min(F.struct("id", "size")).alias("p")).select("key", F.col("p.id").alias("pivot"), F.col("p.size").alias("pivot_size")), "pivots")
     fits = F.least("size", "pivot_size") >= similarity * F.greatest("size", "pivot_size")
     paired = members.join(pivots, "key").select("key", "id", "pivot", fits.alias("fits"))
     asked = paired.where("fits and id > pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
@@ -417,12 +470,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sizes = rest.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.max("apart").alias("apart")).where("n > 1 and apart = 1")
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("words") / BLOCK_SHINGLES)).cast("int")
     rest = rest.select("key", "id").join(sizes.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rest = rest.select("key", "id", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("key", "id", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    rest = rest.select("key", "id", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("key", "id", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     kind = docs.schema[id_col].dataType
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", ignore_index=True)
-        u, v = close_links(list(pdf["shingles"]), pdf["block"].to_numpy(), similarity)
+        u, v = close_links(list(pdf["shingles"]), similarity)
         return pd.DataFrame({"u": pdf["id"].to_numpy()[u], "v": pdf["id"].to_numpy()[v]})
 
     more = rest.join(sets, "id").groupBy("key", "lo", "hi").applyInPandas(compare, T.StructType([T.StructField("u", kind), T.StructField("v", kind)]))

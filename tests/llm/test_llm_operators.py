@@ -73,7 +73,7 @@ def test_tree_search_is_exact(spark):
     near = np.concatenate([base] + [base[:150] ^ (np.uint64(1) << rng.integers(0, 64, 150).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 150).astype(np.uint64)) for _ in range(3)])
     points = np.unique(near)
     df = spark.createDataFrame([(int(x),) for x in points.view(np.int64)], "fp bigint")
-    found = simhash.components(simhash.hamming_links(df, shard_rows=40, sample_rows=256).select("u", "v"))
+    found = simhash.components(simhash.hamming_links(df, shard_rows=40))
     label = {r["u"]: r["root"] for r in found.collect()}
     signed = points.view(np.int64).tolist()
     order = sorted(range(len(signed)), key=lambda i: signed[i])
@@ -99,6 +99,44 @@ def test_views_are_independent():
     assert missed <= 5
 
 
+def test_local_search_of_dense_and_sparse_points():
+    """A tight cluster, random points, and points that are alike in one half, against all pairs."""
+    rng = np.random.default_rng(3)
+    tight = np.full(1500, np.uint64(77777))
+    for _ in range(4):
+        tight = tight ^ (np.uint64(1) << rng.integers(0, 64, len(tight)).astype(np.uint64))
+    alike = rng.integers(0, 1 << 14, 1500).astype(np.uint64)
+    points = np.unique(np.concatenate([tight, alike, rng.integers(0, 1 << 63, 1500).astype(np.uint64)]))
+    got = list(range(len(points)))
+    for number in range(simhash.HALVES):
+        forest = simhash.Forest(len(points))
+        home = np.arange(len(points))
+        simhash.link(points, simhash.half(points, number), home, home[:0], 1, 3, forest, block=64)
+        got = union_find(len(points), [*enumerate(got), *((i, forest.find(i)) for i in range(len(points)))])
+    close = ((i, j) for i in range(len(points)) for j in (i + 1 + np.flatnonzero(np.bitwise_count(points[i + 1 :] ^ points[i]) <= 3)).tolist())
+    assert got == union_find(len(points), close)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_close_links_against_all_pairs(seed):
+    rng = np.random.default_rng(seed)
+    passage, base = rng.integers(-(2**62), 2**62, 40), rng.integers(-(2**62), 2**62, 120)
+    sets = [np.empty(0, np.int64)] * 2
+    for i in range(150):
+        if i % 3:
+            some = (sets[-1] if i % 2 and len(sets[-1]) > 60 else base).copy()
+            some[rng.choice(len(some), int(rng.integers(0, 20)), replace=False)] = rng.integers(-(2**62), 2**62)
+        else:
+            some = np.concatenate([passage, rng.integers(-(2**62), 2**62, int(rng.integers(1, 60)))])
+        sets.append(np.unique(some))
+    plain = [set(x.tolist()) for x in sets]
+    close = ((i, j) for i, j in itertools.combinations(range(len(sets)), 2) if plain[i] and len(plain[i] & plain[j]) >= 0.8 * len(plain[i] | plain[j]))
+    got = list(range(len(sets)))
+    for i, root in zip(*simhash.close_links(sets, 0.8), strict=True):
+        got[i] = int(root)
+    assert got == union_find(len(sets), close)
+
+
 def test_near_duplicates_against_brute_force(spark):
     rng = random.Random(7)
     rows = []
@@ -182,7 +220,12 @@ def test_bpe_equals_the_library(library, documents):
     assert [x.tolist() for x in ids] == [library.encode(t, add_special_tokens=False).ids for t in texts]
     assert [model.decode(x) for x in ids] == [library.decode(x.tolist(), skip_special_tokens=False) for x in ids]
     other = packing.encoder(bpe.read_spec(None))
-    assert all(np.array_equal(other.encode_to_numpy(t, allowed_special="all"), x) for t, x in zip(texts, ids, strict=True))
+    assert all(np.array_equal(other(t), x) for t, x in zip(texts, ids, strict=True))
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "a" + "\n" * 1_500_000 + "b", "\t" * 1_200_000 + "x", "x" + " \n\t" * 400_000, "abcdefghij" * 300_000, "1" * 1_000_000, "a\u0378\U000e0fff b" * 1000], ids=["spaces", "newlines", "tabs", "mixed", "word", "digits", "unassigned"])
+def test_packing_encodes_any_text(library, text):
+    assert packing.encoder(bpe.read_spec(None))(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 def test_bpe_table(spark, library):
@@ -459,3 +502,30 @@ def test_pipeline_stages(spark, documents):
     assert {r["doc_id"] for r in near.collect()} == {rows[order[r]][0] for r in set(roots)}
     packed = corpus_pipeline.run(spark, SF)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == {rows[order[r]][0] for r in set(roots)}
+
+
+@pytest.mark.parametrize("number", range(4))
+def test_pipeline_stages_with_odd_input(spark, number):
+    """Nulls, empty and very long texts, repeated rows, clashing names, an empty table."""
+    import corpus_pipeline
+
+    name, stage = corpus_pipeline.STAGES[number]
+    text = "Uma frase longa que se repete por inteiro em dois textos.\n" + words(random.Random(5), 90)
+    rows = [(1, text), (1, text), (2, text), (3, None), (4, ""), (None, text), (None, None), (5, " " * 1_100_000), (6, words(random.Random(6), 200_000)), (7, "Uma frase longa que se repete por inteiro em dois textos.")]
+    clash = ("score", "predicted", "n_lines", "n_dropped", "held_out", "id", "group", "piece", "__row", "__text", "fp")
+    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(f"mine {c}") for c in clash})
+    out = stage(spark, docs, SF)
+    got = out.collect()
+    if name == "packing":
+        assert {r["doc_id"] for r in got} == {r[0] for r in rows}
+        assert sum(r["start"] == 0 for r in got) == len(rows)
+    else:
+        assert out.columns == docs.columns
+        assert all(r[c] == f"mine {c}" for r in got for c in clash)
+        ids = Counter(r["doc_id"] for r in got)
+        if name == "line_dedup":
+            assert ids == Counter(r[0] for r in rows)
+            assert {r["doc_id"]: r["text"] for r in got if r["doc_id"] in (2, 7)}[7] == ""
+        if name == "simhash":
+            assert ids == Counter({1: 1, 3: 1, 6: 1, 7: 1, None: 2})
+    assert stage(spark, docs.limit(0), SF).count() == 0
