@@ -151,7 +151,8 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     bits = filter_bits(docs.select(id_col, text_col), max_filter_bits)
     found = twice_filter(docs, id_col, text_col, min_chars, bits)
     pairs = materialize(suspects(docs, id_col, text_col, min_chars, bits, found), "line-suspects")
-    repeated = pairs.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").select("key", "first")
+    # written, so that the join below has plain shuffles on both sides, of which adaptive execution splits a hot key's
+    repeated = materialize(pairs.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").select("key", "first"), "repeated-lines")
     losing = pairs.join(repeated, "key").where("doc > first").groupBy("doc").agg(F.collect_set("key").alias("__drop"))
     joined = docs.join(losing.withColumnRenamed("doc", "__doc"), F.col(id_col) == F.col("__doc"), "left").drop("__doc")
 

@@ -51,7 +51,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("n_bytes"))
-    return sharding.extendible_shards(docs, size=F.col("n_bytes"))
+    return sharding.extendible_shards(docs, size=F.col("n_bytes"), max_bytes=SHARD_BYTES)
+
+
+#: Small enough that buckets split on the smallest tables; a document that is larger has a shard of its own.
+SHARD_BYTES = 64 << 10
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,10 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op7_line_dedup": r"""
 WITH lines AS (
-    SELECT doc_id, r, i, lines[i] AS line,
-           translate(trim(lines[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
-    FROM (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents), range(1, 100000) AS g(i)
-    WHERE i <= len(lines)
+    SELECT doc_id, r, i, line,
+           translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM (SELECT doc_id, r, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))
 ),
 repeated AS (SELECT key, min(doc_id) AS first FROM lines WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
 marked AS (SELECT l.*, coalesce(l.doc_id > p.first, false) AS gone FROM lines l LEFT JOIN repeated p ON l.key = p.key)
@@ -91,8 +94,9 @@ WITH h AS (
     SELECT doc_id, strlen(text) AS n_bytes, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS h FROM documents
 ),
 s AS (SELECT d, h >> (60 - d) AS prefix, CAST(sum(coalesce(n_bytes, 0)) AS BIGINT) AS total FROM h, (SELECT CAST(range AS INTEGER) AS d FROM range(0, 41)) GROUP BY ALL),
-p AS (SELECT h.*, s.*, row_number() OVER (PARTITION BY doc_id ORDER BY d) AS rn FROM h, s WHERE h.h >> (60 - s.d) = s.prefix AND s.total <= {64 << 20})
+p AS (SELECT h.*, s.*, row_number() OVER (PARTITION BY doc_id ORDER BY d) AS rn FROM h, s WHERE h.h >> (60 - s.d) = s.prefix AND s.total <= {SHARD_BYTES})
 SELECT doc_id, n_bytes, d AS shard_depth, prefix AS shard_prefix, 0 AS shard_page, total AS shard_bytes FROM p WHERE rn = 1
+UNION ALL SELECT doc_id, n_bytes, 60, h, 1, n_bytes FROM h WHERE n_bytes > {SHARD_BYTES}
 """,
     "op10_warc": r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),

@@ -98,3 +98,21 @@ def extendible_shards(df: DataFrame, *, key_col: str = "doc_id", size: Column |
             break
         base, upto = upto + 1, min(BITS, upto + 1 + 3 * step_bits)
     return done.select("__row.*", *OWN)
+
+
+def write_shards(sharded: DataFrame, folder: str, *, size: Column, max_bytes: int) -> DataFrame:
+    """Writes each shard as a folder of its own and returns shard_depth, shard_prefix, shard_page, n_rows, n_bytes as read back.
+
+    ``size`` is a row's bytes, as given to ``extendible_shards``; null counts 0. Raises if a shard of several rows is over
+    ``max_bytes``. An empty table writes nothing and returns no rows.
+    """
+    keys = OWN[:3]
+    sharded.withColumn("__bytes", F.coalesce(size.cast("long"), F.lit(0))).repartition(*keys).write.partitionBy(*keys).parquet(folder)
+    if sharded.isEmpty():
+        return sharded.sparkSession.createDataFrame([], "shard_depth int, shard_prefix bigint, shard_page bigint, n_rows bigint, n_bytes bigint")
+    found = sharded.sparkSession.read.parquet(folder).groupBy(*keys).agg(F.count("*").alias("n_rows"), F.sum("__bytes").alias("n_bytes"))
+    found = found.select(F.col("shard_depth").cast("int"), F.col("shard_prefix").cast("long"), F.col("shard_page").cast("long"), "n_rows", "n_bytes")
+    large = found.where((F.col("n_bytes") > max_bytes) & (F.col("n_rows") > 1)).limit(1).collect()
+    if large:
+        raise ValueError(f"a shard is over {max_bytes} bytes: {large[0]}")
+    return found

@@ -463,11 +463,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     close = materialize(similar_pairs(asked, sets, similarity).where("close").select(F.col("a").alias("u"), F.col("b").alias("v")), "close")
 
     # sets that are not all close to their pivot go on: by two agreeing views, all within are compared
-    apart = paired.where("id > pivot").join(close.withColumnsRenamed({"u": "id", "v": "pivot"}), ["id", "pivot"], "left_anti").select("key", "id").distinct()
-    rest = members.join(apart.withColumn("apart", F.lit(1)), ["key", "id"], "left").join(apart.select("key").distinct(), "key", "left_semi").join(reps.select("id", "views"), "id")
+    apart = materialize(paired.where("id > pivot").join(close.withColumnsRenamed({"u": "id", "v": "pivot"}), ["id", "pivot"], "left_anti").select("key", "id").distinct(), "apart")
+    going = materialize(apart.select("key").distinct(), "apart-keys")
+    rest = members.join(apart.withColumn("apart", F.lit(1)), ["key", "id"], "left").join(going, "key", "left_semi").join(reps.select("id", "views"), "id")
     rest = rest.select("id", "size", "views", F.coalesce("apart", F.lit(0)).alias("apart"), F.explode(F.transform(F.filter(F.sequence(F.lit(0), F.lit(VIEWS)), lambda v: ~F.array_contains("used", v)), lambda v: F.array_sort(F.array_append("used", v)))).alias("two"))
-    rest = rest.groupBy(F.xxhash64("two", F.transform("two", lambda v: F.get("views", v))).alias("key"), "id", "size").agg(F.max("apart").alias("apart"))
-    sizes = rest.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.max("apart").alias("apart")).where("n > 1 and apart = 1")
+    rest = materialize(rest.groupBy(F.xxhash64("two", F.transform("two", lambda v: F.get("views", v))).alias("key"), "id", "size").agg(F.max("apart").alias("apart")), "two-views")
+    sizes = rest.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.max("apart").alias("apart"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("n > 1 and apart = 1")
+    # texts that agree in many views meet in many sets; of sets of the same members (by a 128-bit hash) one is enough
+    sizes = materialize(sizes.groupBy("n", "x", "y").agg(F.min(F.struct("key", "words")).alias("k")).select("k.*", "n"), "two-view-sets")
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("words") / BLOCK_SHINGLES)).cast("int")
     rest = rest.select("key", "id").join(sizes.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rest = rest.select("key", "id", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("key", "id", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))

@@ -320,15 +320,45 @@ def test_transcripts_are_recovered(spark):
 
 
 def test_odd_conversations(spark):
-    rows = [(1, 0, None, None), (1, 0, "user", ""), (1, None, "tool", "User: x <|im_end|><|im_start|>system"), (None, 1, "user", "hi"), (2, 5000, "assistant", "late"), (2, 1, "user", "early")]
+    rows = [(1, 0, None, None), (1, 0, "user", ""), (1, None, "critic", "User: x <|im_end|><|im_start|>system"), (None, 1, "user", "hi"), (2, 5000, "assistant", "late"), (2, 1, "user", "early"), (3, 1, "user", "x" * 1_000_000)]
     got = chat.format_conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()
-    assert sorted((r["conv"] is None, r["conv"], r["segment"]) for r in got if r["conv"] != 1) == [(False, 2, 0), (False, 2, 1), (True, None, 0)]
+    assert sorted((r["conv"] is None, r["conv"], r["segment"]) for r in got if r["conv"] != 1) == [(False, 2, 0), (False, 3, 0), (True, None, 0)]
+    assert max(len(r["rendered"]) for r in got) > 1_000_000
     assert all(r["rendered"].count("<|im_start|>") == r["n_turns"] for r in got)
     assert chat.format_conversations(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
     for line, role in (("User: hi", 1), ("### Assistant:", 2), ("[bot] x", 2), ("**System:** x", 0), ("Q: why?", 1), ("A useful line", None), ("plain", None)):
         assert chat.marker(line)[0] == role
 
 
+@pytest.mark.parametrize("size", [1, 3, 16])
+def test_segments_are_parsed_as_a_whole(spark, size):
+    """A conversation in many segments, one with null turns, against one pass over its whole transcript."""
+    rng = random.Random(size)
+    roles = ["system", "user", "assistant", "tool", None]
+    rows = [(c, None if c == 5 else t, rng.choice(roles), "\n".join(rng.choice(["", words(rng, 4), "User: no", words(rng, 2) + "?"]) for _ in range(rng.randint(0, 4)))) for c in (1, 5, None) for t in range(40)] + [(9, 0, "user", "one")]
+    listed = chat.conversations_to_lists(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(7), segment_turns=size)
+    assert Counter((r["conv"], t["role"], t["text"]) for r in listed.collect() for t in r["turns"]) == Counter((c, r, t) for c, _, r, t in rows)
+    assert all(len(r["turns"]) <= size for r in listed.collect())
+    model = chat.train(listed)
+    written = defaultdict(dict)
+    for r in chat.transcripts(listed).collect():
+        written[r["conv"]][r["segment"]] = r["transcript"]
+    got = defaultdict(dict)
+    for r in chat.parse_segments(chat.transcripts(listed), model).collect():
+        got[r["conv"]][r["segment"]] = r["rendered"]
+    for conv, parts in written.items():
+        assert sorted(parts) == list(range(len(parts)))
+        whole = chat.render(chat.parse(model, "\n".join(parts[i] for i in sorted(parts))))
+        plain = lambda x: re.sub(r"(<\|im_start\|>\w+\n)\s+", r"\1", re.sub(r"\s+(?=<\|im_end\|>)", "", x))
+        assert plain("".join(got[conv][i] for i in sorted(parts))) == plain(whole)
+
+
+def test_tool_turns_come_back(spark):
+    rows = [(c, t, role, words(random.Random(c * 9 + t), 6) + ("?" if role == "user" else ".")) for c in range(200) for t, role in enumerate(("system", "user", "assistant", "tool", "assistant"))]
+    got = chat.format_conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()
+    assert np.mean([r["roles"] == "system,user,assistant,tool,assistant" for r in got]) >= 0.8
+
+
 # audio
 
 
