@@ -19,6 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluvia.session import materialize
+
+
+#: Share of a sample's true neighbours that the probes must find; the recall asked of a search is 0.9.
+WANTED = 0.93
+#: Rows that a part holds at least, and that a part's sample holds.
+PART_ROWS, PART_SAMPLE = 64, 16
+
 
 def neighbours(rows: np.ndarray, k: int) -> np.ndarray:
     """The k nearest other rows of each row of a sample, in blocks."""
@@ -124,13 +132,14 @@ def learn(rows: np.ndarray, targets: np.ndarray, rng: np.random.Generator, hidde
     return mean, scale, layers
 
 
-def fit(rows: np.ndarray, depth: int, *, k: int = 10, wanted: float = 0.98, seed: int = 0) -> Router:
+def fit(rows: np.ndarray, depth: int, *, k: int = 10, wanted: float = WANTED, seed: int = 0) -> Router:
     """The router of a sample, and the fewest probes that find the wanted share of the sample's true neighbours.
 
     The share is measured on a fifth of the sample that the classifier does not see.
     """
     rng = np.random.default_rng(seed)
-    if depth == 0 or len(rows) < 64:
+    k = min(k, len(rows) - 1)
+    if depth == 0:
         d = rows.shape[1]
         return Router(np.zeros(d), np.ones(d), [np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)], 1, 1.0)
     graph = neighbours(rows, k)
@@ -155,110 +164,117 @@ def fit(rows: np.ndarray, depth: int, *, k: int = 10, wanted: float = 0.98, seed
     return router
 
 
-def nearest(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, row id, distance) of the k nearest rows of another id; ties to the smaller id.
+def nearest(queries: np.ndarray, query_uids: np.ndarray, rows: np.ndarray, uids: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's uid, row id, distance) of the k nearest rows but the query's own; ties to the smaller id.
 
     A product gives distances good enough to leave out most rows; what is left is measured on the vectors themselves.
     """
     out: tuple[list, list, list] = ([], [], [])
     squares = (rows**2).sum(axis=1)
-    copies = len(np.unique(ids)) < len(ids)
     for lo in range(0, len(queries), 256):
         some = queries[lo : lo + 256]
         rough = squares[None, :] + (some**2).sum(axis=1)[:, None] - 2 * some @ rows.T
-        for query, name, d in zip(some, query_ids[lo : lo + 256], rough, strict=True):
-            d[ids == name] = np.inf
-            if not copies and len(d) > k:
+        for query, name, d in zip(some, query_uids[lo : lo + 256], rough, strict=True):
+            d[uids == name] = np.inf
+            if len(d) > k:
                 limit = np.partition(d, k - 1)[k - 1]
                 at = np.flatnonzero(d <= limit + 1e-9 * (squares.max() + (query**2).sum() + 1))
             else:
                 at = np.arange(len(d))
-            at = at[ids[at] != name]
+            at = at[uids[at] != name]
             exact = np.sqrt(((rows[at] - query) ** 2).sum(axis=1))
-            order = np.lexsort((ids[at], exact))
-            if copies:
-                order = order[np.sort(np.unique(ids[at][order], return_index=True)[1])]
-            order = order[:k]
+            order = np.lexsort((ids[at], exact))[:k]
             out[0].append(np.full(len(order), name))
             out[1].append(ids[at][order])
             out[2].append(exact[order])
     return tuple(np.concatenate(x) if x else np.empty(0) for x in out)
 
 
-def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v) of the rows that take part, v as doubles."""
+def usable(vectors: DataFrame, queries: F.Column, id_col: str, vector_col: str) -> DataFrame:
+    """(uid, id, v, asked) of the rows that take part, v as doubles; a uid for each row."""
     v = F.col(vector_col).cast("array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.where(F.col(id_col).isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0)).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
+    some = vectors.where(F.col(id_col).isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0))
+    return some.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), v.alias("v"), F.coalesce(queries, F.lit(False)).alias("asked"))
 
 
-def ann_search(vectors: DataFrame, queries: F.Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, sample_rows: int = 8192, block_rows: int = 32_768, wanted: float = 0.98, depth: int | None = None) -> DataFrame:
+def sample_of(every: DataFrame, n: int, least: int = 8192, most: int = 32_768) -> np.ndarray:
+    """The vectors of smallest id hash: a quarter of all, ``least`` at least and ``most`` at most."""
+    rows = every.orderBy(F.xxhash64("id"), "id").limit(min(most, max(least, n // 4))).select("v").collect()
+    return np.array(sorted(r["v"] for r in rows))
+
+
+def ann_search(vectors: DataFrame, queries: F.Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, block_rows: int = 32_768, wanted: float = WANTED, depth: int | None = None) -> DataFrame:
     """The k nearest rows found for each row that satisfies ``queries``: query_id, rank (from 1), vec_id, score.
 
-    score is the Euclidean distance in double precision; ties go to the smaller id; a row of the query's own id is no
-    candidate. Null ids, and vectors null, empty, zero or holding null or non-finite components take no part, nor do
-    vectors of another length than most have. Rows of equal id are one candidate, at its nearest vector; as queries they
-    are one, of the smallest vector. The index holds every other row; the router is fitted on the ``sample_rows`` rows of
-    smallest id hash. Fewer candidates than k give fewer rows, an empty table none.
+    score is the Euclidean distance in double precision; ties go to the smaller id; a query's own row is no candidate.
+    Null ids, and vectors null, empty, zero or holding null or non-finite components take no part, nor do vectors of
+    another length than most have. Rows of equal id are separate rows of one id, as candidates and as queries. The index
+    holds every row; the router is fitted on the sample of ``sample_of``. Parts double with the rows (PART_ROWS at least
+    in each), as far as the sample has PART_SAMPLE rows of each: 2,048 parts at most, which then grow, in blocks of
+    ``block_rows``. Fewer candidates than k give fewer rows, an empty table none.
     """
-    every = usable(vectors, id_col, vector_col)
+    every = materialize(usable(vectors, queries, id_col, vector_col), "vectors")
     sizes = every.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    schema = "query_id bigint, vec_id bigint, score double"
+    schema = "query bigint, vec_id bigint, score double"
+    nothing = vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     if not sizes:
-        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+        return nothing
     width, n = sizes[0]["d"], sizes[0]["count"]
     every = every.where(F.size("v") == width)
-    sample = every.orderBy(F.xxhash64("id"), "id").limit(sample_rows).collect()  # at most sample_rows vectors
-    sample = np.array(sorted(r["v"] for r in sample))
+    sample = sample_of(every, n)
     if depth is None:
-        depth = max(0, min(8, int(np.log2(max(1, n / 512))), int(np.log2(max(1, len(sample) / 32)))))
+        depth = int(np.log2(max(1, min(n / PART_ROWS, len(sample) / PART_SAMPLE))))
     router = fit(sample, depth, k=k, wanted=wanted)
 
     def route(batches: Iterator[pa.RecordBatch], many: int) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column(1).flatten().to_numpy().reshape(-1, width)
+            rows = batch.column(2).flatten().to_numpy().reshape(-1, width)
             parts = router.most_probable(rows, many) if len(rows) else np.empty((0, many), dtype=np.int64)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, parts.size + 1, many, dtype=np.int32)), pa.array(parts.ravel().astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, flat], names=["id", "v", "parts"])
-
-    routed = "id bigint, v array<double>, parts array<int>"
-    homes = every.mapInArrow(lambda b: route(b, 1), routed).select("id", "v", F.col("parts")[0].alias("part"))
-    asked = usable(vectors.where(queries), id_col, vector_col).where(F.size("v") == width)
-    asked = asked.groupBy("id").agg(F.min("v").alias("v")).mapInArrow(lambda b: route(b, router.probes), routed).select("id", "v", F.explode("parts").alias("part"))
-    # at most 256 parts each: how many blocks of rows and of queries
+            yield pa.RecordBatch.from_arrays([*batch.columns, flat], names=["uid", "id", "v", "parts"])
+
+    routed = "uid bigint, id bigint, v array<double>, parts array<int>"
+    columns = ("uid", "id", "v")
+    homes = every.select(*columns).mapInArrow(lambda b: route(b, 1), routed).select(*columns, F.col("parts")[0].alias("part"))
+    asked = every.where("asked").select(*columns).mapInArrow(lambda b: route(b, router.probes), routed).select(*columns, F.explode("parts").alias("part"))
+    homes, asked = materialize(homes, "vector-homes"), materialize(asked, "vector-queries")
+    # at most 2,048 parts each: how many blocks of rows and of queries
     blocks = {r["part"]: -(-r["count"] // block_rows) for r in homes.groupBy("part").count().collect()}
     turns = {r["part"]: -(-r["count"] // block_rows) for r in asked.groupBy("part").count().collect()}
     if not turns:
-        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+        return nothing
 
     def lookup(counts: dict[int, int]) -> F.Column:
         return F.coalesce(F.element_at(F.array(*(F.lit(counts.get(p, 1)) for p in range(router.parts))), F.col("part") + 1), F.lit(1))
 
     def own(counts: dict[int, int], name: str) -> F.Column:
-        return F.pmod(F.xxhash64("id"), lookup(counts)).cast("int").alias(name)
+        return F.pmod(F.xxhash64("uid"), lookup(counts)).cast("int").alias(name)
 
     def all_of(counts: dict[int, int], name: str) -> F.Column:
         return F.explode(F.sequence(F.lit(0), lookup(counts) - 1)).alias(name)
 
-    homes = homes.select("id", "v", "part", own(blocks, "block")).select("*", all_of(turns, "turn"))
-    asked = asked.select("id", "v", "part", own(turns, "turn")).select("*", all_of(blocks, "block"))
+    homes = homes.select(*columns, "part", own(blocks, "block")).select("*", all_of(turns, "turn"))
+    questions = asked.select(*columns, "part", own(turns, "turn")).select("*", all_of(blocks, "block"))
 
     def rerank(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(rows):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        found = nearest(np.stack(queries["v"]), queries["id"].to_numpy(), np.stack(rows["v"]), rows["id"].to_numpy(), k)
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
+            return pd.DataFrame({"query": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        found = nearest(np.stack(queries["v"]), queries["uid"].to_numpy(), np.stack(rows["v"]), rows["uid"].to_numpy(), rows["id"].to_numpy(), k)
+        return pd.DataFrame(dict(zip(("query", "vec_id", "score"), found, strict=True)))
 
     keys = ("part", "block", "turn")
-    found = asked.groupBy(*keys).cogroup(homes.groupBy(*keys)).applyInPandas(rerank, schema)
-    best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return best.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    found = questions.groupBy(*keys).cogroup(homes.groupBy(*keys)).applyInPandas(rerank, schema)
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))
+    best = found.select("query", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    names = every.where("asked").select(F.col("uid").alias("query"), F.col("id").alias("query_id"))
+    return best.join(names, "query").select("query_id", "rank", "vec_id", "score")
 
 
 def brute_force(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, k: int = 10) -> dict[int, list[tuple[int, float]]]:
-    """The true k nearest of small tables, for measuring recall."""
-    found = nearest(rows[np.isin(ids, query_ids)], ids[np.isin(ids, query_ids)], rows, ids, k)
+    """The true k nearest of small tables of different ids, for measuring recall."""
+    asked = np.isin(ids, query_ids)
+    found = nearest(rows[asked], ids[asked], rows, ids, ids, k)
     out: dict[int, list[tuple[int, float]]] = {}
     for q, v, s in zip(*(x.tolist() for x in found), strict=True):
         out.setdefault(int(q), []).append((int(v), s))
