@@ -1,8 +1,8 @@
 """Media columns for audio: 8-bit WAV payloads, polyphase resampling, log-mel filterbanks, energy segments.
 
 Features are a function of one stored file alone, computed in blocks of fixed size, so equal files give equal values.
-Log-mel frames are cut into patches of fixed shape (PATCH_FRAMES, MELS), each with its time span; ``tensors`` turns the
-column into Arrow's fixed-shape tensor type.
+Log-mel frames are cut into patches of fixed shape (PATCH_FRAMES, MELS), each with its time span. They are stored as an
+Arrow record batch for each file, whose columns are a fixed-shape tensor and its start and end.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ UP, DOWN = 5, 8  # to 10 kHz
 TAPS = 16  # of each phase
 WINDOW, HOP = 256, 128
 MELS = 24
-PATCH_FRAMES = 32
+PATCH_FRAMES = 16
 UNIT = 576
 BLOCK_FRAMES = 8192
 
@@ -175,14 +175,32 @@ _FIELDS = {
     "feature": (pa.string(), T.StringType()),
 }
 _SPANS = (pa.list_(pa.list_(pa.float64())), T.ArrayType(T.ArrayType(T.DoubleType())))
-_TENSORS = {"patches": (pa.list_(pa.list_(pa.float32())), T.ArrayType(T.ArrayType(T.FloatType()))), "patch_spans": _SPANS, "segments": _SPANS}
+_TENSORS = {"tensors": (pa.binary(), T.BinaryType()), "segments": _SPANS}
+#: The patches of a file: half-precision log-mel values and the span of each in seconds.
+PATCH_TYPE = pa.fixed_shape_tensor(pa.float16(), [PATCH_FRAMES, MELS])
+PATCH_SCHEMA = pa.schema([("patch", PATCH_TYPE), ("start", pa.float64()), ("end", pa.float64())])
+
+
+def write_tensors(patches: np.ndarray, spans: np.ndarray) -> bytes:
+    """Patches (n, PATCH_FRAMES, MELS) and their spans as an Arrow stream with one batch."""
+    storage = pa.FixedSizeListArray.from_arrays(pa.array(patches.astype(np.float16).ravel()), PATCH_FRAMES * MELS)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, PATCH_SCHEMA) as out:
+        out.write_batch(pa.record_batch([pa.ExtensionArray.from_storage(PATCH_TYPE, storage), pa.array(spans[:, 0]), pa.array(spans[:, 1])], schema=PATCH_SCHEMA))
+    return sink.getvalue().to_pybytes()
+
+
+def read_tensors(data: bytes) -> pa.Table:
+    """The stored patches: patch (a fixed-shape tensor), start and end."""
+    return pa.ipc.open_stream(data).read_all()
 
 
 def audio_features(stored: DataFrame, *, media_col: str = "media", tensors: bool = True) -> DataFrame:
     """Reads each stored file back and adds its digests and features; the media column is left out.
 
-    With ``tensors``: patches (each PATCH_FRAMES x MELS values, row by row), patch_spans and segments (seconds). Input
-    columns named like an output are replaced. Null media gives nulls; a file that is no 8-bit mono WAV raises.
+    With ``tensors``: tensors (what ``read_tensors`` reads: fixed-shape patches with their time spans) and segments
+    (seconds). Input columns named like an output are replaced. Null media gives nulls; a file that is no 8-bit mono WAV
+    raises.
     """
     fields = _FIELDS | (_TENSORS if tensors else {})
     keep = [c for c in stored.columns if c != media_col and c not in fields]
@@ -200,7 +218,7 @@ def audio_features(stored: DataFrame, *, media_col: str = "media", tensors: bool
                     found = analyze(samples)
                     row = {"payload_bytes": len(samples), "payload_sha256": hashlib.sha256(samples).hexdigest(), "tail_crc32": zlib.crc32(samples[-32:]), "media_bytes": len(file), "media_sha256": hashlib.sha256(file).hexdigest(), "feature": feature_text(found)}
                     if tensors:
-                        row |= {"patches": list(found["patches"].reshape(len(found["patches"]), -1)), "patch_spans": found["spans"].tolist(), "segments": found["segments"].tolist()}
+                        row |= {"tensors": write_tensors(found["patches"], found["spans"]), "segments": found["segments"].tolist()}
                     rows.append(row)
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], *(pa.array([r[n] for r in rows], t) for n, (t, _) in fields.items())], names=[*keep, *fields])
 
@@ -208,16 +226,11 @@ def audio_features(stored: DataFrame, *, media_col: str = "media", tensors: bool
     return stored.select(media_col, *keep).mapInArrow(run, schema)
 
 
-def tensors(patches: list[np.ndarray]) -> pa.FixedShapeTensorArray:
-    """Patches as an Arrow array of fixed-shape tensors."""
-    flat = np.concatenate([np.asarray(p, dtype=np.float32).ravel() for p in patches]) if patches else np.empty(0, np.float32)
-    kind = pa.fixed_shape_tensor(pa.float32(), [PATCH_FRAMES, MELS])
-    return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(pa.array(flat), PATCH_FRAMES * MELS))
-
-
 def audio_table(docs: DataFrame, *, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Stores every text as a media table, reads that back, and returns kept columns, n_bytes, digests and the feature text.
+    """Stores every text as a media table, reads that back, stores its features, and returns those.
 
-    Null text is stored as empty. Repeated rows give repeated rows, an empty table an empty result.
+    Kept columns, n_bytes, the digests, the feature text, ``tensors`` and ``segments`` of ``audio_features``. Null text is
+    stored as empty. Repeated rows give repeated rows, an empty table an empty result.
     """
-    return audio_features(materialize(store(docs, keep=keep, text_col=text_col), "media"), tensors=False)
+    media = materialize(store(docs, keep=keep, text_col=text_col), "media")
+    return materialize(audio_features(media), "audio-features")

@@ -36,7 +36,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.audio_table(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return audio.audio_table(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("tensors", "segments")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
