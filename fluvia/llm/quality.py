@@ -1,13 +1,15 @@
 """A quality classifier by Bradley-Terry pairwise ranking.
 
 Each preference pair is a document of label 1 and one of label 0. The probability that the first is the better is the
-logistic function of the difference of their scores, which are linear in features of the text alone. The fit minimises
-the logistic loss on feature differences; the threshold is the quantile of the training scores at the share of label 0.
+logistic function of the difference of their scores, which are linear in features of the text alone: hashed words and
+byte trigrams of the whole text, and shares that describe its form. The fit minimises the logistic loss on feature
+differences; the threshold is the quantile of the training scores at the share of label 0.
 """
 
 from __future__ import annotations
 
 import operator
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,13 +32,32 @@ NAMES = (
 )
 
 
+WORD_BINS, TRIGRAM_BINS = 256, 128
+#: Form features, their square roots, words, trigrams.
+WIDTH = 2 * len(NAMES) + WORD_BINS + TRIGRAM_BINS
+_BLOCK = 1 << 16
+
+
+def contents(data: bytes, counts: Counter) -> np.ndarray:
+    """Square roots of the shares of hashed words, lower-cased, and of hashed byte trigrams of a whole text."""
+    words, trigrams = np.zeros(WORD_BINS), np.zeros(TRIGRAM_BINS)
+    if counts:
+        at = np.fromiter(map(zlib.crc32, map(bytes.lower, counts)), dtype=np.int64, count=len(counts)) % WORD_BINS
+        words = np.bincount(at, weights=np.fromiter(counts.values(), dtype=float, count=len(counts)), minlength=WORD_BINS)
+    for lo in range(0, len(data) - 2, _BLOCK):
+        b = np.frombuffer(data[lo : lo + _BLOCK + 2], dtype=np.uint8).astype(np.uint32)
+        mixed = (b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(0x9E3779B1)
+        trigrams += np.bincount(mixed >> np.uint32(25), minlength=TRIGRAM_BINS)
+    return np.sqrt(np.concatenate([words / max(1, words.sum()), trigrams / max(1, trigrams.sum())]))
+
+
 def features(text: str | None) -> np.ndarray:
-    """Shares and logarithms that describe the whole text; an empty text has zeros."""
+    """Form and content of the whole text; one without words has zeros."""
     data = (text or "").encode()
     words = data.split()
     out = np.zeros(len(NAMES))
     if not words:
-        return out
+        return np.zeros(WIDTH, dtype=np.float32)
     n = len(words)
     kinds = _CLASS[np.frombuffer(data, dtype=np.uint8)]
     share = np.bincount(kinds, minlength=10) / len(kinds)
@@ -54,7 +75,8 @@ def features(text: str | None) -> np.ndarray:
         np.log1p(len(lines)), np.log1p(n / len(lines)), sum(b"|" in x for x in lines) / len(lines), 1 - len(set(lines)) / len(lines),
         min(1.0, ends[STOP] / n), min(1.0, starts[UPPER] / n),
     )
-    return out
+    # square roots tell small shares apart
+    return np.concatenate([out, np.sqrt(np.maximum(out, 0)), contents(data, counts)]).astype(np.float32)
 
 
 @dataclass
@@ -67,7 +89,7 @@ class Model:
 
     def rank(self, rows: np.ndarray) -> np.ndarray:
         """Bradley-Terry scores; each row is summed alike, whatever stands beside it."""
-        return (np.clip((expand(rows) - self.center) / self.scale, -8, 8) * self.weights).sum(axis=1)
+        return (np.clip((rows.astype(float) - self.center) / self.scale, -8, 8) * self.weights).sum(axis=1)
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         """In 0 to 1, with the cut at THRESHOLD."""
@@ -75,41 +97,48 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def expand(rows: np.ndarray) -> np.ndarray:
-    """The features and their square roots, which tell small shares apart."""
-    return np.concatenate([rows, np.sqrt(np.maximum(rows, 0))], axis=1)
+def penalties(ridge: float) -> np.ndarray:
+    """Weights of hashed content pay more than those of form, as there are many."""
+    return np.concatenate([np.full(2 * len(NAMES), ridge), np.full(WORD_BINS + TRIGRAM_BINS, 20 * ridge)])
 
 
-def fit(rows: np.ndarray, labels: np.ndarray, *, pairs: int = 200_000, ridge: float = 1e-3, rounds: int = 50, seed: int = 0) -> Model:
-    """Newton's method on the logistic loss of feature differences of drawn pairs, with a ridge.
-
-    Without a document of either label there is nothing to compare: all scores are then equal and reach the threshold.
-    """
-    wide = expand(rows)
-    width = 2 * len(NAMES)
+def draw_pairs(labels: np.ndarray, pairs: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Preference pairs (better, worse): every labelled row is in one, however unequal the labels are."""
     good, bad = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
-    if not len(good) or not len(bad):
-        return Model(np.zeros(width), np.ones(width), np.zeros(width), 0.0, 1.0)
-    center, scale = wide.mean(axis=0), wide.std(axis=0)
-    scale[scale < 1e-9] = 1
-    x = np.clip((wide - center) / scale, -8, 8)
-    rng = np.random.default_rng(seed)
     many = max(pairs, 2 * max(len(good), len(bad)))
-    # every labelled document is in a pair, however unequal the labels are
-    i = np.concatenate([good, rng.choice(good, many - len(good))])
-    j = rng.permutation(np.concatenate([bad, rng.choice(bad, many - len(bad))]))
-    apart = x[i] - x[j]
-    w = np.zeros(width)
+    return np.concatenate([good, rng.choice(good, many - len(good))]), rng.permutation(np.concatenate([bad, rng.choice(bad, many - len(bad))]))
+
+
+def fit_pairs(x: np.ndarray, i: np.ndarray, j: np.ndarray, ridge: np.ndarray, rounds: int = 50, block: int = 4096) -> np.ndarray:
+    """Newton's method on the mean logistic loss of the differences x[i] - x[j], with a ridge; pairs are taken in blocks."""
+    w = np.zeros(x.shape[1])
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(apart @ w, -35, 35)))
-        gradient = apart.T @ (p - 1) / many + ridge * w
-        weight = np.maximum(p * (1 - p), 1e-6)
-        step = np.linalg.solve((apart * weight[:, None]).T @ apart / many + ridge * np.eye(width), gradient)
+        gradient, curve = ridge * w, np.diag(ridge)
+        for lo in range(0, len(i), block):
+            apart = x[i[lo : lo + block]] - x[j[lo : lo + block]]
+            p = 1 / (1 + np.exp(-np.clip(apart @ w, -35, 35)))
+            gradient = gradient + apart.T @ (p - 1) / len(i)
+            curve = curve + (apart * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ apart / len(i)
+        step = np.linalg.solve(curve, gradient)
         w -= step * min(1.0, 5.0 / (np.linalg.norm(step) + 1e-12))
         if np.abs(step).max() < 1e-6:
             break
+    return w
+
+
+def fit(rows: np.ndarray, labels: np.ndarray, *, pairs: int = 40_000, ridge: float = 1e-3, seed: int = 0) -> Model:
+    """Bradley-Terry weights from drawn pairs, and the threshold.
+
+    Without a document of either label there is nothing to compare: all scores are then equal and reach the threshold.
+    """
+    if not (labels == 1).any() or not (labels == 0).any():
+        return Model(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH), 0.0, 1.0)
+    center, scale = rows.mean(axis=0, dtype=float), rows.std(axis=0, dtype=float)
+    scale[scale < 1e-6] = 1
+    x = np.clip((rows.astype(float) - center) / scale, -8, 8)
+    w = fit_pairs(x, *draw_pairs(labels, pairs, np.random.default_rng(seed)), penalties(ridge))
     ranks = (x * w).sum(axis=1)
-    cut = float(np.quantile(ranks, len(bad) / len(labels), method="midpoint"))
+    cut = float(np.quantile(ranks, np.mean(labels == 0), method="midpoint"))
     return Model(center, scale, w, cut, float(max(ranks.std() / 4, 1e-6)))
 
 
@@ -129,14 +158,13 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features(t).tolist() for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(rows, pa.list_(pa.float64()))], names=["id", "label", "x"])
+            rows = [features(t).tobytes() for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(rows, pa.binary())], names=["id", "label", "x"])
 
-    schema = T.StructType([T.StructField("id", labels.schema[id_col].dataType), T.StructField("label", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
-    got = source.select("__text", "__id", "__label").mapInArrow(run, schema).collect()  # most_rows vectors, copies of an id aside
-    got.sort(key=lambda r: (r["id"], r["label"], r["x"]))
-    got = got[:most_rows]
-    return fit(np.array([r["x"] for r in got], dtype=float).reshape(-1, len(NAMES)), np.array([r["label"] for r in got], dtype=int))
+    schema = T.StructType([T.StructField("id", labels.schema[id_col].dataType), T.StructField("label", T.IntegerType()), T.StructField("x", T.BinaryType())])
+    # most_rows vectors of 4 * WIDTH bytes: the copies of an id compete for places, by hash
+    got = source.select("__text", "__id", "__label").mapInArrow(run, schema).orderBy(F.xxhash64("id"), "id", "label", "x").limit(most_rows).collect()
+    return fit(np.frombuffer(b"".join(r["x"] for r in got), dtype=np.float32).reshape(-1, WIDTH), np.array([r["label"] for r in got], dtype=int))
 
 
 OWN = ("held_out", "score", "predicted")
@@ -152,7 +180,7 @@ def score(docs: DataFrame, model: Model, *, keep: list[str] | None = None, id_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.array([features(t) for t in batch.column(0).to_pylist()]).reshape(-1, len(NAMES))
+            rows = np.array([features(t) for t in batch.column(0).to_pylist()], dtype=np.float32).reshape(-1, WIDTH)
             found = model.score(rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found), pa.array((found >= THRESHOLD).astype(np.int32))], names=[*keep, "__held", "score", "predicted"])
 

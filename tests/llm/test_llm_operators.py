@@ -512,6 +512,41 @@ def test_held_out_accuracy(spark):
     assert len(held) > 50 and np.mean([a == b for a, b in held]) >= 0.95
 
 
+def test_words_alone_are_learnt():
+    """Texts of one form whose words differ: the good speak of rivers, the bad of prizes."""
+    rng = random.Random(8)
+    river, prize = ["basin", "gauge", "river", "stage", "level", "water"], ["prize", "money", "bonus", "price", "cheap", "offer"]
+    filler = [f"{a}{b}{c}{d}{e}" for a in "btms" for b in "aeio" for c in "rln" for d in "aeu" for e in "dk"]
+    texts = [" ".join(rng.choice(pool if rng.random() < 0.3 else filler) for _ in range(60)) for pool in (river, prize) * 150]
+    rows, labels = np.stack([quality.features(t) for t in texts]), np.array([1, 0] * 150)
+    model = quality.fit(rows[:200], labels[:200])
+    assert np.mean((model.score(rows[200:]) >= 0.7) == (labels[200:] == 1)) >= 0.95
+
+
+def test_newton_against_plain_gradient_descent():
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((60, 5))
+    labels = (x @ [2.0, -1, 0, 0.5, 0] + 0.5 * rng.standard_normal(60) > 0).astype(int)
+    i, j = quality.draw_pairs(labels, 300, rng)
+    assert set(i) == set(np.flatnonzero(labels == 1)) and set(j) == set(np.flatnonzero(labels == 0))
+    ridge = np.array([0.01, 0.01, 0.1, 0.01, 0.2])
+    w = np.zeros(5)
+    for _ in range(20_000):
+        apart = x[i] - x[j]
+        w -= 0.2 * (ridge * w - apart.T @ (1 / (1 + np.exp(apart @ w))) / len(i))
+    assert np.allclose(quality.fit_pairs(x, i, j, ridge, block=64), w, atol=1e-4)
+
+
+def test_contents_are_of_the_whole_text():
+    text = " ".join(f"word{i % 700}" for i in range(40_000))
+    data = text.encode()
+    plain = np.zeros(quality.TRIGRAM_BINS)
+    for a, b, c in zip(data, data[1:], data[2:], strict=False):
+        plain[((a << 16 | b << 8 | c) * 0x9E3779B1 & 0xFFFFFFFF) >> 25] += 1
+    assert np.allclose(quality.contents(data, Counter(data.split()))[quality.WORD_BINS :] ** 2 * (len(data) - 2), plain)
+    assert not quality.features(" \n").any() and np.isfinite(quality.features("x" * 3_000_000)).all()
+
+
 def test_odd_quality_inputs(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "x y z"), (4, "x y z"), (4, "x y z")], DOCS).withColumn("score", F.lit("clash"))
     labels = spark.createDataFrame([(1, 1), (None, 0), (4, None), (4, 7)], "doc_id bigint, quality int")
