@@ -106,6 +106,7 @@ def mark_revisits(pages: DataFrame, *, id_col: str = "page_id", html_col: str =
     ids = pages.select(F.col(id_col).alias("page"), F.sha1(body).alias("sha"), F.octet_length(body).alias("n")).where(F.col("n") >= min_bytes)
     ids = ids.groupBy("page", "sha").agg(F.first("n").alias("n"))
     first = ids.groupBy("sha").agg(F.min("page").alias("first"), F.count("*").alias("copies")).where("copies > 1 and first is not null").select("sha", "first")
+    first = materialize(first, "warc-payloads")  # both sides of the join are then plain shuffles, of which a hot payload's is split
     return ids.join(first, "sha").where("page is null or page <> first").select("page", "sha", "first")
 
 
