@@ -9,8 +9,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Texts that stand for nothing and for true, formats of dates, classes and month names.
 NULL_TOKENS = ("", "na", "nan", "null", "none", "n/a")
-TRUE_TOKENS = ("1", "true", "t", "yes", "y", "sim", "s", "verdadeiro")
+TRUE_TOKENS = ("true", "t", "yes", "y", "sim", "s", "1")
 DATE_FORMATS = ("dd/MM/yyyy", "yyyy-MM-dd", "dd/MM/yyyy HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss")
 DATETIME_FORMATS = ("yyyy-MM-dd HH:mm:ss[.S]", "yyyy-MM-dd HH:mm", "yyyy-MM-dd HH", "yyyy-MM-dd", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm", "dd/MM/yyyy")
 FAILURE_CLASSES = ("100%", "75–<100%", "50–<75%", "25–<50%", "0–<25%", "0%")
@@ -22,14 +23,13 @@ def col(c: Column | str) -> Column:
 
 
 def is_finite(c: Column | str) -> Column:
-    """True for a number that is neither null, NaN nor infinite; never null."""
-    c = col(c)
-    return F.coalesce(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), F.lit(False))
+    """True for a number that is neither null, NaN (which is above infinity in comparisons) nor infinite; never null."""
+    return F.coalesce(F.abs(col(c)) < F.lit(float("inf")), F.lit(False))
 
 
 def finite(c: Column | str) -> Column:
     """The value where finite, else null."""
-    return F.when(is_finite(c), col(c))
+    return F.when(F.abs(col(c)) < F.lit(float("inf")), col(c))
 
 
 def yes(c: Column) -> Column:
@@ -95,7 +95,9 @@ def same_station(a: Column, b: Column) -> Column:
 
 
 def truthy(c: Column | str) -> Column:
-    return F.lower(F.trim(col(c).cast("string"))).isin(*TRUE_TOKENS)
+    """A flag of any kind: numbers over 0 and the texts of TRUE_TOKENS are true; null and all else are false."""
+    text = F.lower(F.trim(col(c).cast("string")))
+    return yes(text.isin(*TRUE_TOKENS) | (text.try_cast("double") > 0))
 
 
 def any_indicator(flags: Sequence[Column]) -> Column:
@@ -191,6 +193,12 @@ def dms(c: Column | str, positive: str, negative: str) -> Column:
     return F.when(col(c).isNotNull(), F.format_string("%d° %02d' %04.1f\" %s", F.floor(seconds / 3600).cast("int"), (F.floor(seconds / 60) % 60).cast("int"), seconds - F.floor(seconds / 60) * 60, F.when(col(c) >= 0, F.lit(positive)).otherwise(F.lit(negative))))
 
 
+#: Names that no export holds, and parts of names that none holds.
+PRIVATE_NAMES = ("raw_file", "raw_file_path", "first_raw_file", "source_file", "source_path", "local_file", "request_headers", "response_body", "raw_json", "json_response", "raw_verticais")
+PRIVATE_PARTS = ("token", "senha", "password", "cpf", "cnpj", "identificador", "credential", "credencial", "secret", "api_key")
+
+
 def sensitive(name: str) -> bool:
-    """Columns that no export may hold."""
-    return bool(re.search(r"(?i)raw|token|password|senha|credential|credencial|api_key|secret", name))
+    """Columns that no export may hold: paths and raw answers by name, credentials and personal numbers by a part of it."""
+    lower = name.lower()
+    return lower in PRIVATE_NAMES or any(part in lower for part in PRIVATE_PARTS)

@@ -15,37 +15,55 @@ OPEN_END = "9999-12-31"
 def predicted(stage_cm: Column, a: Column, h0: Column, n: Column) -> Column:
     """Q = a (H / 100 - h0) ^ n; null where the effective stage is not positive or a number is missing."""
     effective = stage_cm / 100 - h0
-    q = a * F.pow(effective, n)
-    return finite(F.when(is_finite(effective) & (effective > 0) & is_finite(a) & is_finite(n), q))
+    return finite(F.when((effective > 0) & is_finite(effective) & is_finite(a) & is_finite(n), a * F.pow(effective, n)))
+
+
+def with_years(days: DataFrame, date: str, curves: DataFrame, lo: str, hi: str) -> DataFrame:
+    """The curves once for each year of their station's days on part of which they are valid, as c_station and c_year.
+
+    A null bound is open. Days then meet curves by station and year: a range join with a key that is a year of one
+    station, not a station, so that a station with many curves or days spreads over many tasks.
+    """
+    years = days.select(F.col("station_code").alias("c_station"), F.year(date).alias("c_year")).where("c_year is not null").distinct()
+    y0, y1 = F.year(lo), F.year(hi)
+    meets = (F.col("c_station") == F.col("station_code")) & (y0.isNull() | (F.col("c_year") >= y0)) & (y1.isNull() | (F.col("c_year") <= y1))
+    return years.join(curves, meets).drop("station_code")
 
 
 def match_daily(daily: DataFrame, curves: DataFrame) -> DataFrame:
     """Matches each day to the curve segments of its station by validity and stage range.
 
-    ``daily`` has station_code, date, discharge_m3s, stage_cm, one row a day. The range join has the station as its key,
-    so it is a hash join with a residual condition; its rows fold at once into counts and the best segment (latest
-    valid_from, then curve id and segment number). A station without curves has no before and after flags.
+    ``daily`` has station_code, date, discharge_m3s, stage_cm, one row a day. Days meet segments by station and year; the
+    pairs fold at once, without another shuffle, into counts and the best segment (latest valid_from, then curve id and
+    segment number). A station without curves has no before and after flags.
     """
-    curves = curves.select("station_code", "rating_curve_id", "rating_curve_segment_id", "segment_number", F.col("valid_from").cast("date"), F.col("valid_to").cast("date"), "stage_min_cm", "stage_max_cm", "coefficient_a", "coefficient_h0", "coefficient_n")
+    fields = ["rating_curve_id", "rating_curve_segment_id", "segment_number", "valid_from", "valid_to", "stage_min_cm", "stage_max_cm", "coefficient_a", "coefficient_h0", "coefficient_n"]
+    curves = curves.select("station_code", *(F.col(c).cast("date") if c.startswith("valid") else F.col(c) for c in fields))
     bounds = curves.groupBy(F.col("station_code").alias("b_station")).agg(F.min("valid_from").alias("first_start"), F.when(~F.bool_or(F.col("valid_to").isNull()), F.max("valid_to")).alias("last_end"))
     d = daily.withColumns({"has_discharge": F.col("discharge_m3s").isNotNull(), "has_stage": F.col("stage_cm").isNotNull()})
-    c = curves.withColumnRenamed("station_code", "c_station")
     in_period = (F.col("valid_from").isNull() | (F.col("date") >= F.col("valid_from"))) & (F.col("valid_to").isNull() | (F.col("date") <= F.col("valid_to")))
-    pairs = d.select("station_code", "date", "stage_cm").join(c, (F.col("station_code") == F.col("c_station")) & in_period)
+    # which of a day's segments is best does not depend on the day, so it is a rank within the station; ids are numbers, both in one long
+    own = Window.partitionBy("station_code")
+    rank = F.row_number().over(own.orderBy(F.col("valid_from").isNull(), F.desc("valid_from"), "rating_curve_id", "segment_number", "rating_curve_segment_id", "valid_to", "stage_min_cm", "stage_max_cm", "coefficient_a", "coefficient_h0", "coefficient_n"))
+    numbers = F.shiftleft(F.dense_rank().over(own.orderBy("rating_curve_id")).cast("long"), 32) + F.dense_rank().over(own.orderBy("rating_curve_segment_id"))
+    curves = curves.withColumns({"rank": rank, "numbers": numbers})
+    some = with_years(daily, "date", curves.select("station_code", "valid_from", "valid_to", "stage_min_cm", "stage_max_cm", "rank", "numbers"), "valid_from", "valid_to")
+    days = d.select("station_code", F.year("date").alias("year"), "date", "stage_cm").repartition("station_code", "year")  # as the join would; a small table must not meet its curves in one task
+    in_period = (F.col("valid_from").isNull() | (F.col("date") >= F.col("valid_from"))) & (F.col("valid_to").isNull() | (F.col("date") <= F.col("valid_to")))
+    pairs = days.join(some, (F.col("station_code") == F.col("c_station")) & (F.col("year") == F.col("c_year")) & in_period)
     applicable = yes(is_finite("stage_cm") & is_finite("stage_min_cm") & is_finite("stage_max_cm") & F.col("stage_cm").between(F.col("stage_min_cm"), F.col("stage_max_cm")))
-    q = predicted(F.col("stage_cm"), F.col("coefficient_a"), F.col("coefficient_h0"), F.col("coefficient_n"))
-    best = F.struct(
-        F.col("valid_from").isNull().cast("int").alias("p1"), (-F.unix_date("valid_from")).alias("p2"), "rating_curve_id", "segment_number", "rating_curve_segment_id",
-        F.col("valid_from").alias("selected_curve_valid_from"), F.col("valid_to").alias("selected_curve_valid_to"), F.col("stage_min_cm").alias("selected_stage_min_cm"), F.col("stage_max_cm").alias("selected_stage_max_cm"), q.alias("q_generated_m3s"),
+    pairs = pairs.select("station_code", "year", "date", finite("stage_min_cm").alias("lo"), finite("stage_max_cm").alias("hi"), "numbers", F.when(applicable, F.col("numbers")).alias("usable"), F.when(applicable, F.col("rank")).alias("rank"))
+    folded = pairs.groupBy("station_code", "year", "date").agg(F.collect_set("numbers").alias("valid"), F.collect_set("usable").alias("usable"), F.min("lo").alias("min_valid_stage_cm"), F.max("hi").alias("max_valid_stage_cm"), F.min("rank").alias("rank"))
+    parts = {"curve_segments": lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)), "rating_curves": lambda x: F.shiftright(x, 32)}
+    counts = {f"n_{kind}_{what}": F.size(F.array_distinct(F.transform(found, part))).cast("long") for kind, found in (("valid_date", "valid"), ("applicable", "usable")) for what, part in parts.items()}
+    folded = folded.withColumns(counts).drop("valid", "usable", "year")
+    chosen = curves.select(
+        F.col("station_code").alias("b_station"), F.col("rank").alias("b_rank"), "rating_curve_id", "rating_curve_segment_id", F.col("valid_from").alias("selected_curve_valid_from"), F.col("valid_to").alias("selected_curve_valid_to"),
+        F.col("stage_min_cm").alias("selected_stage_min_cm"), F.col("stage_max_cm").alias("selected_stage_max_cm"), "coefficient_a", "coefficient_h0", "coefficient_n",
     )
-    folded = pairs.groupBy("station_code", "date").agg(
-        F.countDistinct("rating_curve_segment_id").alias("n_valid_date_curve_segments"), F.countDistinct("rating_curve_id").alias("n_valid_date_rating_curves"),
-        F.min(finite("stage_min_cm")).alias("min_valid_stage_cm"), F.max(finite("stage_max_cm")).alias("max_valid_stage_cm"),
-        F.countDistinct(F.when(applicable, F.col("rating_curve_segment_id"))).alias("n_applicable_curve_segments"), F.countDistinct(F.when(applicable, F.col("rating_curve_id"))).alias("n_applicable_rating_curves"), F.min(F.when(applicable, best)).alias("best"),
-    )
-    out = d.join(folded, ["station_code", "date"], "left").join(bounds, F.col("station_code") == F.col("b_station"), "left").drop("b_station")
-    counts = ["n_valid_date_curve_segments", "n_valid_date_rating_curves", "n_applicable_curve_segments", "n_applicable_rating_curves"]
-    out = out.fillna(0, counts).select("*", *(F.col(f"best.{n}").alias(n) for n in ("rating_curve_id", "rating_curve_segment_id", "selected_curve_valid_from", "selected_curve_valid_to", "selected_stage_min_cm", "selected_stage_max_cm", "q_generated_m3s"))).drop("best")
+    out = d.join(folded, ["station_code", "date"], "left").join(chosen, (F.col("station_code") == F.col("b_station")) & (F.col("rank") == F.col("b_rank")), "left").drop("b_station", "b_rank", "rank")
+    q = predicted(F.col("stage_cm"), F.col("coefficient_a"), F.col("coefficient_h0"), F.col("coefficient_n"))
+    out = out.join(bounds, F.col("station_code") == F.col("b_station"), "left").withColumn("q_generated_m3s", q).drop("b_station", "coefficient_a", "coefficient_h0", "coefficient_n").fillna(0, list(counts))
     g, q_obs, stage = F.col("q_generated_m3s"), F.col("discharge_m3s"), F.col("stage_cm")
     has_q, has_h, n_app = F.col("has_discharge"), F.col("has_stage"), F.col("n_applicable_curve_segments")
     covered = F.col("n_valid_date_curve_segments") > 0
@@ -127,11 +145,15 @@ def match_measurements(measurements: DataFrame, curves: DataFrame, as_of: str) -
     Segments without valid_from are left out and open ends run to ``as_of``.
     """
     m = measurements.where("stage_cm is not null and stage_cm > 0 and discharge_m3s is not null and discharge_m3s > 0 and measurement_date is not null")
-    c = curves.where("valid_from is not null").select(F.col("station_code").alias("c_station"), "rating_curve_id", "rating_curve_segment_id", "segment_number", F.col("valid_from").cast("date").alias("lo"), F.coalesce(F.col("valid_to").cast("date"), F.lit(as_of).cast("date")).alias("hi"), "stage_min_cm", "stage_max_cm", "coefficient_a", "coefficient_h0", "coefficient_n")
-    pairs = m.join(c, (F.col("station_code") == F.col("c_station")) & F.col("measurement_date").between(F.col("lo"), F.col("hi")) & F.col("stage_cm").between(F.col("stage_min_cm"), F.col("stage_max_cm"))).drop("c_station", "lo", "hi")
+    c = curves.where("valid_from is not null").select("station_code", "rating_curve_id", "rating_curve_segment_id", "segment_number", F.col("valid_from").cast("date").alias("lo"), F.coalesce(F.col("valid_to").cast("date"), F.lit(as_of).cast("date")).alias("hi"), "stage_min_cm", "stage_max_cm", "coefficient_a", "coefficient_h0", "coefficient_n")
+    meets = (F.col("station_code") == F.col("c_station")) & (F.year("measurement_date") == F.col("c_year"))
+    m = m.repartition("station_code", F.year("measurement_date"))  # as the join would; a small table must not meet its curves in one task
+    pairs = m.join(with_years(m, "measurement_date", c, "lo", "hi"), meets & F.col("measurement_date").between(F.col("lo"), F.col("hi")) & F.col("stage_cm").between(F.col("stage_min_cm"), F.col("stage_max_cm"))).drop("c_station", "c_year", "lo", "hi")
     q = predicted(F.col("stage_cm"), F.col("coefficient_a"), F.col("coefficient_h0"), F.col("coefficient_n"))
-    pairs = pairs.withColumn("rating_predicted_discharge_m3s", q).where("rating_predicted_discharge_m3s > 0").withColumn("rating_log_residual", F.ln("discharge_m3s") - F.ln("rating_predicted_discharge_m3s"))
-    return pairs.withColumn("rating_relative_residual_pct", 100 * (F.exp("rating_log_residual") - 1)).where(is_finite("rating_log_residual")).drop("coefficient_a", "coefficient_h0", "coefficient_n")
+    # the residual is made once for each pair: a filter on it behind a generator stays out of the join's condition
+    found = F.struct(q.alias("rating_predicted_discharge_m3s"), (F.ln("discharge_m3s") - F.ln(q)).alias("rating_log_residual"))
+    kept = pairs.select("*", F.inline(F.array(found))).where((F.col("rating_predicted_discharge_m3s") > 0) & is_finite("rating_log_residual"))
+    return kept.withColumn("rating_relative_residual_pct", 100 * (F.exp("rating_log_residual") - 1)).drop("coefficient_a", "coefficient_h0", "coefficient_n")
 
 
 def best_matches(matches: DataFrame, key: str = "measurement_id") -> DataFrame:

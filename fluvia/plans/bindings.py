@@ -8,14 +8,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-STATION = "lpad(CAST({} % 10 AS STRING), 8, '0')"
+
+
+def station(key: str, rows: int) -> str:
+    """The station of a key: ``rows`` consecutive keys share one, so there are as many more stations as there is more data.
+
+    Five suppliers' lines, 75 customers' orders and 100 parts make a station's daily records, measurements and segments;
+    all three tables come to the same stations at every scale.
+    """
+    return f"lpad(CAST(CAST(floor({key} / {rows}.0) AS BIGINT) AS STRING), 8, '0')"
+
+
+DAILY_KEYS, MEASUREMENT_KEYS, CURVE_KEYS = 5, 75, 100
 _ORDINAL = ["l_orderkey AS o1", "CAST(l_linenumber AS BIGINT) AS o2", "l_partkey AS o3", "l_suppkey AS o4"]
 
 
 def _daily(variable: str, value: str) -> tuple[str, list[str], str]:
     return (
         "lineitem",
-        [STATION.format("l_suppkey") + " AS station_code", "CAST(l_shipdate AS DATE) AS date", f"'{variable}' AS variable", f"{value} AS value", "CAST(1 + l_linenumber % 2 AS STRING) AS consistency_level", "l_returnflag AS source_status", "CASE WHEN l_linestatus = 'O' THEN '1' ELSE '0' END AS daily_flag", *_ORDINAL],
+        [station("l_suppkey", DAILY_KEYS) + " AS station_code", "CAST(l_shipdate AS DATE) AS date", f"'{variable}' AS variable", f"{value} AS value", "CAST(1 + l_linenumber % 2 AS STRING) AS consistency_level", "l_returnflag AS source_status", "CASE WHEN l_linestatus = 'O' THEN '1' ELSE '0' END AS daily_flag", *_ORDINAL],
         "true",
     )
 
@@ -27,13 +38,13 @@ BINDINGS: dict[str, tuple[str, list[str], str]] = {
     "raw_rain": _daily("rainfall", "CASE WHEN l_quantity = 48 THEN NULL WHEN l_quantity = 47 THEN -1.0 ELSE greatest(0.0, l_quantity - 25) END"),
     "measurements": (
         "orders",
-        [STATION.format("o_custkey") + " AS station_code", "o_orderdate AS measurement_datetime", "CAST(o_orderdate AS DATE) AS measurement_date", "CAST(1 + o_orderkey % 2 AS INT) AS consistency_level", "o_orderkey AS measurement_id", "CAST(o_custkey % 97 AS DOUBLE) * 5 AS stage_cm", "CASE WHEN o_orderkey % 50 = 0 THEN 0.0 ELSE o_totalprice / 1000 END AS discharge_m3s", "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderdate END AS last_update"],
+        [station("o_custkey", MEASUREMENT_KEYS) + " AS station_code", "o_orderdate AS measurement_datetime", "CAST(o_orderdate AS DATE) AS measurement_date", "CAST(1 + o_orderkey % 2 AS INT) AS consistency_level", "o_orderkey AS measurement_id", "CAST(o_custkey % 97 AS DOUBLE) * 5 AS stage_cm", "CASE WHEN o_orderkey % 50 = 0 THEN 0.0 ELSE o_totalprice / 1000 END AS discharge_m3s", "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderdate END AS last_update"],
         "true",
     ),
     "rating_curves": (
         "part",
         [
-            STATION.format("p_partkey") + " AS station_code", STATION.format("p_partkey") + " || '_' || CAST(p_size % 5 AS STRING) AS rating_curve_id", "CAST(p_partkey AS STRING) AS rating_curve_segment_id",
+            station("p_partkey", CURVE_KEYS) + " AS station_code", station("p_partkey", CURVE_KEYS) + " || '_' || CAST(p_size % 5 AS STRING) AS rating_curve_id", "CAST(p_partkey AS STRING) AS rating_curve_segment_id",
             "CAST(1 + p_partkey % 3 AS INT) AS segment_number", "CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE make_date(1994 + p_size % 7, 1, 1) END AS valid_from", "CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE make_date(1996 + p_size % 7, 6, 30) END AS valid_to",
             "CAST(p_size * 4 AS DOUBLE) AS stage_min_cm", "CAST(p_size * 4 + 180 AS DOUBLE) AS stage_max_cm", "CAST(5 + p_size AS DOUBLE) AS coefficient_a", "CAST(p_partkey % 5 AS DOUBLE) * 0.2 AS coefficient_h0", "1.2 + CAST(p_size % 10 AS DOUBLE) * 0.1 AS coefficient_n",
             "CAST(1 + p_partkey % 2 AS INT) AS consistency_level", "CASE WHEN p_size % 3 = 0 THEN '01/0' || CAST(1 + p_size % 3 AS STRING) ELSE CAST(1 + p_size % 3 AS STRING) END AS segment_number_raw",
@@ -47,12 +58,12 @@ BINDINGS: dict[str, tuple[str, list[str], str]] = {
     ),
     "vertices": (
         "customer",
-        [STATION.format("c_custkey") + " AS station_code", STATION.format("c_custkey") + " || '_' || CAST(c_custkey % 40 AS STRING) AS cross_section_id", "CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE CAST(c_custkey % 100 AS DOUBLE) * 1.5 END AS vertex_distance_m", "CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE c_acctbal / 10 END AS vertex_stage_cm", "c_custkey AS vertex_key"],
+        [station("c_custkey", MEASUREMENT_KEYS) + " AS station_code", station("c_custkey", MEASUREMENT_KEYS) + " || '_' || CAST(c_custkey % 5 AS STRING) AS cross_section_id", "CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE CAST(c_custkey % 100 AS DOUBLE) * 1.5 END AS vertex_distance_m", "CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE c_acctbal / 10 END AS vertex_stage_cm", "c_custkey AS vertex_key"],
         "true",
     ),
     "request_log": (
         "events",
-        ["lpad(CAST(user_id % 50 AS STRING), 8, '0') AS station_code", "event_type AS route_name", "CAST(ts AS DATE) AS date_start", "value >= 5 AS success", "value AS http_status", "event_id AS row_id", "ts AS requested_at", "props AS payload"],
+        ["lpad(CAST(user_id AS STRING), 8, '0') AS station_code", "event_type AS route_name", "CAST(ts AS DATE) AS date_start", "value >= 5 AS success", "value AS http_status", "event_id AS row_id", "ts AS requested_at", "props AS payload"],
         "true",
     ),
 }
