@@ -68,22 +68,24 @@ def section_summary(vertices: DataFrame) -> DataFrame:
     )
 
 
-def consolidate_inventories(api: DataFrame, telemetric: DataFrame, conventional: DataFrame, temporal: Sequence[str] = ()) -> DataFrame:
+def consolidate_inventories(api: DataFrame, telemetric: DataFrame, conventional: DataFrame, temporal: Sequence[str] = (), ordinal: str | None = None) -> DataFrame:
     """One row a station: the API's before the telemetric's before the conventional service's, with source flags.
 
-    ``temporal`` columns prefer the conventional service, then the row's own.
+    Of a station's rows in one inventory the first by ``ordinal`` (a column that numbers each inventory's rows) stays;
+    without one, the least row. ``temporal`` columns prefer the conventional service's first row, then the row's own.
     """
     named = [(api, "api", 1), (telemetric, "ws_telemetric", 2), (conventional, "ws_conventional", 3)]
     rows = None
     for df, name, rank in named:
         some = df.withColumns({"source_route": F.lit(name), "source_priority": F.lit(rank)})
         rows = some if rows is None else rows.unionByName(some, allowMissingColumns=True)
-    names = [c for c in rows.columns if c != "station_code"]
-    best = F.min(F.struct("source_priority", *(c for c in names if c != "source_priority")))
+    names = [c for c in rows.columns if c not in ("station_code", ordinal)]
+    first = [ordinal] if ordinal else []
+    best = F.min(F.struct("source_priority", *first, *(c for c in names if c != "source_priority")))
     flags = [F.bool_or(F.col("source_route") == n).alias(f"source_{n}") for _, n, _ in named]
-    later = [F.min(F.when(F.col("source_route") == "ws_conventional", F.col(c))).alias(f"__{c}") for c in temporal]
-    out = rows.groupBy("station_code").agg(best.alias("r"), *flags, *later)
-    return out.select("station_code", *(F.coalesce(f"__{c}", F.col(f"r.{c}")).alias(c) if c in temporal else F.col(f"r.{c}").alias(c) for c in names), *(f"source_{n}" for _, n, _ in named))
+    later = F.min(F.when(F.col("source_route") == "ws_conventional", F.struct(*first, *(c for c in names if c != "source_priority"))))
+    out = rows.groupBy("station_code").agg(best.alias("r"), *flags, later.alias("__later"))
+    return out.select("station_code", *(F.coalesce(f"__later.{c}", F.col(f"r.{c}")).alias(c) if c in temporal else F.col(f"r.{c}").alias(c) for c in names), *(f"source_{n}" for _, n, _ in named))
 
 
 def window_status(log: DataFrame) -> DataFrame:
@@ -177,3 +179,25 @@ def null_keys(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     for k in keys:
         missing = missing | F.col(k).isNull()
     return df.agg(F.count_if(missing).alias("n_failures")).select(F.lit(f"null:{name}").alias("check"), "n_failures")
+
+
+def value_counts(df: DataFrame, name: str) -> DataFrame:
+    """How many rows hold each value of a column, the most frequent first, then by value; null is a value."""
+    return df.groupBy(F.col(name).alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc_nulls_last("value"))
+
+
+def qc_summary(cleaned: DataFrame, keys: Sequence[str], missing: Sequence[str], stations: str = "station_code") -> DataFrame:
+    """One row that sums a cleaning up: rows in, kept and removed (by reason), stations, duplicate keys that are left, and null values by column."""
+    kept = F.col("removed_reason").isNull()
+    left = cleaned.where(kept).groupBy(*keys).count().agg(F.count_if(F.col("count") > 1).alias("n_duplicate_keys_left"))
+    row = cleaned.agg(
+        F.count("*").alias("n_rows_in"), F.count_if(kept).alias("n_rows_kept"), *(F.count_if(F.col("removed_reason") == r).alias(f"n_removed_{r}") for r in REASONS),
+        F.countDistinct(F.when(kept, F.col(stations))).alias("n_stations"), *(F.count_if(kept & F.col(c).isNull()).alias(f"n_missing_{c}") for c in missing),
+    )
+    return row.crossJoin(left)  # one row each
+
+
+def first_known(df: DataFrame, keys: Sequence[str], columns: Sequence[str], ordinal: str) -> DataFrame:
+    """Of each key, each column's first value that is not null, by the ordinal; null if it has none."""
+    firsts = [F.min(F.when(F.col(c).isNotNull(), F.struct(F.col(ordinal).alias("o"), F.col(c).alias("v")))).alias(c) for c in columns]
+    return df.groupBy(*keys).agg(*firsts).select(*keys, *(F.col(f"{c}.v").alias(c) for c in columns))

@@ -131,12 +131,33 @@ def segment_errors(matched: DataFrame, curves: DataFrame) -> DataFrame:
         F.count("*").alias("n_match_days"), F.count("q_generated_m3s").alias("n_generated"), F.count_if("q_generation_error").alias("n_errors"), F.count_if("q_difference_evaluable").alias("n_compared"),
         *(F.count_if(f"q_diff_gt_{k}").alias(f"n_gt_{k}") for k in (5, 10, 25)), F.percentile("abs_relative_error", 0.5).alias("median_abs_error"), F.percentile("abs_relative_error", 0.95).alias("p95_abs_error"),
     )
+    return stats.join(curve_labels(curves).drop("equation"), ["station_code", "rating_curve_id", "rating_curve_segment_id"])
+
+
+def short_coefficient(c: Column | str, digits: int = 3) -> Column:
+    """A coefficient to ``digits`` decimals without zeros at its end; NA for null."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.coalesce(F.regexp_replace(F.format_string(f"%.{digits}f", c), r"\.?0+$", ""), F.lit("NA"))
+
+
+def curve_labels(curves: DataFrame) -> DataFrame:
+    """Each segment's number of curve (by first validity) and of segment (by stage), label and equation text."""
     by_curve = Window.partitionBy("station_code").orderBy(F.asc_nulls_last("curve_from"), "rating_curve_id")
     numbers = curves.groupBy("station_code", "rating_curve_id").agg(F.min(F.col("valid_from").cast("date")).alias("curve_from")).withColumn("curve_number", F.row_number().over(by_curve)).drop("curve_from")
     by_segment = Window.partitionBy("station_code", "rating_curve_id").orderBy(F.asc_nulls_last("stage_min_cm"), "rating_curve_segment_id")
-    segments = curves.select("station_code", "rating_curve_id", "rating_curve_segment_id", "stage_min_cm").withColumn("segment_order", F.row_number().over(by_segment)).drop("stage_min_cm")
-    rows = stats.join(numbers, ["station_code", "rating_curve_id"]).join(segments, ["station_code", "rating_curve_id", "rating_curve_segment_id"])
-    return rows.withColumn("segment_label", F.concat(F.lit("CC "), F.col("curve_number").cast("string"), F.lit(" - T"), F.col("segment_order").cast("string")))
+    rows = curves.withColumn("segment_order", F.row_number().over(by_segment)).join(numbers, ["station_code", "rating_curve_id"])
+    sign = F.when(F.col("coefficient_h0") < 0, "+").otherwise("-")
+    equation = F.concat(F.lit("Q="), short_coefficient("coefficient_a"), F.lit("(H"), sign, short_coefficient(F.abs("coefficient_h0")), F.lit(")^"), short_coefficient("coefficient_n"))
+    label = F.concat(F.lit("CC "), F.col("curve_number").cast("string"), F.lit(" - T"), F.col("segment_order").cast("string"))
+    return rows.select("station_code", "rating_curve_id", "rating_curve_segment_id", "curve_number", "segment_order", label.alias("segment_label"), F.when(F.col("coefficient_a").isNotNull(), equation).alias("equation"))
+
+
+def valid_on(events: DataFrame, date: str, curves: DataFrame) -> DataFrame:
+    """The events with each curve segment of their station that is valid on their date; null bounds are open."""
+    fields = ("rating_curve_id", "rating_curve_segment_id", "valid_from", "valid_to")
+    some = with_years(events, date, curves.select("station_code", *fields), "valid_from", "valid_to")
+    inside = (F.col("valid_from").isNull() | (F.col(date) >= F.col("valid_from"))) & (F.col("valid_to").isNull() | (F.col(date) <= F.col("valid_to")))
+    return events.join(some, (F.col("station_code") == F.col("c_station")) & (F.year(date) == F.col("c_year")) & inside).drop("c_station", "c_year")
 
 
 def match_measurements(measurements: DataFrame, curves: DataFrame, as_of: str) -> DataFrame:

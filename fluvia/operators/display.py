@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluvia.functions.columns import any_indicator, finite, is_finite, ladder, yes
@@ -72,3 +72,33 @@ def acquisition_scope(has_q: Column, has_h: Column, has_curve: Column) -> tuple[
     data = F.when(q & h & c, "Vazão + cotas + curvas-chave").when(q & h, "Vazão + cotas").when(q & c, "Parcial — sem cotas").when(q, "Parcial — sem cotas e curvas-chave").when(h & c, "Parcial — sem vazões").when(h, "Parcial — sem vazões e curvas-chave").otherwise("Parcial")
     use = F.when(q & h & c, "Apta para análise H-Q com curvas-chave").when(q & h, "Apta para verificações H-Q básicas").when(q & c, "Parcial — sem cotas").when(q, "Parcial — sem cotas e curvas-chave").when(h, "Parcial — sem vazões").otherwise("Dados incompletos")
     return data, use
+
+
+def value_text(c: Column | str, digits: int = 2, unit: str | None = None, missing: str = "—") -> Column:
+    """A value as tables show it: numbers with a decimal comma and points for thousands, flags as Sim or Não, dates day first."""
+    c = F.col(c) if isinstance(c, str) else c
+    number = F.regexp_replace(F.format_number(c.try_cast("double"), digits), r"\.?0+$" if digits else r"^$", "")
+    shown = F.translate(number, ",.", ".,")
+    return F.coalesce(shown if unit is None else F.concat(shown, F.lit(f" {unit}")), F.lit(missing))
+
+
+def yes_no(c: Column | str) -> Column:
+    """Sim, Não, or the sign for missing."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(c, "Sim").when(~c, "Não").otherwise("—")
+
+
+def ranked_by(df: DataFrame, name: str, order: Sequence[str]) -> DataFrame:
+    """The rows with ``display_order``: the place of a column's value in a given list, those not in it behind."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col(name))
+    return df.withColumn("display_order", F.when(yes(place > 0), place).otherwise(F.lit(len(order) + 1)).cast("long"))
+
+
+def preview(df: DataFrame, keys: Sequence[str], row_id: str, most: int, seed: int = 1) -> DataFrame:
+    """At most ``most`` rows of each key for a plot, the same ones at each run: those of smallest MD5 of seed and row id."""
+    order = Window.partitionBy(*keys).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(row_id).cast("string")).cast("binary")), row_id)
+    return df.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most).drop("__n")
+
+
+def map_group_label(group: Column) -> Column:
+    return ladder(group, [(group == MAP_GROUPS[0], "Medições + curvas-chave"), (group == MAP_GROUPS[1], "Somente medições")], "Somente cadastro")

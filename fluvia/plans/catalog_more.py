@@ -446,11 +446,6 @@ def retry_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.retry_candidates(cleaning.window_status(view(spark, sf_dir, "request_log")))
 
 
-@query()
-def date_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaning.date_clusters(view(spark, sf_dir, "measurements"))
-
-
 STATION_SUMMARY = f"""{cte("measurements")},
 ms AS (SELECT station_code, count(*) AS n, min(measurement_datetime) AS t0, max(measurement_datetime) AS t1, count(DISTINCT year(measurement_datetime)) AS years, count(stage_cm) AS nh, count(discharge_m3s) AS nq, count(*) FILTER (WHERE consistency_level = 1) AS l1, count(*) FILTER (WHERE consistency_level = 2) AS l2, min(stage_cm) AS h0, max(stage_cm) AS h1, avg(discharge_m3s) AS qm FROM measurements GROUP BY 1)"""
 
@@ -510,13 +505,16 @@ def quality_indices_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def inventories(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", F.col("s_name").alias("station_name"), F.round("s_acctbal", 2).alias("altitude"), F.lpad(F.col("s_suppkey").cast("string"), 8, "0").alias("station_code"))
-    return [s.where(F.col("s_suppkey") % m == 0).select("station_code", F.concat(F.lit(p), "station_name").alias("station_name"), (F.col("altitude") + i).alias("altitude")) for i, (m, p) in enumerate(((2, "a:"), (3, "t:"), (5, "c:")))]
+    k = F.col("s_suppkey")
+    # the conventional service also has the stations that neither other one has
+    members = (("a:", k % 2 == 0), ("t:", k % 3 == 0), ("c:", (k % 5 == 0) | ((k % 2 != 0) & (k % 3 != 0))))
+    return [s.where(member).select("station_code", F.concat(F.lit(p), "station_name").alias("station_name"), (F.col("altitude") + i).alias("altitude")) for i, (p, member) in enumerate(members)]
 
 
 @query(
-    """WITH s AS (SELECT lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS station_code, s_suppkey AS k, s_name AS n, round(s_acctbal, 2) AS a FROM supplier WHERE s_suppkey % 2 = 0 OR s_suppkey % 3 = 0 OR s_suppkey % 5 = 0)
-SELECT station_code, CASE WHEN k % 2 = 0 THEN 'a:' || n WHEN k % 3 = 0 THEN 't:' || n ELSE 'c:' || n END AS station_name, round(CASE WHEN k % 5 = 0 THEN a + 2 WHEN k % 2 = 0 THEN a ELSE a + 1 END, 6) AS altitude, CASE WHEN k % 2 = 0 THEN 'api' WHEN k % 3 = 0 THEN 'ws_telemetric' ELSE 'ws_conventional' END AS source_route,
-       k % 2 = 0 AS source_api, k % 3 = 0 AS source_ws_telemetric, k % 5 = 0 AS source_ws_conventional FROM s"""
+    """WITH s AS (SELECT lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS station_code, s_suppkey AS k, s_name AS n, round(s_acctbal, 2) AS a FROM supplier), c AS (SELECT *, k % 5 = 0 OR (k % 2 <> 0 AND k % 3 <> 0) AS conventional FROM s)
+SELECT station_code, CASE WHEN k % 2 = 0 THEN 'a:' || n WHEN k % 3 = 0 THEN 't:' || n ELSE 'c:' || n END AS station_name, round(CASE WHEN conventional THEN a + 2 WHEN k % 2 = 0 THEN a ELSE a + 1 END, 6) AS altitude, CASE WHEN k % 2 = 0 THEN 'api' WHEN k % 3 = 0 THEN 'ws_telemetric' ELSE 'ws_conventional' END AS source_route,
+       k % 2 = 0 AS source_api, k % 3 = 0 AS source_ws_telemetric, conventional AS source_ws_conventional FROM c"""
 )
 def inventory_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.consolidate_inventories(*inventories(spark, sf_dir), temporal=["altitude"]).select("station_code", "station_name", "altitude", "source_route", "source_api", "source_ws_telemetric", "source_ws_conventional")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -18,7 +20,7 @@ def session(app: str = "fluvia", cores: str | int = "*", **conf: str) -> SparkSe
         .appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", str(max(8, os.cpu_count() or 8)))
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -31,21 +33,41 @@ def session(app: str = "fluvia", cores: str | int = "*", **conf: str) -> SparkSe
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local master gets a temporary one (tests); on a cluster executors could not see it, so that
+    raises. The tables of a run lie in one subfolder, which goes when the driver's Python ends.
+    """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not folder:
         known = context._jsc.sc().getCheckpointDir()
-        folder = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="fluvia-")
-        if known.isEmpty():
+        folder = known.get() if known.isDefined() else None
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if folder is None:
+            folder = tempfile.mkdtemp(prefix="fluvia-")
             context.setCheckpointDir(folder)
-    return folder.rstrip("/")
+    own = f"{folder.rstrip('/')}/fluvia-{context.applicationId}"
+    if getattr(context, "_fluvia_scratch", None) != own:
+        context._fluvia_scratch = own
+        atexit.register(clean, spark, own)
+    return own
+
+
+def clean(spark: SparkSession, folder: str | None = None) -> None:
+    """Removes the scratch tables of this application; what was read from them and not yet written is lost."""
+    context = spark.sparkContext
+    folder = folder or getattr(context, "_fluvia_scratch", None)
+    if folder and context._jsc is not None and not context._jsc.sc().isStopped():
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends there and a lost executor costs nothing."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/fluvia-{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -86,3 +86,15 @@ def verify_manifest(spark: SparkSession, folder: str, manifest: DataFrame) -> Da
     """Compares sizes and SHA-256 of files with a manifest (file, size_bytes, sha256); one row a listed file."""
     files = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.col("length").alias("found_bytes"), F.sha2("content", 256).alias("found_sha256"))
     return manifest.join(files, "file", "left").withColumn("ok", F.coalesce((F.col("size_bytes") == F.col("found_bytes")) & (F.lower("sha256") == F.col("found_sha256")), F.lit(False)))
+
+
+def create_views(spark: SparkSession, views: Mapping[str, DataFrame]) -> SparkSession:
+    """Temporary views of the session, replaced where they exist, for queries in SQL."""
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)
+    return spark
+
+
+def append_rows(df: DataFrame, folder: str) -> None:
+    """Appends rows to a log kept as a folder of CSV files with a heading each; a task that runs again adds nothing twice."""
+    df.write.mode("append").option("header", True).csv(folder)

@@ -50,3 +50,14 @@ def test_classes(spark):
     for v, expected in ((100.0, "100%"), (75.0, "75–<100%"), (0.1, "0–<25%"), (0.0, "0%")):
         assert one(spark, v, lambda c: C.failure_class(F.col(c)), "double") == expected
     assert one(spark, None, lambda c: C.attention_class(F.col(c)), "int") == "high_attention"
+
+
+def test_truth_of_numbers_texts_and_nulls(spark):
+    for value, kind, expected in ((2, "int", True), (1.0, "double", True), (0, "int", False), (-1.5, "double", False), (True, "boolean", True), (False, "boolean", False), (" Sim ", "string", True), ("não", "string", False), (None, "string", False), (None, "int", False)):
+        assert one(spark, value, C.truthy, kind) is expected
+
+
+def test_private_columns_stay_out():
+    private = ["cpf_responsavel", "CNPJ", "identificador_usuario", "access_token", "senha", "raw_file", "Raw_JSON", "source_path", "response_body", "raw_verticais", "credencial", "first_raw_file"]
+    assert all(map(C.sensitive, private))
+    assert not any(map(C.sensitive, ["station_code", "raw_value", "rawness", "discharge_m3s"]))

@@ -219,3 +219,42 @@ def test_results_combine(spark):
         both.require("rainfall")
     with pytest.raises(ValueError):
         daily.combine([])
+
+
+def test_first_row_of_an_inventory_stays(spark):
+    from fluvia.operators import cleaning
+
+    rows = [(1, "a", "zeta", 5.0), (2, "a", "alpha", 9.0)]
+    kind = "n int, station_code string, station_name string, altitude double"
+    api, empty = spark.createDataFrame(rows, kind), spark.createDataFrame([], kind)
+    assert cleaning.consolidate_inventories(api, empty, empty, ordinal="n").first()["station_name"] == "zeta"
+    assert cleaning.consolidate_inventories(empty, api, api, temporal=["altitude"], ordinal="n").first()["altitude"] == 5.0
+    assert cleaning.consolidate_inventories(api, empty, empty).first()["station_name"] == "alpha"
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from fluvia import session
+
+    class Nothing:
+        def isDefined(self):
+            return False
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    inner = SimpleNamespace(getCheckpointDir=lambda: Nothing())
+    context = SimpleNamespace(getConf=lambda: conf, _jsc=SimpleNamespace(sc=lambda: inner), master="spark://host:7077", applicationId="x")
+    try:
+        session.scratch_dir(SimpleNamespace(sparkContext=context, conf=conf))
+    except RuntimeError as e:
+        assert "spark.checkpoint.dir" in str(e)
+    else:
+        raise AssertionError("a cluster without a shared folder must raise")
+
+
+def test_log_rows_are_appended(spark, tmp_path):
+    from fluvia.sources import sinks
+
+    for i in range(3):
+        sinks.append_rows(spark.createDataFrame([(i, "ok")], "n int, status string"), str(tmp_path / "log"))
+    assert sorted(r["n"] for r in spark.read.option("header", True).csv(str(tmp_path / "log")).collect()) == ["0", "1", "2"]
