@@ -5,7 +5,7 @@ the part of a vector from the vector, with each vertex's neighbours' parts as it
 probable part; a query is routed to the most probable parts and reranked there by exact distance. How many parts a query
 visits is measured on the sample: the fewest that find the wanted share of the sample's true neighbours.
 
-Parts are dealt out in blocks of bounded size, and so are a part's queries, so no task holds a whole part.
+Parts are dealt out in bins and blocks of bounded size, and so are their queries, so no task holds a large part.
 """
 
 from __future__ import annotations
@@ -204,15 +204,15 @@ def sample_of(every: DataFrame, n: int, least: int = 8192, most: int = 32_768) -
     return np.array(sorted(r["v"] for r in rows))
 
 
-def ann_search(vectors: DataFrame, queries: F.Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, block_rows: int = 32_768, wanted: float = WANTED, depth: int | None = None) -> DataFrame:
+def ann_search(vectors: DataFrame, queries: F.Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, block_rows: int = 8192, wanted: float = WANTED, depth: int | None = None) -> DataFrame:
     """The k nearest rows found for each row that satisfies ``queries``: query_id, rank (from 1), vec_id, score.
 
     score is the Euclidean distance in double precision; ties go to the smaller id; a query's own row is no candidate.
     Null ids, and vectors null, empty, zero or holding null or non-finite components take no part, nor do vectors of
     another length than most have. Rows of equal id are separate rows of one id, as candidates and as queries. The index
     holds every row; the router is fitted on the sample of ``sample_of``. Parts double with the rows (PART_ROWS at least
-    in each), as far as the sample has PART_SAMPLE rows of each: 2,048 parts at most, which then grow, in blocks of
-    ``block_rows``. Fewer candidates than k give fewer rows, an empty table none.
+    in each), as far as the sample has PART_SAMPLE rows of each: 2,048 parts at most, which then grow. A task reranks some
+    parts of ``block_rows`` rows in all, or such a block of one, and hands on k rows a query. Fewer candidates than k give fewer rows, an empty table none.
     """
     every = materialize(usable(vectors, queries, id_col, vector_col), "vectors")
     sizes = every.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
@@ -237,16 +237,19 @@ def ann_search(vectors: DataFrame, queries: F.Column, *, id_col: str = "vec_id",
     routed = "uid bigint, id bigint, v array<double>, parts array<int>"
     columns = ("uid", "id", "v")
     homes = every.select(*columns).mapInArrow(lambda b: route(b, 1), routed).select(*columns, F.col("parts")[0].alias("part"))
-    asked = every.where("asked").select(*columns).mapInArrow(lambda b: route(b, router.probes), routed).select(*columns, F.explode("parts").alias("part"))
+    asked = every.where("asked").select(*columns).mapInArrow(lambda b: route(b, router.probes), routed)
     homes, asked = materialize(homes, "vector-homes"), materialize(asked, "vector-queries")
-    # at most 2,048 parts each: how many blocks of rows and of queries
-    blocks = {r["part"]: -(-r["count"] // block_rows) for r in homes.groupBy("part").count().collect()}
-    turns = {r["part"]: -(-r["count"] // block_rows) for r in asked.groupBy("part").count().collect()}
+    # at most 2,048 parts: neighbouring small ones share a bin of about block_rows rows, a larger one is cut into blocks
+    sizes_of = {r["part"]: r["count"] for r in homes.groupBy("part").count().collect()}
+    bin_of, blocks = bins(sizes_of, router.parts, block_rows)
+    bin_col = F.element_at(F.array(*map(F.lit, bin_of)), F.col("part") + 1)
+    questions = asked.withColumn("bin", F.explode(F.array_distinct(F.transform("parts", lambda p: F.element_at(F.array(*map(F.lit, bin_of)), p + 1)))))
+    turns = {r["bin"]: -(-r["count"] // block_rows) for r in questions.groupBy("bin").count().collect()}
     if not turns:
         return nothing
 
     def lookup(counts: dict[int, int]) -> F.Column:
-        return F.coalesce(F.element_at(F.array(*(F.lit(counts.get(p, 1)) for p in range(router.parts))), F.col("part") + 1), F.lit(1))
+        return F.element_at(F.array(*(F.lit(counts.get(i, 1)) for i in range(len(blocks)))), F.col("bin") + 1)
 
     def own(counts: dict[int, int], name: str) -> F.Column:
         return F.pmod(F.xxhash64("uid"), lookup(counts)).cast("int").alias(name)
@@ -254,16 +257,25 @@ def ann_search(vectors: DataFrame, queries: F.Column, *, id_col: str = "vec_id",
     def all_of(counts: dict[int, int], name: str) -> F.Column:
         return F.explode(F.sequence(F.lit(0), lookup(counts) - 1)).alias(name)
 
-    homes = homes.select(*columns, "part", own(blocks, "block")).select("*", all_of(turns, "turn"))
-    questions = asked.select(*columns, "part", own(turns, "turn")).select("*", all_of(blocks, "block"))
+    homes = homes.withColumn("bin", bin_col).select(*columns, "part", "bin", own(blocks, "block")).select("*", all_of(turns, "turn"))
+    questions = questions.select(*columns, "parts", "bin", own(turns, "turn")).select("*", all_of(blocks, "block"))
 
     def rerank(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(rows):
-            return pd.DataFrame({"query": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        found = nearest(np.stack(queries["v"]), queries["uid"].to_numpy(), np.stack(rows["v"]), rows["uid"].to_numpy(), rows["id"].to_numpy(), k)
+        found = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        if len(queries) and len(rows):
+            vectors, names = np.stack(queries["v"]), queries["uid"].to_numpy()
+            asks = np.stack(queries["parts"])
+            every, uids, ids, parts = np.stack(rows["v"]), rows["uid"].to_numpy(), rows["id"].to_numpy(), rows["part"].to_numpy()
+            some = [nearest(vectors[who], names[who], every[at], uids[at], ids[at], k) for p in np.unique(parts) if len(who := np.flatnonzero((asks == p).any(axis=1))) and len(at := np.flatnonzero(parts == p))]
+            if some:
+                found = [np.concatenate(x) for x in zip(*some, strict=True)]
+                order = np.lexsort((found[1], found[2], found[0]))
+                found = [x[order] for x in found]
+                place = np.arange(len(order)) - np.searchsorted(found[0], found[0])
+                found = [x[place < k] for x in found]
         return pd.DataFrame(dict(zip(("query", "vec_id", "score"), found, strict=True)))
 
-    keys = ("part", "block", "turn")
+    keys = ("bin", "block", "turn")
     found = questions.groupBy(*keys).cogroup(homes.groupBy(*keys)).applyInPandas(rerank, schema)
     rank = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))
     best = found.select("query", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
@@ -271,6 +283,18 @@ def ann_search(vectors: DataFrame, queries: F.Column, *, id_col: str = "vec_id",
     return best.join(names, "query").select("query_id", "rank", "vec_id", "score")
 
 
+def bins(sizes: dict[int, int], parts: int, rows: int) -> tuple[list[int], dict[int, int]]:
+    """(the bin of each part, how many blocks each bin has): parts in order share a bin while it has at most ``rows`` rows."""
+    bin_of, held = [0] * parts, [0]
+    for part in range(parts):
+        size = sizes.get(part, 0)
+        if held[-1] and held[-1] + size > rows:
+            held.append(0)
+        held[-1] += size
+        bin_of[part] = len(held) - 1
+    return bin_of, {i: max(1, -(-n // rows)) for i, n in enumerate(held)}
+
+
 def brute_force(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, k: int = 10) -> dict[int, list[tuple[int, float]]]:
     """The true k nearest of small tables of different ids, for measuring recall."""
     asked = np.isin(ids, query_ids)
