@@ -72,6 +72,18 @@ class ByteTable:
         return b"".join(parts)
 
 
+def vocabulary(content: dict) -> tuple[list[bytes], dict[str, int]]:
+    """(the bytes of each id, the special tokens) of a tokenizers file."""
+    letters = byte_letters()
+    vocab, specials = content["model"]["vocab"], {x["content"]: x["id"] for x in content["added_tokens"]}
+    bytes_of = [b""] * (max([*vocab.values(), *specials.values()]) + 1)
+    for word, i in vocab.items():
+        bytes_of[i] = bytes(letters[c] for c in word)
+    for word, i in specials.items():
+        bytes_of[i] = word.encode()
+    return bytes_of, specials
+
+
 class Bpe:
     """A byte-level BPE model from the content of a tokenizers file."""
 
@@ -80,13 +92,8 @@ class Bpe:
         letters = byte_letters()
         vocab: dict[str, int] = content["model"]["vocab"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in content["model"]["merges"]]
-        self.specials = {x["content"]: x["id"] for x in content["added_tokens"]}
-        self.size = max([*vocab.values(), *self.specials.values()]) + 1
-        self.bytes_of = [b""] * self.size
-        for word, i in vocab.items():
-            self.bytes_of[i] = bytes(letters[c] for c in word)
-        for word, i in self.specials.items():
-            self.bytes_of[i] = word.encode()
+        self.bytes_of, self.specials = vocabulary(content)
+        self.size = len(self.bytes_of)
         self.byte_id = np.zeros(256, dtype=np.int64)
         for letter, b in letters.items():
             self.byte_id[b] = vocab[letter]

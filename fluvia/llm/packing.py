@@ -10,10 +10,12 @@ their length, which two-level counting gives without gathering a length in one t
 from __future__ import annotations
 
 import bisect
+import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import types as T
 
 from tokenizers import Tokenizer
 
-from fluvia.llm.bpe import BEYOND, WORD_PATTERN, Bpe, read_spec, unsettled
+from fluvia.llm.bpe import BEYOND, WORD_PATTERN, read_spec, unsettled, vocabulary
 from fluvia.session import materialize
 
 #: (lengths, most first; how many sequences have them)
@@ -203,17 +205,20 @@ def encoder(spec: bytes) -> Callable[[str], np.ndarray]:
     not assigned yet in another way, so texts with either go to the tokenizers library itself, as a whole.
     """
     if spec not in _encoders:
-        bpe = Bpe(spec)
-        special = set(bpe.specials.values())
-        ranks = {word: i for i, word in enumerate(bpe.bytes_of) if word and i not in special}
-        fast = tiktoken.Encoding("packing", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens=bpe.specials)
-        exact = Tokenizer.from_str(spec.decode())
-        exact.no_truncation()
-        exact.no_padding()
+        bytes_of, specials = vocabulary(json.loads(spec))
+        ranks = {word: i for i, word in enumerate(bytes_of) if word and i not in specials.values()}
+        fast = tiktoken.Encoding("packing", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens=specials)
+
+        @cache
+        def exact() -> Tokenizer:
+            made = Tokenizer.from_str(spec.decode())
+            made.no_truncation()
+            made.no_padding()
+            return made
 
         def encode(text: str) -> np.ndarray:
             if LONG_SPACE.search(text) or not text.isascii() and BEYOND.search(text) and unsettled().search(text):
-                return np.array(exact.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+                return np.array(exact().encode(text, add_special_tokens=False).ids, dtype=np.uint32)
             return fast.encode_to_numpy(text, allowed_special="all")
 
         _encoders[spec] = encode
