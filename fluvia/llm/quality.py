@@ -115,7 +115,7 @@ def fit_pairs(x: np.ndarray, i: np.ndarray, j: np.ndarray, ridge: np.ndarray, ro
     for _ in range(rounds):
         gradient, curve = ridge * w, np.diag(ridge)
         for lo in range(0, len(i), block):
-            apart = x[i[lo : lo + block]] - x[j[lo : lo + block]]
+            apart = (x[i[lo : lo + block]] - x[j[lo : lo + block]]).astype(float)
             p = 1 / (1 + np.exp(-np.clip(apart @ w, -35, 35)))
             gradient = gradient + apart.T @ (p - 1) / len(i)
             curve = curve + (apart * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ apart / len(i)
@@ -135,9 +135,11 @@ def fit(rows: np.ndarray, labels: np.ndarray, *, pairs: int = 40_000, ridge: flo
         return Model(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH), 0.0, 1.0)
     center, scale = rows.mean(axis=0, dtype=float), rows.std(axis=0, dtype=float)
     scale[scale < 1e-6] = 1
-    x = np.clip((rows.astype(float) - center) / scale, -8, 8)
+    x = np.empty_like(rows, dtype=np.float32)
+    for lo in range(0, len(rows), 1024):
+        x[lo : lo + 1024] = np.clip((rows[lo : lo + 1024] - center) / scale, -8, 8)
     w = fit_pairs(x, *draw_pairs(labels, pairs, np.random.default_rng(seed)), penalties(ridge))
-    ranks = (x * w).sum(axis=1)
+    ranks = x.astype(float) @ w
     cut = float(np.quantile(ranks, np.mean(labels == 0), method="midpoint"))
     return Model(center, scale, w, cut, float(max(ranks.std() / 4, 1e-6)))
 
