@@ -179,6 +179,12 @@ def annual_maxima_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("station_code", "hydrological_year", "date_max", "n_consistency_issues_on_max", "consistency_issue_types_on_max", "flag_consistency_issue_on_max")
 
 
+@query(f"WITH {MAXIMA} SELECT hy AS ano_hidrologico, date_max AS data_maximo, round(q_max, 3) AS q_max_m3s, round(100 * mf, 3) AS falhas_pct, rd AS rank, ties AS n_dias_iguais_ao_maximo, CASE WHEN up > 1.5 THEN 'alto' WHEN down > 1.5 THEN 'baixo' ELSE '' END AS outlier FROM f")
+def annual_maxima_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sinks.annual_max_export(extremes.annual_maxima(flow_grid(spark, sf_dir)))
+    return rows.select("ano_hidrologico", "data_maximo", "q_max_m3s", "falhas_pct", "rank", "n_dias_iguais_ao_maximo", "outlier")
+
+
 # station tables
 
 

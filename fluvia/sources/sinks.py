@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluvia.functions.columns import sensitive
+from fluvia.functions.columns import is_finite, sensitive
 
 #: Headings of the exported products.
 HEADINGS = {
@@ -18,7 +18,14 @@ HEADINGS = {
     "duration": {"permanence_pct": "Permanência (%)", "discharge_m3s": "Vazão (m³/s)"},
     "regularization": {"cenario": "Cenário", "demand_pct_qmlt": "Demanda (% da QMLT)", "demand_m3s": "Demanda (m³/s)", "regularization_volume_hm3": "Volume de regularização (hm³)"},
     "rippl": {"critical_period": "Período crítico", "month_index": "Mês", "period": "Período", "q_mean": "Vazão média (m³/s)", "volume_hm3": "Volume (hm³)", "cumulative_volume_hm3": "Volume acumulado (hm³)"},
-}
+    "annual_max_simple": {"hydrological_year": "ano_hidrologico", "date_max": "data_maximo", "q_max_m3s": "q_max_m3s"},
+    "annual_max": {
+        "hydrological_year": "ano_hidrologico", "date_max": "data_maximo", "q_max_m3s": "q_max_m3s", "missing_pct": "falhas_pct", "rank_descending": "rank", "n_days_equal_to_max": "n_dias_iguais_ao_maximo", "dates_equal_to_max": "datas_iguais_ao_maximo", "flag_gap_near_max": "falhas_no_entorno", "outlier_label": "outlier",
+        "flag_papalexiou_candidate": "candidato_a_exclusao", "flag_consistency_issue_on_max": "ocorrencia_na_consistencia", "flag_repeated_annual_max_across_years": "maximo_repetido_entre_anos", "n_flags": "n_flags", "nivel_atencao": "nivel_atencao", "flags_resumo": "flags_resumo",
+    },
+}
+#: What an export says that has no rows.
+NOTHING = {"annual_max_simple": "Nenhum máximo anual disponível.", "annual_max": "Nenhum máximo anual disponível.", "issue_report": "Nenhuma ocorrência foi identificada para os critérios avaliados."}
 
 
 def to_export(df: DataFrame, kind: str, digits: int = 3) -> DataFrame:
@@ -27,6 +34,18 @@ def to_export(df: DataFrame, kind: str, digits: int = 3) -> DataFrame:
     return df.select(*(F.bround(F.col(c), digits).alias(h) if kinds[c] == "double" else F.col(c).alias(h) for c, h in HEADINGS[kind].items() if c in kinds))
 
 
+def annual_max_export(maxima: DataFrame, simple: bool = False) -> DataFrame:
+    """The annual maxima of a station under the headings of their download; the simple one has known maxima only."""
+    outlier = F.when(F.col("flag_high_outlier_iqr"), "alto").when(F.col("flag_low_outlier_iqr"), "baixo").otherwise("")
+    rows = maxima.withColumns({"missing_pct": 100 * F.col("missing_fraction"), "outlier_label": outlier})
+    return to_export(rows.where(is_finite("q_max_m3s")), "annual_max_simple") if simple else to_export(rows, "annual_max")
+
+
+def or_message(df: DataFrame, kind: str) -> DataFrame:
+    """The rows, or one that says there are none."""
+    return df.sparkSession.createDataFrame([(NOTHING[kind],)], "mensagem string") if df.isEmpty() else df
+
+
 def write_localized_csv(df: DataFrame, path: str | Path, separator: str = ";", decimal: str = ",", bom: bool = True) -> int:
     """One CSV file with a byte-order mark and decimal commas; rows pass through the driver one by one. For small exports."""
 

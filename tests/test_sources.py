@@ -88,3 +88,19 @@ def test_stream(spark, tmp_path):
     q = telemetry.run_batches(telemetry.daily_stats(stream, "k", "v"), lambda df, i: got.extend(df.collect()), f"{tmp_path}/cp")
     q.awaitTermination(60)
     assert [(r["n_values"], r["mean"]) for r in got] == [(2, 2.0)]
+
+
+def test_annual_max_download(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from fluvia.operators import extremes
+    from fluvia.sources import sinks
+
+    grid = spark.range(800).select(F.lit("00000001").alias("station_code"), F.date_add(F.lit("2000-10-01").cast("date"), F.col("id").cast("int")).alias("date"), (F.col("id") % 91).cast("double").alias("discharge_m3s"))
+    maxima = extremes.annual_maxima(grid)
+    full, simple = sinks.annual_max_export(maxima), sinks.annual_max_export(maxima, simple=True)
+    assert full.columns == list(sinks.HEADINGS["annual_max"].values()) and simple.columns == ["ano_hidrologico", "data_maximo", "q_max_m3s"]
+    assert sinks.write_localized_csv(full, tmp_path / "max.csv") == 3
+    nothing = sinks.or_message(simple.limit(0), "annual_max_simple")
+    assert nothing.collect()[0]["mensagem"] == "Nenhum máximo anual disponível."
+    assert sinks.or_message(simple, "annual_max_simple").count() == 3
