@@ -187,10 +187,10 @@ def format_number_pt(c: Column | str, digits: int = 2) -> Column:
 
 
 def dms(c: Column | str, positive: str, negative: str) -> Column:
-    """Degrees, minutes and seconds of a coordinate."""
-    value = F.abs(col(c))
-    seconds = F.bround(value * 3600, 1)
-    return F.when(col(c).isNotNull(), F.format_string("%d° %02d' %04.1f\" %s", F.floor(seconds / 3600).cast("int"), (F.floor(seconds / 60) % 60).cast("int"), seconds - F.floor(seconds / 60) * 60, F.when(col(c) >= 0, F.lit(positive)).otherwise(F.lit(negative))))
+    """Degrees, minutes and whole seconds of a coordinate, two digits each, and its direction."""
+    total = F.bround(F.abs(col(c)) * 3600, 0).cast("long")
+    text = F.format_string("%02d° %02d' %02d\" %s", F.floor(total / 3600), F.floor(total / 60) % 60, total % 60, F.when(col(c) >= 0, F.lit(positive)).otherwise(F.lit(negative)))
+    return F.when(is_finite(c), text)
 
 
 #: Names that no export holds, and parts of names that none holds.

@@ -153,10 +153,10 @@ def curve_labels(curves: DataFrame) -> DataFrame:
 
 
 def valid_on(events: DataFrame, date: str, curves: DataFrame) -> DataFrame:
-    """The events with each curve segment of their station that is valid on their date; null bounds are open."""
+    """The events with each curve segment of their station that is valid on their date: its start is known, its end may be open."""
     fields = ("rating_curve_id", "rating_curve_segment_id", "valid_from", "valid_to")
-    some = with_years(events, date, curves.select("station_code", *fields), "valid_from", "valid_to")
-    inside = (F.col("valid_from").isNull() | (F.col(date) >= F.col("valid_from"))) & (F.col("valid_to").isNull() | (F.col(date) <= F.col("valid_to")))
+    some = with_years(events, date, curves.where("valid_from is not null").select("station_code", *fields), "valid_from", "valid_to")
+    inside = (F.col(date) >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col(date) <= F.col("valid_to")))
     return events.join(some, (F.col("station_code") == F.col("c_station")) & (F.year(date) == F.col("c_year")) & inside).drop("c_station", "c_year")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluvia.functions.columns import any_indicator, finite, is_finite, ladder, yes
+from fluvia.functions.columns import TRUE_TOKENS, any_indicator, dms, finite, is_finite, ladder, parse_datetime, yes
 
 #: Map groups by priority.
 MAP_GROUPS = ("with_measurements_and_rating_curves", "with_measurements_only", "registration_only")
@@ -74,8 +74,8 @@ def acquisition_scope(has_q: Column, has_h: Column, has_curve: Column) -> tuple[
     return data, use
 
 
-def value_text(c: Column | str, digits: int = 2, unit: str | None = None, missing: str = "—") -> Column:
-    """A value as tables show it: numbers with a decimal comma and points for thousands, flags as Sim or Não, dates day first."""
+def number_text(c: Column | str, digits: int = 2, unit: str | None = None, missing: str = "—") -> Column:
+    """A number as tables show it: a decimal comma, points for thousands, no zeros at its end."""
     c = F.col(c) if isinstance(c, str) else c
     number = F.regexp_replace(F.format_number(c.try_cast("double"), digits), r"\.?0+$" if digits else r"^$", "")
     shown = F.translate(number, ",.", ".,")
@@ -88,6 +88,92 @@ def yes_no(c: Column | str) -> Column:
     return F.when(c, "Sim").when(~c, "Não").otherwise("—")
 
 
+#: Columns of texts that are dates, and parts of the names of flags.
+DATE_FIELDS = (
+    "discharge_start_date", "discharge_end_date", "stage_start_date", "stage_end_date", "rainfall_start_date", "rainfall_end_date", "telemetric_start_date", "telemetric_end_date",
+    "valid_from", "valid_to", "last_update", "first_last_update", "last_last_update", "first_downloaded_at", "downloaded_at", "measurement_date", "measurement_datetime",
+)
+FALSE_TOKENS = ("false", "f", "no", "n", "nao", "não", "0")
+FLAG_PREFIXES, FLAG_SUFFIX = ("is_", "has_", "flag_"), "_flag"
+
+
+def short_text(x: Column, digits: int, group: bool = False) -> Column:
+    """A number rounded half to even, without zeros at its end; with ``group``, commas for thousands."""
+    text = F.format_number(F.bround(x, digits), digits) if group else F.format_string(f"%.{digits}f", F.bround(x, digits))
+    return F.regexp_replace(text, r"\.?0+$", "") if digits else text
+
+
+def _number_value(x: Column, field: str) -> Column:
+    if field in ("latitude", "longitude"):
+        return dms(x, *(("N", "S") if field == "latitude" else ("E", "W")))
+    if field.startswith("frac_"):
+        return F.concat(F.format_string("%.1f", F.bround(100 * x, 1)), F.lit("%"))
+    size = F.abs(F.bround(x, 2))  # seven significant digits at most
+    large = F.when(size >= 1e6, short_text(x, 0, True)).when(size >= 1e5, short_text(x, 1, True)).otherwise(short_text(x, 2, True))
+    return F.when(F.abs(x) >= 1000, large).otherwise(short_text(x, 3))
+
+
+def value_text(field: str, kind: str) -> Column:
+    """A column's value as text, by its name and Spark type; a sign for null, NaN and empty text.
+
+    Flags become Sim or Não, times lose their seconds, coordinates are degrees, columns named frac_ percentages, numbers
+    have three decimals below a thousand and two, at most seven digits in all, above; texts of date columns become dates.
+    """
+    c = F.col(f"`{field}`")
+    if kind == "boolean":
+        text = F.when(c, "Sim").otherwise("Não")
+    elif kind.startswith("timestamp"):
+        text = F.date_format(c, "yyyy-MM-dd HH:mm")
+    elif kind == "date":
+        text = F.date_format(c, "yyyy-MM-dd")
+    elif kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
+        x = c.cast("double")
+        text = F.when(F.abs(x) < float("inf"), _number_value(x, field)).when(F.isnan(x), None).otherwise(F.when(x > 0, "Inf").otherwise("-Inf"))
+    elif field in DATE_FIELDS:
+        text = F.coalesce(F.date_format(parse_datetime(c), "yyyy-MM-dd"), c.cast("string"))
+    elif field.startswith(FLAG_PREFIXES) or field.endswith(FLAG_SUFFIX):
+        low = F.lower(c.cast("string"))
+        text = F.when(low.isin(*TRUE_TOKENS), "Sim").when(low.isin(*FALSE_TOKENS), "Não").otherwise(c.cast("string"))
+    else:
+        text = F.replace(F.replace(c.cast("string"), F.lit("Fluviometrica"), F.lit("Fluviométrica")), F.lit("Pluviometrica"), F.lit("Pluviométrica")) if field == "station_type" else c.cast("string")
+    return F.when(c.isNotNull() & (c.cast("string") != ""), F.coalesce(text, F.lit("—"))).otherwise("—")
+
+
+def field_label(field: str | None, labels: Mapping[str, str] = {}) -> str:
+    """A column's heading: that of the dictionary, else its name with spaces and one capital."""
+    if not field:
+        return "Campo"
+    return labels.get(field) or field.replace("_", " ").capitalize()
+
+
+def display_table(df: DataFrame, labels: Mapping[str, str] = {}) -> DataFrame:
+    """All columns as tables hold them, under their headings.
+
+    Times and dates as texts, flags as Sim, Não or empty, null texts empty, numbers without NaN and infinities, nested
+    values as JSON. Headings that repeat get a number, as any name must be found once.
+    """
+    cells, seen = [], {}
+    for field, kind in df.dtypes:
+        c = F.col(f"`{field}`")
+        if kind == "boolean":
+            cell = F.when(c, "Sim").when(~c, "Não").otherwise("")
+        elif kind.startswith("timestamp"):
+            cell = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+        elif kind == "date":
+            cell = F.date_format(c, "yyyy-MM-dd")
+        elif kind in ("float", "double"):
+            cell = finite(c)
+        elif kind.startswith(("struct", "array", "map")):
+            cell = F.coalesce(F.to_json(c), F.lit(""))
+        else:
+            cell = F.coalesce(c, F.lit("")) if kind == "string" else c
+        name = field_label(field, labels)
+        again = seen.get(name.lower(), 0)
+        seen[name.lower()] = again + 1
+        cells.append(cell.alias(f"{name} {again}" if again else name))
+    return df.select(*cells)
+
+
 def ranked_by(df: DataFrame, name: str, order: Sequence[str]) -> DataFrame:
     """The rows with ``display_order``: the place of a column's value in a given list, those not in it behind."""
     place = F.array_position(F.array(*map(F.lit, order)), F.col(name))

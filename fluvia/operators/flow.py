@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluvia.functions.columns import finite, is_finite
@@ -33,13 +34,14 @@ def monthly_regime(monthly: DataFrame, compat: bool = False) -> DataFrame:
 
 
 def monthly_matrix(monthly: DataFrame, annual: DataFrame) -> DataFrame:
-    """Years by months of mean flows with the annual mean, and a row of the months' means labelled Média."""
+    """Years by months of mean flows with the annual mean, and a row labelled Média: the months' means and the mean of all days."""
     names = [f"m{m:02d}" for m in range(1, 13)]
     wide = monthly.groupBy("station_code", "year").pivot("month", list(range(1, 13))).agg(F.first("q_mean"))
     wide = wide.select("station_code", "year", *(F.col(str(m)).alias(n) for m, n in enumerate(names, 1)))
-    rows = wide.join(annual.select("station_code", "year", F.col("q_mean").alias("annual")), ["station_code", "year"], "left").select("station_code", F.col("year").cast("string").alias("label"), *names, "annual")
-    means = rows.groupBy("station_code").agg(F.lit("Média").alias("label"), *(F.avg(n).alias(n) for n in (*names, "annual")))
-    return rows.unionByName(means)
+    rows = wide.join(annual.select("station_code", "year", F.col("q_mean").alias("annual"), "days_with_value"), ["station_code", "year"], "left").select("station_code", F.col("year").cast("string").alias("label"), *names, "annual", "days_with_value")
+    whole = F.try_divide(F.sum(finite("annual") * F.col("days_with_value")), F.sum(F.when(is_finite("annual"), F.col("days_with_value"))))
+    means = rows.groupBy("station_code").agg(F.lit("Média").alias("label"), *(F.avg(n).alias(n) for n in names), whole.alias("annual"))
+    return rows.drop("days_with_value").unionByName(means)
 
 
 def mean_flow(daily: DataFrame) -> DataFrame:
@@ -53,6 +55,31 @@ def probabilities() -> list[float]:
     return sorted({round(float(p), 2) for p in grid})
 
 
+#: Wichura's rational functions of the normal quantile (algorithm AS 241), constant term first.
+NORMAL_CENTRE = (
+    (3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3, 1.3731693765509461125e4, 4.5921953931549871457e4, 6.7265770927008700853e4, 3.3430575583588128105e4, 2.5090809287301226727e3),
+    (1.0, 4.2313330701600911252e1, 6.8718700749205790830e2, 5.3941960214247511077e3, 2.1213794301586595867e4, 3.9307895800092710610e4, 2.8729085735721942674e4, 5.2264952788528545610e3),
+)
+NORMAL_TAIL = (
+    (1.42343711074968357734e0, 4.63033784615654529590e0, 5.76949722146069140550e0, 3.64784832476320460504e0, 1.27045825245236838258e0, 2.41780725177450611770e-1, 2.27238449892691845833e-2, 7.74545014278341407640e-4),
+    (1.0, 2.05319162663775882187e0, 1.67638483018380384940e0, 6.89767334985100004550e-1, 1.48103976427480074590e-1, 1.51986665636164571966e-2, 5.47593808499534494600e-4, 1.05075007164441684324e-9),
+)
+
+
+def normal_axis(permanence_pct: str) -> Column:
+    """Where a permanence lies on the normal probability axis: the normal quantile of its percentage, held within 0.1 and 99.9."""
+
+    def ratio(terms: tuple, x: Column) -> Column:
+        top, bottom = (reduce(lambda acc, k: acc * x + F.lit(k), reversed(t[:-1]), F.lit(t[-1])) for t in terms)
+        return top / bottom
+
+    p = F.least(F.greatest(F.col(permanence_pct), F.lit(0.1)), F.lit(99.9)) / 100
+    q = p - 0.5
+    centre = q * ratio(NORMAL_CENTRE, F.lit(0.180625) - q * q)
+    tail = F.signum(q) * ratio(NORMAL_TAIL, F.sqrt(-F.ln(F.least(p, 1 - p))) - 1.6)
+    return F.when(F.col(permanence_pct).isNotNull(), F.when(F.abs(q) <= 0.425, centre).otherwise(tail))
+
+
 def flow_duration(daily: DataFrame, targets: Sequence[float] | None = None, positive_only: bool = False) -> DataFrame:
     """Flow at each permanence: descending values at i / n, linear between them, constant beyond the ends.
 

@@ -154,7 +154,8 @@ _M = [f"m{m:02d}" for m in range(1, 13)]
     f"""WITH {MONTHLY},
 w AS (SELECT station_code, CAST(year AS VARCHAR) AS label, {", ".join(f"max(q_mean) FILTER (WHERE month = {i}) AS {n}" for i, n in enumerate(_M, 1))} FROM monthly GROUP BY ALL),
 x AS (SELECT w.*, a.q_mean AS annual FROM w LEFT JOIN annual a ON a.station_code = w.station_code AND CAST(a.year AS VARCHAR) = w.label),
-u AS (SELECT * FROM x UNION ALL SELECT station_code, 'Média', {", ".join(f"avg({n})" for n in (*_M, "annual"))} FROM x GROUP BY 1)
+l AS (SELECT station_code, avg(q) AS qmlt FROM grid_flow GROUP BY 1),
+u AS (SELECT * FROM x UNION ALL SELECT station_code, 'Média', {", ".join(f"avg({n})" for n in _M)}, any_value(qmlt) FROM x JOIN l USING (station_code) GROUP BY 1)
 SELECT station_code, label, {", ".join(f"round({n}, 6) AS {n}" for n in (*_M, "annual"))} FROM u"""
 )
 def monthly_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,7 +75,7 @@ def display_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     scope, fit_for = display.acquisition_scope(k % 2 == 0, F.lit(True), k % 4 % 3 == 0)
     layer = display.map_layer(F.lit(True), F.lit(False), k % 2 == 0, k % 4 % 3 == 0)
     label = display.search_label(F.lpad(k.cast("string"), 8, "0"), F.col("s_name"), F.lit("SP"))
-    return s.select(k.alias("id"), scope.alias("scope"), fit_for.alias("fit_for"), layer.alias("layer"), display.yes_no(k % 2 == 0).alias("shown"), label.alias("label"), display.value_text("s_acctbal").alias("value_text"))
+    return s.select(k.alias("id"), scope.alias("scope"), fit_for.alias("fit_for"), layer.alias("layer"), display.yes_no(k % 2 == 0).alias("shown"), label.alias("label"), display.number_text("s_acctbal").alias("value_text"))
 
 
 # sets, orders, samples
@@ -145,7 +145,7 @@ def curve_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curves.curve_labels(view(spark, sf_dir, "rating_curves")).select("station_code", "rating_curve_segment_id", "curve_number", "segment_order", "segment_label", "equation")
 
 
-@query(f"WITH {cte('measurements')}, {cte('rating_curves')} SELECT measurement_id, count(*) AS n_valid_segments, count(DISTINCT rating_curve_id) AS n_valid_curves FROM measurements m JOIN rating_curves c ON c.station_code = m.station_code AND (valid_from IS NULL OR measurement_date >= valid_from) AND (valid_to IS NULL OR measurement_date <= valid_to) GROUP BY 1")
+@query(f"WITH {cte('measurements')}, {cte('rating_curves')} SELECT measurement_id, count(*) AS n_valid_segments, count(DISTINCT rating_curve_id) AS n_valid_curves FROM measurements m JOIN rating_curves c ON c.station_code = m.station_code AND measurement_date >= valid_from AND (valid_to IS NULL OR measurement_date <= valid_to) GROUP BY 1")
 def curves_valid_on(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = view(spark, sf_dir, "measurements").select("station_code", "measurement_id", "measurement_date")
     found = curves.valid_on(m, "measurement_date", view(spark, sf_dir, "rating_curves"))
@@ -179,7 +179,7 @@ def annual_maxima_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("station_code", "hydrological_year", "date_max", "n_consistency_issues_on_max", "consistency_issue_types_on_max", "flag_consistency_issue_on_max")
 
 
-@query(f"WITH {MAXIMA} SELECT hy AS ano_hidrologico, date_max AS data_maximo, round(q_max, 3) AS q_max_m3s, round(100 * mf, 3) AS falhas_pct, rd AS rank, ties AS n_dias_iguais_ao_maximo, CASE WHEN up > 1.5 THEN 'alto' WHEN down > 1.5 THEN 'baixo' ELSE '' END AS outlier FROM f")
+@query(f"WITH {MAXIMA} SELECT (hy - 1) || '/' || hy AS ano_hidrologico, date_max AS data_maximo, round(q_max, 3) AS q_max_m3s, round(100 * mf, 3) AS falhas_pct, rd AS rank, ties AS n_dias_iguais_ao_maximo, CASE WHEN up > 1.5 THEN 'alto' WHEN down > 1.5 THEN 'baixo' ELSE '' END AS outlier FROM f")
 def annual_maxima_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sinks.annual_max_export(extremes.annual_maxima(flow_grid(spark, sf_dir)))
     return rows.select("ano_hidrologico", "data_maximo", "q_max_m3s", "falhas_pct", "rank", "n_dias_iguais_ao_maximo", "outlier")

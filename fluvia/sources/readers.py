@@ -75,6 +75,15 @@ def read_series_json(spark: SparkSession, path: str, variable: str) -> DataFrame
     return _series(read_items(spark, path), variable, "ana_json")
 
 
+def read_series_download(spark: SparkSession, path: str, variable: str) -> DataFrame:
+    """What an authenticated download has written: rows of the REST source, whose item maps are month rows."""
+    rows = spark.read.parquet(path).where("status = 'success' and item is not null")
+    names = sorted(r[0] for r in rows.select(F.explode(F.map_keys("item"))).distinct().collect())  # the columns of a service's answer, some hundred
+    if not names:
+        raise ValueError(f"no {variable} records")
+    return _series(rows.select(*(F.col("item")[n].alias(n) for n in names)), variable, "ana_api_download")
+
+
 def read_items(spark: SparkSession, path: str, provenance: bool = False) -> DataFrame:
     """The flattened items of JSON documents, all values as strings; with ``provenance``, the file each came from."""
     docs = spark.read.option("multiLine", "true").option("primitivesAsString", "true").json(path)
@@ -110,7 +119,7 @@ def read_request_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LOG_SCHEMA).option("header", "true").csv(path)
 
 
-SERIES = {"hidroweb_zip": read_series_zip, "hidroweb_csv": read_series_csv, "ana_xml": read_series_xml, "ana_json": read_series_json}
+SERIES = {"hidroweb_zip": read_series_zip, "hidroweb_csv": read_series_csv, "ana_xml": read_series_xml, "ana_json": read_series_json, "ana_api_download": read_series_download}
 
 
 def read_series(spark: SparkSession, path: str, variable: str, source_type: str = "ana_xml") -> DataFrame:

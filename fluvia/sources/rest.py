@@ -11,6 +11,8 @@ from dataclasses import dataclass, field
 from datetime import date, timedelta
 from urllib.parse import quote
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 TYPES = {"stage": 1, "rainfall": 2, "discharge": 3}
@@ -101,39 +103,94 @@ def download(tasks: Sequence[Task], fetch: Callable[[str, str, date, date, str],
     return run
 
 
+@dataclass
+class Outcome:
+    """How one task went: ``status`` is success, empty, paused_auth or failed_after_3_attempts."""
+
+    task: Task
+    response: Response
+    status: str
+    n_attempts: int
+    token: str
+
+
+def attempt(task: Task, fetch: Callable[[str, str, date, date, str], Response], token: str, new_token: Callable[[], str] | None = None, attempts: int = ATTEMPTS) -> Outcome:
+    """One task with its retries. A denied one gets one new token, if there is a way to get it; an error of the fetcher is a failed attempt."""
+    response, refreshed = Response(None, message="no token"), new_token is None
+    if not token and new_token is not None:
+        token = new_token()
+    if not token:
+        return Outcome(task, response, "paused_auth", 0, token)
+    n = 0
+    while n < attempts:
+        n += 1
+        try:
+            response = fetch(task.route, task.station, task.start, task.end, token)
+        except Exception as error:  # a connection that fails is one failed attempt, whatever the fetcher raises
+            response = Response(None, message=f"{type(error).__name__}: {error}")
+            continue
+        if response.ok:
+            return Outcome(task, response, "success" if response.items else "empty", n, token)
+        if response.denied:
+            if refreshed:
+                return Outcome(task, response, "paused_auth", n, token)
+            token, refreshed, n = new_token(), True, n - 1
+    return Outcome(task, response, "failed_after_3_attempts", n, token)
+
+
 class _Slice(InputPartition):
     def __init__(self, tasks: list[Task]) -> None:
         super().__init__(tasks)
 
 
 class SeriesSource(DataSource):
-    """spark.read.format("fluvia_series"): each station's tasks are a partition. The fetcher comes by class attribute."""
+    """spark.read.format("fluvia_series"): each station's tasks are a partition. The fetcher comes by class attribute.
+
+    ``new_token`` (a class attribute as well) gives tokens: the first one if the option ``token`` is absent, one more
+    after 50 minutes or when a task is denied. A task without items is one row whose item is null; its status tells why,
+    so that a plan of the tasks still to do can be made of the rows.
+    """
 
     fetch: Callable[[str, str, date, date, str], Response] | None = None
+    new_token: Callable[[], str] | None = None
 
     @classmethod
     def name(cls) -> str:
         return "fluvia_series"
 
     def schema(self) -> str:
-        return "station_code string, route_name string, date_start date, date_end date, http_status int, item map<string,string>"
+        return "station_code string, route_name string, date_start date, date_end date, http_status int, status string, n_attempts int, message string, item map<string,string>"
 
     def reader(self, schema: object) -> DataSourceReader:
-        return _Reader(self.options, type(self).fetch)
+        return _Reader(self.options, type(self).fetch, type(self).new_token)
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, options: dict, fetch: Callable | None) -> None:
+    def __init__(self, options: dict, fetch: Callable | None, new_token: Callable | None) -> None:
         if fetch is None:
             raise ValueError("SeriesSource.fetch is not set")
-        self.options, self.fetch = options, fetch
+        self.options, self.fetch, self.new_token = options, fetch, new_token
 
     def partitions(self) -> list[InputPartition]:
         o = self.options
         return [_Slice([t for r in o["routes"].split(",") for t in windows(s, r, date.fromisoformat(o["start"]), date.fromisoformat(o["end"]))]) for s in o["stations"].split(",")]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
+        token, since = self.options.get("token", ""), time.monotonic()
+        if not token and self.new_token is None:
+            token = "none"  # a service that needs no token
         for t in partition.value:
-            response = self.fetch(t.route, t.station, t.start, t.end, self.options.get("token", ""))
-            for item in response.items:
-                yield t.station, t.route, t.start, t.end, response.status, {k: None if v is None else str(v) for k, v in item.items()}
+            if self.new_token is not None and time.monotonic() - since >= TOKEN_MINUTES * 60:
+                token, since = self.new_token(), time.monotonic()
+            done = attempt(t, self.fetch, token, self.new_token)
+            if done.token != token:
+                token, since = done.token, time.monotonic()
+            head = (t.station, t.route, t.start, t.end, done.response.status, done.status, done.n_attempts, done.response.message)
+            for item in done.response.items or [None]:
+                yield *head, None if item is None else {k: None if v is None else str(v) for k, v in item.items()}
+
+
+def reports(rows: DataFrame) -> DataFrame:
+    """One row for each task of the source: its status, attempts, records and message."""
+    keys = ["station_code", "route_name", "date_start", "date_end"]
+    return rows.groupBy(*keys).agg(F.max("status").alias("status"), F.max("n_attempts").alias("n_attempts"), F.count("item").alias("n_records"), F.max("message").alias("message"))

@@ -104,3 +104,65 @@ def test_annual_max_download(spark, tmp_path):
     nothing = sinks.or_message(simple.limit(0), "annual_max_simple")
     assert nothing.collect()[0]["mensagem"] == "Nenhum máximo anual disponível."
     assert sinks.or_message(simple, "annual_max_simple").count() == 3
+
+
+def test_attempts_and_reports():
+    task = rest.Task("1", "q", date(2000, 1, 1), date(2000, 12, 31))
+
+    def fails(*a):
+        raise OSError("reset")
+
+    assert rest.attempt(task, fails, "t").status == "failed_after_3_attempts"
+    assert rest.attempt(task, lambda *a: rest.Response(200), "t").status == "empty"
+    assert rest.attempt(task, lambda *a: rest.Response(200, [{"x": 1}]), "").status == "paused_auth"
+    assert rest.attempt(task, lambda *a: rest.Response(401), "t").n_attempts == 1
+    renewed = rest.attempt(task, lambda *a: rest.Response(200, [{"x": 1}]) if a[-1] == "new" else rest.Response(401), "old", lambda: "new")
+    assert (renewed.status, renewed.n_attempts, renewed.token) == ("success", 1, "new")
+    answers = iter([rest.Response(500), rest.Response(None), rest.Response(200, [{"x": 1}])])
+    assert rest.attempt(task, lambda *a: next(answers), "t").n_attempts == 3
+
+
+def test_download_source_is_read_as_series(spark, tmp_path):
+    class Source(rest.SeriesSource):
+        fetch = staticmethod(lambda route, station, start, end, token: rest.Response(200, [{"codigoestacao": station, "Data_Hora_Dado": "2020-02-01", "Vazao_01": "2.5"}]) if station == "1" else rest.Response(500, message="down"))
+
+    spark.dataSource.register(Source)
+    rows = spark.read.format("fluvia_series").option("stations", "1,2").option("routes", "q").option("start", "2020-01-01").option("end", "2020-12-31").load()
+    rows.write.parquet(f"{tmp_path}/d")
+    found = {r["station_code"]: (r["status"], r["n_records"], r["n_attempts"]) for r in rest.reports(spark.read.parquet(f"{tmp_path}/d")).collect()}
+    assert found == {"1": ("success", 1, 1), "2": ("failed_after_3_attempts", 0, 3)}
+    series = readers.read_series(spark, f"{tmp_path}/d", "discharge", "ana_api_download").where("value is not null").collect()
+    assert [(r["station_code"], r["value"], r["source"]) for r in series] == [("00000001", 2.5, "ana_api_download")]
+
+
+def test_parts_are_joined_and_checked(tmp_path):
+    import hashlib
+
+    parts = [b"abc" * 1000, b"", b"xyz"]
+    for i, data in enumerate(parts):
+        (tmp_path / f"p{i}").write_bytes(data)
+    names, hashes = [tmp_path / f"p{i}" for i in range(3)], [hashlib.sha256(p).hexdigest() for p in parts]
+    whole = hashlib.sha256(b"".join(parts)).hexdigest()
+    assert sinks.reassemble(names, hashes, tmp_path / "db", whole.upper(), piece=7).read_bytes() == b"".join(parts)
+    for bad_hashes, bad_whole in (([*hashes[:2], "0"], whole), (hashes, "0")):
+        with pytest.raises(ValueError):
+            sinks.reassemble(names, bad_hashes, tmp_path / "other", bad_whole)
+    assert not (tmp_path / "other").exists() and not (tmp_path / "other.partial").exists()
+    assert sinks.file_name("low_flow", "00000001", date(2024, 2, 3), 7) == "vazoes_minimas_7d_00000001_20240203.csv"
+
+
+def test_low_flow_duration_and_matrix_downloads(spark):
+    from fluvia.operators import extremes, flow
+
+    grid = spark.range(2300).select(F.lit("00000001").alias("station_code"), F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")).alias("date"), (1 + F.col("id") % 91).cast("double").alias("discharge_m3s"))
+    low = sinks.low_flow_export(extremes.low_flows(grid, 7))
+    assert low.columns == list(sinks.HEADINGS["low_flow"].values()) and low.count() == 7
+    monthly, annual = flow.monthly_stats(grid), flow.annual_stats(grid)
+    curve = sinks.duration_export(monthly, annual)
+    assert curve.groupBy("escala").count().count() == 2 and curve.count() == 200
+    matrix = sinks.to_export(flow.monthly_matrix(monthly, annual), "monthly_matrix")
+    assert matrix.columns[:3] == ["Ano", "Jan", "Fev"]
+    mean = grid.agg(F.avg("discharge_m3s")).first()[0]
+    assert matrix.where("Ano = 'Média'").first()["Média"] == round(mean, 3)
+    short = grid.where("date < '2003-01-01'")
+    assert sinks.or_message(sinks.duration_export(flow.monthly_stats(short), flow.annual_stats(short)), "duration").first()["mensagem"].startswith("Curvas de permanência")
