@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluvia.functions import columns as C
-from fluvia.operators import cleaning, curves, diagnostics, display, extremes, quality_index
+from fluvia.operators import cleaning, curves, diagnostics, display, extremes, flow, quality_index
 from fluvia.plans.bindings import cte, view
-from fluvia.plans.catalog import flow_grid, hq, merged_sql, query
+from fluvia.plans.catalog import FLOW, ROLLING, flow_grid, hq, merged_sql, query
 from fluvia.plans.catalog_more import CLEAN, MATCH, MAXIMA, POWER, SCORES, SUMMARY, WINDOWS, matched, scores, stations
 from fluvia.sources import readers, sinks
 
@@ -308,3 +308,66 @@ def remaining_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = view(spark, sf_dir, "request_log")
     tasks = cleaning.task_windows(log.select("station_code").distinct(), ("click", "error"), "2024-01-01", "2024-03-02", 31)
     return cleaning.remaining_tasks(tasks.select("station_code", "route_name", "date_start"), log)
+
+
+# texts of values, the downloads of duration curves, low flows beside issues
+
+_VALUES = {"x": "o_totalprice * o_totalprice / 997.3", "frac_x": "(o_orderkey % 997) / 997.0", "latitude": "CAST(o_totalprice / 997.3 AS DOUBLE) % 90 - 45", "has_x": "CASE o_orderkey % 4 WHEN 0 THEN 'Sim' WHEN 1 THEN 'NO' WHEN 2 THEN '' ELSE 'talvez' END", "valid_from": "CASE WHEN o_orderkey % 5 = 0 THEN 'sem data' ELSE CAST(o_orderkey % 20 + 10 AS STRING) || '/03/1999' END", "measured": "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END"}
+_STRIP = "regexp_replace({0}, '\\.?0+$', '')"
+
+
+@query(
+    f"""WITH v AS (SELECT o_orderkey AS id, {", ".join(f"{sql} AS {n}" for n, sql in _VALUES.items())} FROM orders), w AS (SELECT *, CAST(round_even(abs(latitude) * 3600, 0) AS BIGINT) AS s FROM v)
+SELECT id, CASE WHEN x < 1000 THEN {_STRIP.format("printf('%.3f', x)")} WHEN round(x, 2) >= 1e6 THEN format('{{:,.0f}}', x) WHEN round(x, 2) >= 1e5 THEN {_STRIP.format("format('{:,.1f}', x)")} ELSE {_STRIP.format("format('{:,.2f}', x)")} END AS x, printf('%.1f', 100 * frac_x) || '%' AS frac_x,
+       printf('%02d° %02d'' %02d" ', s // 3600, s // 60 % 60, s % 60) || CASE WHEN latitude >= 0 THEN 'N' ELSE 'S' END AS latitude, CASE has_x WHEN 'NO' THEN 'Não' WHEN '' THEN '—' ELSE has_x END AS has_x,
+       CASE WHEN id % 5 = 0 THEN valid_from ELSE '1999-03-' || CAST(id % 20 + 10 AS VARCHAR) END AS valid_from, coalesce(CAST(measured AS VARCHAR), '—') AS measured FROM w"""
+)
+def field_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of all kinds as the station's card shows them."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), *(F.expr(sql).alias(n) for n, sql in _VALUES.items()))
+    kinds = dict(rows.dtypes)
+    return rows.select("id", *(display.value_text(n, kinds[n]).alias(n) for n in _VALUES))
+
+
+@query(
+    f"""WITH {ROLLING}, u AS (SELECT station_code, 'Anual' AS escala, q_mean AS q FROM annual WHERE q_mean IS NOT NULL UNION ALL SELECT station_code, 'Mensal', q_mean FROM monthly WHERE q_mean IS NOT NULL),
+s AS (SELECT *, row_number() OVER (PARTITION BY station_code, escala ORDER BY q DESC) AS i, count(*) OVER (PARTITION BY station_code, escala) AS n FROM u WHERE station_code IN (SELECT station_code FROM eligible)),
+k AS (SELECT DISTINCT station_code, escala, n, CAST(g AS DOUBLE) AS pp, least(greatest(CAST(floor(g * n / 100) AS BIGINT), 1), n) AS i FROM s, range(1, 101) r(g))
+SELECT k.station_code, k.escala, pp AS permanencia_pct, round(a.q + least(greatest(pp * k.n / 100 - k.i, 0.0), 1.0) * (b.q - a.q), 3) AS vazao_m3s
+FROM k JOIN s a ON a.station_code = k.station_code AND a.escala = k.escala AND a.i = k.i JOIN s b ON b.station_code = k.station_code AND b.escala = k.escala AND b.i = least(k.i + 1, k.n)"""
+)
+def duration_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The download of duration curves of annual and monthly means."""
+    grid = flow_grid(spark, sf_dir)
+    return sinks.duration_export(flow.monthly_stats(grid), flow.annual_stats(grid))
+
+
+def _ratio(terms: tuple, x: str) -> str:
+    def polynomial(t: tuple) -> str:
+        out = f"{t[-1]!r}::DOUBLE"
+        for k in reversed(t[:-1]):
+            out = f"({out} * {x} + {k!r}::DOUBLE)"
+        return out
+
+    return f"({polynomial(terms[0])} / {polynomial(terms[1])})"
+
+
+@query(
+    f"""WITH {FLOW}, g AS (SELECT unnest({flow.probabilities()})::DOUBLE AS permanence_pct), p AS (SELECT *, least(greatest(permanence_pct, 0.1), 99.9) / 100 AS p FROM g), r AS (SELECT *, p - 0.5 AS q, 0.180625 - (p - 0.5) * (p - 0.5) AS c, sqrt(-ln(least(p, 1 - p))) - 1.6 AS t FROM p)
+SELECT station_code, permanence_pct, round(CASE WHEN abs(q) <= 0.425 THEN q * {_ratio(flow.NORMAL_CENTRE, "c")} ELSE sign(q) * {_ratio(flow.NORMAL_TAIL, "t")} END, 6) AS axis FROM r, (SELECT DISTINCT station_code FROM grid_flow WHERE q IS NOT NULL)"""
+)
+def duration_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the points of the duration curves lie on a normal probability axis."""
+    return flow.flow_duration(flow_grid(spark, sf_dir)).select("station_code", "permanence_pct", flow.normal_axis("permanence_pct").alias("axis"))
+
+
+@query(
+    f"""WITH {ISSUES}, l0 AS (SELECT station_code, date, year(date) AS year, q FROM grid_flow), l1 AS (SELECT *, CASE WHEN count(q) OVER v = 7 THEN sum(q) OVER v / 7 END AS q7 FROM l0 WINDOW v AS (PARTITION BY station_code, year ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)),
+l2 AS (SELECT station_code, year, min(q7) AS least_q FROM l1 GROUP BY ALL), l3 AS (SELECT l2.station_code, l2.year, min(date) AS date_end FROM l2 LEFT JOIN l1 ON l1.station_code = l2.station_code AND l1.year = l2.year AND abs(q7 - least_q) < 1.5e-8 GROUP BY ALL)
+SELECT l3.station_code, l3.year, date_end, count(iss.date) AS n_consistency_issues_on_min_window, coalesce(string_agg(DISTINCT label, '; ' ORDER BY label), '') AS consistency_issue_types_on_min_window, count(iss.date) > 0 AS flag_consistency_issue_on_min_window
+FROM l3 LEFT JOIN iss ON iss.station_code = l3.station_code AND iss.date BETWEEN date_end - 6 AND date_end GROUP BY ALL"""
+)
+def low_flow_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven-day minima with the issues within their windows."""
+    rows = extremes.low_flows(flow_grid(spark, sf_dir), 7, issues(spark, sf_dir))
+    return rows.select("station_code", "year", "date_end", "n_consistency_issues_on_min_window", "consistency_issue_types_on_min_window", "flag_consistency_issue_on_min_window")

@@ -112,10 +112,14 @@ def section_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return display.section_metric(cleaning.section_summary(view(spark, sf_dir, "vertices"))).select("station_code", "cross_section_id", "metric_value", "metric_label")
 
 
-@query()
+DICTIONARY = ("measurements", "rating_curves", "stations", "vertices")
+UNITS = {"stage_cm": "cm", "discharge_m3s": "m³/s", "vertex_distance_m": "m", "vertex_stage_cm": "cm", "drainage_area": "km²"}
+_DESCRIBED = " UNION ALL ".join(f"SELECT '{n}' AS table_name, column_name, column_type, row_number() OVER () AS position FROM (DESCRIBE WITH {cte(n)} SELECT * FROM {n})" for n in DICTIONARY)
+
+
+@query(f"""SELECT table_name, column_name, CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END AS data_type, CASE column_name {" ".join(f"WHEN '{c}' THEN '{u}'" for c, u in UNITS.items())} END AS unit, position FROM ({_DESCRIBED})""")
 def data_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = {n: view(spark, sf_dir, n) for n in ("measurements", "rating_curves", "stations", "vertices")}
-    return quality_index.data_dictionary(tables, {"stage_cm": "cm", "discharge_m3s": "m³/s", "vertex_distance_m": "m", "vertex_stage_cm": "cm", "drainage_area": "km²"})
+    return quality_index.data_dictionary({n: view(spark, sf_dir, n) for n in DICTIONARY}, UNITS)
 
 
 @query(
