@@ -91,14 +91,17 @@ def fixed_threshold(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     return grid, grid.groupBy("station_code").agg(F.round(F.percentile("discharge_m3s", 0.95), 3).alias("threshold_m3s"))
 
 
-@query(
-    f"""WITH {FLOW},
+EVENTS = f"""{FLOW},
 t AS (SELECT station_code, round(quantile_cont(q, 0.95), 3) AS u FROM grid_flow WHERE q IS NOT NULL GROUP BY 1),
 o AS (SELECT g.station_code, date, q, u, lag(date) OVER (PARTITION BY g.station_code ORDER BY date) AS prior FROM grid_flow g JOIN t USING (station_code) WHERE q > 0 AND q > u),
-e AS (SELECT *, sum(CASE WHEN prior IS NULL OR date - prior > 7 THEN 1 ELSE 0 END) OVER (PARTITION BY station_code ORDER BY date) AS event_id FROM o)
-SELECT station_code, CAST(event_id AS BIGINT) AS event_id, min(date) AS date_start, max(date) AS date_end, arg_min(date, struct_pack(a := -q, b := date)) AS date_peak, CAST(year(arg_min(date, struct_pack(a := -q, b := date))) AS BIGINT) AS year, round(max(q), 6) AS q_peak_m3s, round(any_value(u), 6) AS threshold_m3s,
-       round(max(q) - any_value(u), 6) AS excess_m3s, count(*) AS n_exceedance_days FROM e GROUP BY station_code, event_id"""
-)
+e AS (SELECT *, sum(CASE WHEN prior IS NULL OR date - prior > 7 THEN 1 ELSE 0 END) OVER (PARTITION BY station_code ORDER BY date) AS event_id FROM o),
+ev AS (
+    SELECT station_code, CAST(event_id AS BIGINT) AS event_id, min(date) AS date_start, max(date) AS date_end, arg_min(date, struct_pack(a := -q, b := date)) AS date_peak, CAST(year(arg_min(date, struct_pack(a := -q, b := date))) AS BIGINT) AS year, round(max(q), 6) AS q_peak_m3s, round(any_value(u), 6) AS threshold_m3s,
+           round(max(q) - any_value(u), 6) AS excess_m3s, count(*) AS n_exceedance_days FROM e GROUP BY station_code, event_id
+)"""
+
+
+@query(f"WITH {EVENTS} SELECT * FROM ev")
 def pot_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid, thresholds = fixed_threshold(spark, sf_dir)
     return extremes.pot_events(grid, thresholds)
@@ -124,6 +127,18 @@ def pot_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extremes.pot_tests(extremes.pot_events(grid, thresholds), grid, thresholds)
 
 
+@query(
+    f"""WITH {EVENTS}, y AS (SELECT station_code, unnest(range(year(lo), year(hi) + 1)) AS year FROM span_flow JOIN t USING (station_code)),
+c AS (SELECT y.station_code, y.year, count(ev.event_id) AS n FROM y LEFT JOIN ev ON ev.station_code = y.station_code AND ev.year = y.year GROUP BY ALL), d AS (SELECT station_code, sum(n) AS n, count(*) AS years, CASE WHEN count(*) >= 5 AND sum(n) > 0 THEN var_samp(n) / avg(n) END AS di FROM c GROUP BY 1),
+g AS (SELECT *, date_peak - lag(date_peak) OVER (PARTITION BY station_code ORDER BY date_peak) AS gap FROM ev), a AS (SELECT station_code, coalesce(min(gap) >= 7, true) AS apart FROM g GROUP BY 1)
+SELECT station_code, CAST(n AS BIGINT) AS n_events, CASE WHEN n > 0 THEN round(n / years, 6) END AS lambda_observed, coalesce(apart, false) AS min_separation_ok, round(di, 6) AS dispersion_index, n >= 10 AND apart AS selection_ok FROM d LEFT JOIN a USING (station_code)"""
+)
+def pot_dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the tests of peaks that SQL can express: separation, event rate and dispersion of the annual counts."""
+    grid, thresholds = fixed_threshold(spark, sf_dir)
+    return extremes.pot_tests(extremes.pot_events(grid, thresholds), grid, thresholds).select("station_code", "n_events", "lambda_observed", "min_separation_ok", "dispersion_index", "selection_ok")
+
+
 @query()
 def pot_automatic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extremes.automatic_threshold(flow_grid(spark, sf_dir))
