@@ -301,7 +301,11 @@ def pack(docs: DataFrame, *, keep: list[str] | None = None, text_col: str = "tex
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """(sequence_id, n_tokens, ids binary) of pieces packed ``with_ids``; a sequence is bounded, so gathering it is too."""
+    """(sequence_id, n_tokens, ids binary) of pieces packed ``with_ids``; a sequence is bounded, so gathering it is too.
+
+    Every piece has ids, even that of a null or empty text (its end token), so no sequence has a gap; an empty table
+    gives an empty result; other columns are left out, whatever their names.
+    """
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     joined = F.aggregate(F.transform(parts, lambda p: p["ids"]), F.lit(b"").cast("binary"), lambda a, b: F.concat(a, b))
     return packed.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), joined.alias("ids"))

@@ -177,7 +177,10 @@ def normalize(archives: DataFrame, *, level: int = 6) -> DataFrame:
 
 
 def sidecar(normalized: DataFrame) -> DataFrame:
-    """The offset index, one row for each record: archive, offset, length, record_id, type."""
+    """The offset index, one row for each record: archive, offset, length, record_id, type.
+
+    An archive without records has no row, and an empty table gives an empty result.
+    """
     return normalized.select("archive", F.inline("index"))
 
 
@@ -198,7 +201,11 @@ def parse_member(member: bytes) -> dict:
 
 
 def read_warc(normalized: DataFrame, *, payload: bool = True) -> DataFrame:
-    """One row for each record, read member by member through the index."""
+    """One row for each record, read member by member through the index.
+
+    A record without a page id or address has nulls there; a revisit's payload is null, its size and digest those that it
+    states. A response whose payload does not have the stated digest raises. An empty table gives an empty result.
+    """
     fields = [("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
     fields = [f for f in fields if payload or f[0] != "payload"]
     schema = "page_id bigint, url string, " + "payload binary, " * payload + "payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
@@ -215,7 +222,10 @@ def read_warc(normalized: DataFrame, *, payload: bool = True) -> DataFrame:
 
 
 def export_files(normalized: DataFrame, folder: str) -> DataFrame:
-    """Writes <archive>.warc.gz and its .idx sidecar into a folder that all executors mount; returns archive, path, records."""
+    """Writes <archive>.warc.gz and its .idx sidecar into a folder that all executors mount; returns archive, path, records.
+
+    Files appear whole, by a rename, and are replaced where they exist; an empty table writes none.
+    """
     import os
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +245,7 @@ def export_files(normalized: DataFrame, folder: str) -> DataFrame:
 
 
 def load_files(spark: SparkSession, pattern: str) -> DataFrame:
-    """Archives (archive, data) of .warc.gz files, by any path that Spark reads."""
+    """Archives (archive, data) of .warc.gz files, by any path that Spark reads; a file is one value, so it must be under 2 GB."""
     return spark.read.format("binaryFile").load(pattern).select(F.regexp_extract("path", r"([^/]+?)(\.warc)?(\.gz)?$", 1).alias("archive"), F.col("content").alias("data"))
 
 

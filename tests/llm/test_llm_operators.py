@@ -323,6 +323,16 @@ def test_pack(spark, library, documents):
 # chat
 
 
+def test_sequences_join_all_pieces(spark):
+    rows = [(1, None), (2, ""), (None, "a b c"), (2, "flow " * 3000), (3, "é\u0000")]
+    packed = packing.pack(spark.createDataFrame(rows, DOCS).withColumn("ids", F.lit("clash")).withColumn("offset", F.lit(9)), with_ids=True)
+    joined = packing.sequences(packed).collect()
+    want = packed.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end")).collect()
+    assert {r["sequence_id"]: (r["n_tokens"], len(r["ids"]) // 4) for r in joined} == {r["sequence_id"]: (r["n"], r["end"]) for r in want}
+    whole = packing.pack(spark.createDataFrame([], DOCS), with_ids=True)
+    assert packing.sequences(whole).count() == 0
+
+
 def test_viterbi_is_the_best_path():
     rng = random.Random(2)
     counts = Counter({(k, rng.randrange(6 if k != "start" else 1), rng.randrange(6 if k in ("start", "move") else 3)): rng.randrange(1, 9) for k in ("start", "move", "show0", "show1", "show2", "show3") for _ in range(20)})
@@ -619,6 +629,19 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.warc_round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_files_of_empty_and_null_pages(spark, tmp_path):
+    nothing = warc.normalize(warc.write_warc(spark.createDataFrame([], PAGES)))
+    assert warc.sidecar(nothing).count() == 0 and warc.read_warc(nothing).count() == 0
+    assert warc.export_files(nothing, f"{tmp_path}/none").count() == 0
+    nulls = spark.createDataFrame([(None, None, None), (None, None, None), (7, None, "")], PAGES).selectExpr("*", "'x' AS archive", "'y' AS data", "1 AS index")
+    normal = warc.normalize(warc.write_warc(nulls))
+    rows = warc.read_warc(normal).collect()
+    assert sorted((r["page_id"] or 0, r["record_type"], r["payload_bytes"], r["url"] or "") for r in rows) in ([(0, "response", 0, ""), (0, "response", 0, ""), (7, "response", 0, "")], [(0, "revisit", 0, ""), (0, "revisit", 0, ""), (7, "response", 0, "")])
+    for _ in range(2):  # the second replaces the first
+        assert warc.export_files(normal, f"{tmp_path}/some").agg(F.sum("records")).first()[0] == 3
+    assert warc.read_warc(warc.normalize(warc.load_files(spark, f"{tmp_path}/some/*.gz"))).count() == 3
+
+
 def test_inflate_bounds_and_errors():
     data = zlib.compress(b"a" * 5_000_000, wbits=31) + zlib.compress(b"b" * 10, wbits=31)
     pieces = list(warc.inflate(data, chunk=1000))
