@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluvia.llm import ann, audio, bpe, chat, line_dedup, packing, quality, sharding, simhash, warc
+from fluvia.llm import ann, audio, bpe, chat, collocations, line_dedup, packing, quality, reputation, sharding, simhash, warc
 from fluvia.session import ship
 
 
@@ -63,6 +63,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: (verdict, host, path): fixed values.
+URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+
+
+def op11_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is the label of the document of its number: bad where its quality is 0."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
+    return reputation.judge_urls(table(spark, sf_dir, "pages"), labels, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_ann": op2_ann,
@@ -74,6 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_sharding": op9_sharding,
     "op10_warc": op10_warc,
+    "op11_url_reputation": op11_url_reputation,
+    "op12_collocations": op12_collocations,
 }
 
 ORACLES: dict[str, str] = {
@@ -110,5 +126,77 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
 FROM b
+""",
+    "op11_url_reputation": f"""
+WITH p AS (
+    SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+),
+u AS (
+    SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+    FROM p
+),
+o AS (SELECT doc_id, count(*) AS n, sum(1 - quality) AS k FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+h AS (
+    SELECT host, CASE WHEN compound THEN regexp_extract(host, '(?:[^.]*[.])?(?:[^.]*[.])?[^.]*$', 0) ELSE two END AS domain,
+           CASE WHEN compound THEN two ELSE regexp_extract(host, '[^.]*$', 0) END AS suffix, n, k
+    FROM (
+        SELECT host, regexp_extract(host, '(?:[^.]*[.])?[^.]*$', 0) AS two, two IN {reputation.COMPOUND} AS compound,
+               CAST(coalesce(sum(n), 0) AS DOUBLE) AS n, CAST(coalesce(sum(k), 0) AS DOUBLE) AS k
+        FROM u LEFT JOIN o ON o.doc_id = u.page_id GROUP BY host
+    )
+),
+s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (sum(k) + 1) / (sum(n) + 2) FROM h) AS m FROM h GROUP BY suffix),
+s1 AS (SELECT coalesce(sum((k - n * m) * (k - n * m) - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0) AS rho FROM s0),
+s2 AS (SELECT suffix, (k + w * m) / (n + w) AS m FROM s0, (SELECT 1 / least({reputation.MOST_RHO}, greatest({reputation.LEAST_RHO}, rho)) - 1 AS w FROM s1)),
+d0 AS (SELECT h.domain, sum(n) AS n, sum(k) AS k, any_value(s2.m) AS m FROM h JOIN s2 USING (suffix) GROUP BY h.domain),
+d1 AS (SELECT coalesce(sum((k - n * m) * (k - n * m) - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0) AS rho FROM d0),
+d2 AS (SELECT domain, (k + w * m) / (n + w) AS m FROM d0, (SELECT 1 / least({reputation.MOST_RHO}, greatest({reputation.LEAST_RHO}, rho)) - 1 AS w FROM d1)),
+h0 AS (SELECT host, n, k, d2.m FROM h JOIN d2 USING (domain)),
+h1 AS (SELECT coalesce(sum((k - n * m) * (k - n * m) - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0) AS rho FROM h0),
+h2 AS (SELECT host, k + w * m AS a, n - k + w * (1 - m) AS b FROM h0, (SELECT 1 / least({reputation.MOST_RHO}, greatest({reputation.LEAST_RHO}, rho)) - 1 AS w FROM h1)),
+h3 AS (SELECT host, a / (a + b) - {reputation.DEVIATIONS} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > {reputation.LIMIT} AS bad FROM h2),
+r AS (SELECT * FROM (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')) t(verdict, host, path)),
+f AS (
+    SELECT u.host, u.path, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS verdict
+    FROM (SELECT DISTINCT host, path FROM u) u JOIN r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path) GROUP BY ALL
+)
+SELECT page_id, u.host, u.path, f.rule, coalesce(f.verdict, CASE WHEN h3.bad THEN 'block' ELSE 'allow' END) AS verdict
+FROM u JOIN h3 ON u.host = h3.host LEFT JOIN f ON f.host = u.host AND f.path = u.path
+""",
+    "op12_collocations": r"""
+WITH p AS (
+    SELECT lang, row_number() OVER () AS piece_id, piece
+    FROM (
+        SELECT coalesce(lang, 'und') AS lang,
+               unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents
+    )
+),
+w AS (SELECT lang, piece_id, unnest(words) AS w1, generate_subscripts(words, 1) AS i FROM (SELECT *, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p)),
+g AS (SELECT lang, w1, lead(w1, 1) OVER s AS w2, lead(w1, 2) OVER s AS w3 FROM w WINDOW s AS (PARTITION BY piece_id ORDER BY i)),
+f AS (
+    SELECT lang, 1 AS k, w1 AS phrase, count(*) AS a FROM g GROUP BY ALL
+    UNION ALL SELECT lang, 2, w1 || ' ' || w2, count(*) FROM g WHERE w2 IS NOT NULL GROUP BY ALL
+    UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) FROM g WHERE w3 IS NOT NULL GROUP BY ALL
+),
+t AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 10),
+x AS (
+    SELECT c.lang, c.k, c.phrase, c.a, j, l.a AS l, r.a AS r, CAST((CAST(1000000 AS HUGEINT) * c.a * c.a) // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+    FROM c JOIN (VALUES (1), (2)) v(j) ON j < c.k
+    JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:j], ' ')
+    JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[j + 1:], ' ')
+),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+i AS (
+    SELECT lang, phrase, max(a) AS a
+    FROM (SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM c WHERE k = 3 UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM c WHERE k = 3)
+    GROUP BY ALL
+)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, encode(b.phrase)) AS rank, b.phrase, b.a, l, r, n, score
+FROM b JOIN t ON t.lang = b.lang LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase AND b.k = 2
+WHERE i.a IS NULL OR 100 * i.a < 50 * b.a
+QUALIFY rank <= 2000
 """,
 }
