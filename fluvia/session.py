@@ -32,11 +32,11 @@ def session(app: str = "fluvia", cores: str | int = "*", **conf: str) -> SparkSe
     return spark
 
 
-def scratch_dir(spark: SparkSession) -> str:
+def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
     Where that is unset, a local master gets a temporary one (tests); on a cluster executors could not see it, so that
-    raises. The tables of a run lie in one subfolder, which goes when the driver's Python ends.
+    raises. What is written here stays.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
@@ -48,7 +48,13 @@ def scratch_dir(spark: SparkSession) -> str:
         if folder is None:
             folder = tempfile.mkdtemp(prefix="fluvia-")
             context.setCheckpointDir(folder)
-    own = f"{folder.rstrip('/')}/fluvia-{context.applicationId}"
+    return folder.rstrip("/")
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A subfolder of the shared folder for the tables of this run, which goes when the driver's Python ends."""
+    context = spark.sparkContext
+    own = f"{shared_dir(spark)}/fluvia-{context.applicationId}"
     if getattr(context, "_fluvia_scratch", None) != own:
         context._fluvia_scratch = own
         atexit.register(clean, spark, own)
