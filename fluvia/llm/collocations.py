@@ -35,9 +35,9 @@ for _c in range(65, 91):
     _TABLE[_c] = _c + 32
 _TABLE[9] = 32
 #: Bytes of a text that are split at once; words of a trie's buffer; different paths and words after which a trie is written.
-BLOCK, BUFFER, FULL, VOCABULARY = 1 << 22, 1 << 20, 3 << 20, 1 << 20
+BLOCK, BUFFER, FULL, VOCABULARY = 1 << 20, 1 << 17, 3 << 19, 1 << 20
 #: Paths of a chunk; rows that a merge gathers before it sums them.
-CHUNK, GATHER = 1 << 14, 1 << 19
+CHUNK, GATHER = 1 << 14, 1 << 18
 RANGE_BYTES, MOST_RANGES = 8 << 20, 4096
 
 Path = tuple[bytes, bytes, bytes]
@@ -96,7 +96,7 @@ class Trie:
         paths = (first << 2 * WORD_BITS) | (second << WORD_BITS) | np.where(second == 0, 0, third)
         self.new.append(paths[first > 0])
         self.waiting += len(self.new[-1])
-        if self.waiting > 2 * BUFFER:
+        if self.waiting > FULL // 3:
             self.fold()
 
     def fold(self) -> None:
@@ -209,9 +209,9 @@ def serialised(docs: DataFrame, bounds: list[tuple[bytes, Path]]) -> DataFrame:
         kinds = (pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
         names = ["range", "lang", "w1", "w2", "w3", "chunk"]
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                trie = tries.setdefault(lang, Trie())
-                for words in words_of(text):
+            for lang, text in zip(batch.column(0), batch.column(1), strict=True):  # one text after the other
+                trie = tries.setdefault(lang.as_py(), Trie())
+                for words in words_of(text.as_py()):
                     trie.add(words)
                 trie.add([END, END])
                 if trie.full() or len(tries) > 64 or sum(len(t.paths) for t in tries.values()) > FULL:
@@ -272,7 +272,11 @@ class Merge:
             done = [t.filter(c) for t, c in zip(self.nodes, closed, strict=True)]
             self.nodes = [t.filter(pc.invert(c)) for t, c in zip(self.nodes, closed, strict=True)]
             pairs = self.nodes[1]  # complete pairs that are rare go at once, whatever their word becomes
-            self.nodes[1] = pairs.filter(pc.or_(pc.greater_equal(pairs["f"], self.least), pc.invert(_below(pairs, until[:2]))))
+            stay = pc.or_(pc.greater_equal(pairs["f"], self.least), pc.invert(_below(pairs, until[:2])))
+            for edge in self.edges:
+                if len(edge) == 2:
+                    stay = pc.or_(stay, pc.and_(pc.equal(pairs["w1"], edge[0]), pc.equal(pairs["w2"], edge[1])))
+            self.nodes[1] = pairs.filter(stay)
         yield from self._walk(*done)
 
     def _walk(self, words: pa.Table, pairs: pa.Table, triples: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -335,7 +339,7 @@ def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
     after each word into parts with l and r occurrences; the cut of the smallest floor(10^6 a a / (l r)) counts, the
     first of equal ones. A phrase in a longer one that occurs ``share`` percent as often or more is dropped. Returns lang,
     rank, phrase, a, l, r, n (words of the language) and score, by score and a descending and the phrase's bytes. Exact
-    for counts up to 10^16.
+    for counts below 10^16.
 
     Null text is empty, a null language ``und``; repeated rows count each; other columns are left out, whatever their
     names; an empty table gives none. A task holds one trie of at most FULL paths or so, texts are split in blocks, and a
