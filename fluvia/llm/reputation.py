@@ -59,12 +59,12 @@ def suffix_of(host: Column) -> Column:
 def strength(nodes: DataFrame) -> float:
     """The prior's worth in outcomes, by the method of moments over nodes (n, k, prior): one row reaches the driver.
 
-    Counts spread around their prior by n m (1 - m) (1 + (n - 1) rho); without nodes of two outcomes rho is the least.
+    Counts spread around their prior by n m (1 - m) (1 + (n - 1) rho); without nodes of two outcomes rho is the greatest.
     """
     n, k, m = F.col("n"), F.col("k"), F.col("prior")
     spread = F.sum((k - n * m) * (k - n * m) - n * m * (1 - m))
     pairs = F.sum(n * (n - 1) * m * (1 - m))
-    rho = nodes.agg(F.coalesce(F.try_divide(spread, pairs), F.lit(LEAST_RHO)).alias("rho")).first()["rho"]
+    rho = nodes.agg(F.coalesce(F.try_divide(spread, pairs), F.lit(MOST_RHO)).alias("rho")).first()["rho"]
     return 1 / min(MOST_RHO, max(LEAST_RHO, rho)) - 1
 
 
@@ -106,7 +106,7 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule], *,
     named = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url")).select("id", host.alias("host"), path.alias("path"))
     told = outcomes.select(F.col(outcomes.columns[0]).alias("id"), F.col(outcomes.columns[1]).cast("long").alias("bad")).where("id is not null and bad is not null")
     told = materialize(told.groupBy("id").agg(F.count("*").alias("n"), F.sum("bad").alias("k")), "page-outcomes")
-    labelled = named.join(told, "id", "left")
+    labelled = named.join(told.hint("merge"), "id", "left")  # outcomes grow with the pages
     counts = materialize(labelled.groupBy("host").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("k")), "host-outcomes")
     known = materialize(host_reputation(counts, deviations=deviations).select("host", "share", "bound"), "host-reputation")
     judged = named.join(known, "host").withColumn("fit", matched_rule(F.col("host"), F.col("path"), rules))
