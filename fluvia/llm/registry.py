@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluvia.llm import ann, audio, bpe, chat, collocations, line_dedup, packing, quality, reputation, sharding, simhash, warc
+from fluvia.llm import ann, audio, bpe, chat, collocations, line_dedup, packing, quality, reputation, sharding, simhash, time_partitions, warc
 from fluvia.session import ship
 
 
@@ -77,6 +77,20 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def click_moment() -> F.Column:
+    """ts, for some clicks moved back by whole days or to the Monday of its week, by the hash of their id."""
+    ts, k = F.col("ts").cast("timestamp_ntz"), F.crc32(F.col("click_id").cast("string").cast("binary")) % 128
+    back = ts - F.make_dt_interval(((k + 6) * (k + 6) * (k + 6)).cast("int"))
+    monday = F.date_sub(F.to_date(ts), F.weekday(ts)).cast("timestamp_ntz")
+    return F.when(k < 16, back).when(k > 111, monday).otherwise(ts)
+
+
+def op13_time_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clicks = table(spark, sf_dir, "clicks")
+    old = F.col("arrived_at") < F.lit("2024-05-01 00:00:00").cast("timestamp_ntz")
+    return time_partitions.rewrite_by_time(clicks, moment=click_moment(), arrived=F.col("arrived_at"), ident=F.col("click_id"), old=old, limit=1 + clicks.count() // 500)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_ann": op2_ann,
@@ -90,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
     "op11_url_reputation": op11_url_reputation,
     "op12_collocations": op12_collocations,
+    "op13_time_partitions": op13_time_partitions,
 }
 
 ORACLES: dict[str, str] = {
@@ -147,13 +162,13 @@ h AS (
     )
 ),
 s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (sum(k) + 1) / (sum(n) + 2) FROM h) AS m FROM h GROUP BY suffix),
-s1 AS (SELECT coalesce(sum((k - n * m) * (k - n * m) - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0) AS rho FROM s0),
+s1 AS (SELECT coalesce(sum((k - n * m) * (k - n * m) - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), {reputation.MOST_RHO}) AS rho FROM s0),
 s2 AS (SELECT suffix, (k + w * m) / (n + w) AS m FROM s0, (SELECT 1 / least({reputation.MOST_RHO}, greatest({reputation.LEAST_RHO}, rho)) - 1 AS w FROM s1)),
 d0 AS (SELECT h.domain, sum(n) AS n, sum(k) AS k, any_value(s2.m) AS m FROM h JOIN s2 USING (suffix) GROUP BY h.domain),
-d1 AS (SELECT coalesce(sum((k - n * m) * (k - n * m) - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0) AS rho FROM d0),
+d1 AS (SELECT coalesce(sum((k - n * m) * (k - n * m) - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), {reputation.MOST_RHO}) AS rho FROM d0),
 d2 AS (SELECT domain, (k + w * m) / (n + w) AS m FROM d0, (SELECT 1 / least({reputation.MOST_RHO}, greatest({reputation.LEAST_RHO}, rho)) - 1 AS w FROM d1)),
 h0 AS (SELECT host, n, k, d2.m FROM h JOIN d2 USING (domain)),
-h1 AS (SELECT coalesce(sum((k - n * m) * (k - n * m) - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0) AS rho FROM h0),
+h1 AS (SELECT coalesce(sum((k - n * m) * (k - n * m) - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), {reputation.MOST_RHO}) AS rho FROM h0),
 h2 AS (SELECT host, k + w * m AS a, n - k + w * (1 - m) AS b FROM h0, (SELECT 1 / least({reputation.MOST_RHO}, greatest({reputation.LEAST_RHO}, rho)) - 1 AS w FROM h1)),
 h3 AS (SELECT host, a / (a + b) - {reputation.DEVIATIONS} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > {reputation.LIMIT} AS bad FROM h2),
 r AS (SELECT * FROM (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')) t(verdict, host, path)),
