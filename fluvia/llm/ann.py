@@ -28,14 +28,19 @@ WANTED = 0.93
 PART_ROWS, PART_SAMPLE = 64, 16
 
 
+#: Rows that are ranked at once, so that a block of logits or distances stays within some 30 MB.
+BLOCK = 256
+
+
 def neighbours(rows: np.ndarray, k: int) -> np.ndarray:
-    """The k nearest other rows of each row of a sample, in blocks."""
+    """The k nearest other rows of each row of a sample, in blocks and in single precision."""
+    rows = rows.astype(np.float32)
     squares = (rows**2).sum(axis=1)
-    out = np.empty((len(rows), k), dtype=np.int64)
-    for lo in range(0, len(rows), 1024):
-        near = squares[None, :] - 2 * rows[lo : lo + 1024] @ rows.T
+    out = np.empty((len(rows), k), dtype=np.int32)
+    for lo in range(0, len(rows), BLOCK):
+        near = squares[None, :] - 2 * rows[lo : lo + BLOCK] @ rows.T
         near[np.arange(len(near)), lo + np.arange(len(near))] = np.inf
-        out[lo : lo + 1024] = np.argpartition(near, k - 1, axis=1)[:, :k]
+        out[lo : lo + BLOCK] = np.argpartition(near, k - 1, axis=1)[:, :k]
     return out
 
 
@@ -100,19 +105,31 @@ class Router:
 
     def logits(self, rows: np.ndarray) -> np.ndarray:
         w1, b1, w2, b2 = self.layers
-        return np.maximum((rows - self.mean) / self.scale @ w1 + b1, 0) @ w2 + b2
+        return np.maximum((rows.astype(np.float32) - self.mean) / self.scale @ w1 + b1, 0) @ w2 + b2
 
     def most_probable(self, rows: np.ndarray, many: int) -> np.ndarray:
-        return np.argsort(-self.logits(rows), axis=1, kind="stable")[:, :many]
+        """The parts of greatest logits, the smaller number first where they are equal; block by block."""
+        out = np.empty((len(rows), many), dtype=np.int32)
+        for lo in range(0, len(rows), BLOCK):
+            logits = self.logits(rows[lo : lo + BLOCK])
+            out[lo : lo + BLOCK] = logits.argmax(axis=1)[:, None] if many == 1 else np.argsort(-logits, axis=1, kind="stable")[:, :many]
+        return out
 
 
-def learn(rows: np.ndarray, targets: np.ndarray, rng: np.random.Generator, hidden: int = 128, epochs: int = 40) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Adam on the cross-entropy with soft targets."""
+def learn(rows: np.ndarray, parts: np.ndarray, weights: np.ndarray, count: int, rng: np.random.Generator, hidden: int = 128) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Adam on the cross-entropy with soft targets, in single precision.
+
+    A row's target is the share of ``weights`` that its ``parts`` have; it is spread out over all parts batch by batch
+    only. 40 epochs, or as many steps on larger samples as 8,192 rows take, 12 epochs at least.
+    """
+    rows = rows.astype(np.float32)
     mean, scale = rows.mean(axis=0), rows.std(axis=0)
     scale[scale < 1e-9] = 1
     x = (rows - mean) / scale
-    d, p = x.shape[1], targets.shape[1]
-    layers = [rng.standard_normal((d, hidden)) * (2 / d) ** 0.5, np.zeros(hidden), rng.standard_normal((hidden, p)) * (1 / hidden) ** 0.5, np.zeros(p)]
+    d, epochs = x.shape[1], int(min(40, max(12, 40 * 8192 / max(1, len(x)))))
+    weights = (weights / weights.sum()).astype(np.float32)
+    normal = lambda *shape: rng.standard_normal(shape, dtype=np.float32)
+    layers = [normal(d, hidden) * np.float32((2 / d) ** 0.5), np.zeros(hidden, np.float32), normal(hidden, count) * np.float32((1 / hidden) ** 0.5), np.zeros(count, np.float32)]
     first, second, step = [np.zeros_like(w) for w in layers], [np.zeros_like(w) for w in layers], 0
     for epoch in range(epochs):
         rate = 3e-3 * (1 - epoch / epochs) + 1e-5
@@ -122,20 +139,22 @@ def learn(rows: np.ndarray, targets: np.ndarray, rng: np.random.Generator, hidde
             h = np.maximum(x[at] @ layers[0] + layers[1], 0)
             z = h @ layers[2] + layers[3]
             z = np.exp(z - z.max(axis=1, keepdims=True))
-            dz = (z / z.sum(axis=1, keepdims=True) - targets[at]) / len(at)
+            dz = z / z.sum(axis=1, keepdims=True)
+            np.subtract.at(dz, (np.repeat(np.arange(len(at)), parts.shape[1]), parts[at].ravel()), np.tile(weights, len(at)))
+            dz /= np.float32(len(at))
             dh = dz @ layers[2].T * (h > 0)
             step += 1
             for i, g in enumerate((x[at].T @ dh, dh.sum(axis=0), h.T @ dz, dz.sum(axis=0))):
-                first[i] = 0.9 * first[i] + 0.1 * g
-                second[i] = 0.999 * second[i] + 0.001 * g * g
-                layers[i] -= rate * first[i] / (1 - 0.9**step) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
+                first[i] += np.float32(0.1) * (g - first[i])
+                second[i] += np.float32(0.001) * (g * g - second[i])
+                layers[i] -= np.float32(rate / (1 - 0.9**step)) * first[i] / (np.sqrt(second[i] / np.float32(1 - 0.999**step)) + np.float32(1e-8))
     return mean, scale, layers
 
 
 def fit(rows: np.ndarray, depth: int, *, k: int = 10, wanted: float = WANTED, seed: int = 0) -> Router:
     """The router of a sample, and the fewest probes that find the wanted share of the sample's true neighbours.
 
-    The share is measured on a fifth of the sample that the classifier does not see.
+    The share is measured on a fifth of the sample that the classifier does not see. Nothing of rows times parts is held.
     """
     rng = np.random.default_rng(seed)
     k = min(k, len(rows) - 1)
@@ -145,20 +164,20 @@ def fit(rows: np.ndarray, depth: int, *, k: int = 10, wanted: float = WANTED, se
     graph = neighbours(rows, k)
     part = partition(graph, depth, rng)
     count = 1 << depth
-    targets = np.zeros((len(rows), count))
-    np.add.at(targets, (np.repeat(np.arange(len(rows)), k), part[graph].ravel()), 1.0)
-    targets[np.arange(len(rows)), part] += k / 2
-    targets /= targets.sum(axis=1, keepdims=True)
+    targets = np.concatenate([part[graph], part[:, None]], axis=1).astype(np.int32)
     seen = rng.permutation(len(rows))
     unseen, seen = seen[: len(rows) // 5], seen[len(rows) // 5 :]
-    mean, scale, layers = learn(rows[seen], targets[seen], rng)
+    mean, scale, layers = learn(rows[seen], targets[seen], np.array([1.0] * k + [k / 2]), count, rng)
     router = Router(mean, scale, layers, 1, 0.0)
     home = router.most_probable(rows, 1)[:, 0]
-    ranked = router.most_probable(rows[unseen], count)
-    place = np.empty_like(ranked)
-    np.put_along_axis(place, ranked, np.arange(count)[None, :].repeat(len(ranked), axis=0), axis=1)
-    needed = np.take_along_axis(place, home[graph[unseen]], axis=1).ravel()
-    share = np.cumsum(np.bincount(needed, minlength=count)) / len(needed)
+    tally = np.zeros(count, dtype=np.int64)
+    for lo in range(0, len(unseen), BLOCK):
+        some = unseen[lo : lo + BLOCK]
+        ranked = router.most_probable(rows[some], count)
+        place = np.empty_like(ranked)
+        np.put_along_axis(place, ranked, np.arange(count, dtype=np.int32)[None, :].repeat(len(ranked), axis=0), axis=1)
+        tally += np.bincount(np.take_along_axis(place, home[graph[some]], axis=1).ravel(), minlength=count)
+    share = np.cumsum(tally) / max(1, tally.sum())
     router.probes = int(np.argmax(share >= wanted)) + 1
     router.recall = float(share[router.probes - 1])
     return router
@@ -199,9 +218,10 @@ def usable(vectors: DataFrame, queries: F.Column, id_col: str, vector_col: str)
 
 
 def sample_of(every: DataFrame, n: int, least: int = 8192, most: int = 32_768) -> np.ndarray:
-    """The vectors of smallest id hash: a quarter of all, ``least`` at least and ``most`` at most."""
-    rows = every.orderBy(F.xxhash64("id"), "id").limit(min(most, max(least, n // 4))).select("v").collect()
-    return np.array(sorted(r["v"] for r in rows))
+    """The vectors of smallest id hash, in single precision: a quarter of all, ``least`` at least and ``most`` at most."""
+    rows = every.orderBy(F.xxhash64("id"), "id", "v").limit(min(most, max(least, n // 4))).select(F.col("v").cast("array<float>").alias("v")).toArrow()
+    flat = rows.column("v").combine_chunks()
+    return flat.flatten().to_numpy().reshape(len(flat), -1)
 
 
 def ann_search(vectors: DataFrame, queries: F.Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, block_rows: int = 8192, wanted: float = WANTED, depth: int | None = None) -> DataFrame:
