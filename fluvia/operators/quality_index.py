@@ -55,6 +55,11 @@ def information_score(stations: DataFrame, measurements: DataFrame, curves: Data
     s = stations
     for some, names in ((measurements, ("n_measurements", "n_years_with_measurements", "pct_stage_values", "pct_discharge_values")), (curves, ("n_rating_curves", "n_rating_curve_segments", "n_overlapping_pairs")), (sections, ("n_cross_sections",))):
         s = s.join(some.select("station_code", *names), "station_code", "left")
+    return with_scores(s)
+
+
+def with_scores(s: DataFrame) -> DataFrame:
+    """The columns of ``information_score`` beside stations that have their counts already."""
 
     def points(flag: Column, n: int) -> Column:
         return F.when(yes(flag), n).otherwise(0)
@@ -147,16 +152,18 @@ def station_indices(assessed: DataFrame) -> DataFrame:
     return assessed.select("station_code", F.inline(F.array(*rows)))
 
 
-def assemble(stations: DataFrame, summaries: list[DataFrame]) -> DataFrame:
+def assemble(stations: DataFrame, summaries: list[DataFrame], hint: str | None = None) -> DataFrame:
     """Joins summaries to the stations, each with the columns not seen before.
 
-    Each summary has one row a station. All are partitioned by the same key, so the cascade shuffles each table once.
+    Each summary has one row a station. All are partitioned by the same key, so the cascade shuffles each table once, and
+    none if they are clustered product tables and ``hint`` is ``merge``.
     """
     out = stations
     for s in summaries:
         fresh = [c for c in s.columns if c not in out.columns]
         if fresh:
-            out = out.join(s.select("station_code", *fresh), "station_code", "left")
+            some = s.select("station_code", *fresh)
+            out = out.join(some.hint(hint) if hint else some, "station_code", "left")
     return out
 
 

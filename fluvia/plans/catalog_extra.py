@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,9 @@ from fluvia.operators import cleaning, curves, diagnostics, display, extremes, f
 from fluvia.plans.bindings import cte, view
 from fluvia.plans.catalog import FLOW, ROLLING, flow_grid, hq, merged_sql, query
 from fluvia.plans.catalog_more import CLEAN, MATCH, MAXIMA, POWER, SCORES, SUMMARY, WINDOWS, matched, scores, stations
+from fluvia.session import materialize, scratch_dir
 from fluvia.sources import readers, sinks
+from fluvia.sources.store import Store
 
 # parsers: texts are made of the tables' numbers and dates, then read back
 
@@ -256,22 +260,37 @@ SELECT z2.station_code, z2.station_name, coalesce(z2.n, 0) > 0 AS has_measuremen
 FROM z2 LEFT JOIN rq ON rq.station_code = z2.station_code"""
 )
 def full_station_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stations with nine summaries: products, assessment, measurement, curve and section indices, diagnostics, requests, map status and yearly coverage."""
-    m, c, v = (view(spark, sf_dir, n) for n in ("measurements", "rating_curves", "vertices"))
-    base = stations(spark, sf_dir)
-    measured, sections = cleaning.measurement_summary(m), cleaning.section_summary(v)
-    indices = quality_index.measurement_indices(measured), quality_index.curve_indices(c, curves.overlap_pairs(c)), quality_index.section_indices(sections)
-    scored = quality_index.information_score(base, *indices)
-    routes = cleaning.route_status(cleaning.window_status(view(spark, sf_dir, "request_log"))).groupBy("station_code").agg(F.count("*").alias("n_routes"), F.sum("n_attempts").alias("n_attempts"))
-    summaries = [
-        quality_index.product_availability(base, {"measurements": m, "rating_curves": c, "cross_sections": v}), scored.drop("map_status", "map_priority"), *indices,
-        diagnostics.diagnostic_summary(diagnostics.measurement_flags(m), c).withColumn("has_diagnostics", F.col("n_measurements") > 0), routes, scored.select("station_code", "map_status", "map_priority"),
-        cleaning.station_year_summary(m).groupBy("station_code").agg(F.count("*").alias("n_years"), F.max("n_dates").alias("most_dates_in_a_year")),
-    ]
-    rows = quality_index.assemble(base, summaries).fillna(0, ["n_measurements", "n_rating_curves", "n_cross_sections", "n_cross_section_vertices"]).fillna(False, ["has_diagnostics"])
+    """The stations with nine summaries: products, assessment, measurement, curve and section indices, diagnostics, requests, map status and yearly coverage.
+
+    The summaries are committed as product tables clustered by station and joined without an exchange.
+    """
+    store = Store(spark, f"{scratch_dir(spark)}/products-{uuid.uuid4().hex}")
+    store.commit(station_summaries(spark, sf_dir))
+    return indexed_stations(store)
+
+
+def station_summaries(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The stations and their summaries, one row a station each; every table of measurements, curves, sections and requests is read once."""
+    c = materialize(view(spark, sf_dir, "rating_curves"), "curves")  # counted, and swept for overlaps
+    routes = cleaning.route_status(cleaning.window_status(view(spark, sf_dir, "request_log")))
+    return {
+        "stations": stations(spark, sf_dir),
+        "measurements": quality_index.measurement_indices(diagnostics.station_profile(view(spark, sf_dir, "measurements"))),
+        "rating_curves": quality_index.curve_indices(c, curves.overlap_pairs(c)),
+        "cross_sections": quality_index.section_indices(cleaning.section_summary(view(spark, sf_dir, "vertices"))),
+        "requests": routes.groupBy("station_code").agg(F.count("*").alias("n_routes"), F.sum("n_attempts").alias("n_attempts")),
+    }
+
+
+def indexed_stations(store: Store, version: int | None = None) -> DataFrame:
+    """The station index of a version of stored summaries."""
+    base, *summaries = (store.read(n, version) for n in ("stations", "measurements", "rating_curves", "cross_sections", "requests"))
+    counts = ["n_measurements", "n_rating_curves", "n_cross_sections", "n_cross_section_vertices"]
+    rows = quality_index.with_scores(quality_index.assemble(base, summaries, hint="merge")).fillna(0, counts)
+    has = {n: F.col(c) > 0 for n, c in (("has_measurements", "n_measurements"), ("has_rating_curves", "n_rating_curves"), ("has_cross_sections", "n_cross_sections"), ("has_diagnostics", "n_measurements"))}
     group = display.map_group(F.col("has_measurements"), F.col("has_rating_curves"))
     label = display.search_label(F.col("station_code"), F.col("station_name"), municipality=F.col("municipality"))
-    return rows.select("station_code", "station_name", "has_measurements", "has_rating_curves", "has_cross_sections", "preliminary_information_score", "n_measurements", "n_rating_curves", "n_cross_sections", "n_cross_section_vertices", "n_routes", "n_attempts", "map_status", display.map_group_label(group).alias("map_group_label"), label.alias("station_search_label"), "has_diagnostics")
+    return rows.withColumns(has).select("station_code", "station_name", "has_measurements", "has_rating_curves", "has_cross_sections", "preliminary_information_score", "n_measurements", "n_rating_curves", "n_cross_sections", "n_cross_section_vertices", "n_routes", "n_attempts", "map_status", display.map_group_label(group).alias("map_group_label"), label.alias("station_search_label"), "has_diagnostics")
 
 
 @query("SELECT lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS station_code, s_name AS station_name, CASE WHEN s_suppkey % 2 = 0 THEN 'SP' ELSE 'MG' END AS uf, round(s_acctbal / 100, 6) AS latitude, CAST(NULL AS DOUBLE) AS longitude, s_suppkey % 3 = 0 AS is_operating, CASE WHEN s_suppkey % 5 <> 0 THEN DATE '1990-01-01' END AS discharge_start_date, s_suppkey % 5 <> 0 AS has_discharge_measurements, false AS has_rainfall_data, true AS missing_coordinates FROM supplier")
