@@ -6,7 +6,7 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluvia.functions.columns import failure_class, finite, is_finite, parse_date, parse_series_number, pick, station_code
@@ -66,10 +66,15 @@ def merge_daily(records: DataFrame, ordinal: Sequence[str]) -> DataFrame:
 
 
 def complete_grid(daily: DataFrame) -> DataFrame:
-    """Every day from a station's first to its last date; days without a record have nulls. One row a station and day in."""
-    span = daily.groupBy("station_code").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
-    grid = span.select("station_code", F.explode(F.sequence("lo", "hi")).alias("date"))
-    return grid.join(daily, ["station_code", "date"], "left")
+    """Every day from a station's first to its last date; days without a record have nulls. One row a station and day in.
+
+    Each record is followed by the days up to the station's next one: the table is read and shuffled once, and joined with
+    nothing. A station's records are one window, bounded by the calendar. Rows without a date are left out.
+    """
+    following = F.lead("date").over(Window.partitionBy("station_code").orderBy("date"))
+    rows = daily.where("date is not null").withColumn("__last", F.coalesce(F.date_sub(following, 1), F.col("date"))).select("*", F.posexplode(F.sequence("date", "__last")).alias("__n", "__day"))
+    own = [F.when(F.col("__n") == 0, F.col(f"`{c}`")).alias(c) for c in daily.columns if c not in ("station_code", "date")]
+    return rows.select("station_code", F.col("__day").alias("date"), *own)
 
 
 def discharge_series(merged: DataFrame, name: str = "discharge_m3s") -> DataFrame:

@@ -10,11 +10,13 @@ import math
 import statistics
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluvia.functions.columns import MONTHS_PT, count_flags, finite, hydrological_year, is_finite, labels, ladder, yes
+from fluvia.session import materialize
 
 DURATIONS = (1, 3, 7, 15, 30)
 RUN_DAYS = 7
@@ -139,13 +141,21 @@ def threshold_grid(daily: DataFrame, points: int = 70, low: float = 0.50, high:
 
 
 def threshold_counts(daily: DataFrame, grid: DataFrame | None = None) -> DataFrame:
-    """Events, and events a year, at each candidate threshold: all thresholds of all stations in one job."""
+    """Events, and events a year, at each candidate threshold: all thresholds of all stations in one job.
+
+    A day begins an event at the thresholds below its flow that no day of the RUN_DAYS before it exceeds: from the
+    greatest flow of those days up to its own. So a day adds one event at that bound and takes it away at its flow, and a
+    threshold's events are the running sum over the sorted bounds. Two rows a day, whatever the number of thresholds.
+    """
     grid = threshold_grid(daily) if grid is None else grid
-    over = daily.where(is_finite("discharge_m3s") & (F.col("discharge_m3s") > 0)).select("station_code", "date", F.col("discharge_m3s").alias("q")).join(grid, "station_code").where("q > threshold_m3s")
-    series = Window.partitionBy("station_code", "threshold_m3s").orderBy("date")
-    new = F.coalesce(F.datediff("date", F.lag("date").over(series)) > RUN_DAYS, F.lit(True))
+    days = daily.where(is_finite("discharge_m3s") & (F.col("discharge_m3s") > 0)).select("station_code", F.datediff("date", F.lit("1970-01-01")).alias("day"), F.col("discharge_m3s").alias("q"))
+    before = F.max("q").over(Window.partitionBy("station_code").orderBy("day").rangeBetween(-RUN_DAYS, -1))
+    starts = days.withColumn("m", F.coalesce(before, F.lit(float("-inf")))).where("m < q")
+    bounds = starts.select("station_code", F.inline(F.array(F.struct(F.col("m").alias("value"), F.lit(0).alias("kind"), F.lit(1).alias("step")), F.struct(F.col("q").alias("value"), F.lit(0).alias("kind"), F.lit(-1).alias("step")))))
+    marks = bounds.unionByName(grid.select("station_code", F.col("threshold_m3s").alias("value"), F.lit(1).alias("kind"), F.lit(0).alias("step")).distinct())
+    so_far = F.sum("step").over(Window.partitionBy("station_code").orderBy("value", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    counts = marks.withColumn("n_events", so_far).where("kind = 1 and n_events > 0").select("station_code", F.col("value").alias("threshold_m3s"), "n_events")
     span = daily.groupBy("station_code").agg(((F.datediff(F.max("date"), F.min("date")) + 1) / 365.25).alias("n_years"))
-    counts = over.withColumn("new", new).groupBy("station_code", "threshold_m3s").agg(F.count_if("new").alias("n_events"))
     return counts.join(span, "station_code").select("station_code", "threshold_m3s", "n_events", "n_years", (F.col("n_events") / F.col("n_years")).alias("lambda_observed"))
 
 
@@ -197,7 +207,11 @@ def chi2_quantile(p: float, df: int) -> float:
 def kendall_p(x: Sequence[float], y: Sequence[float]) -> float | None:
     """Two-sided p of Kendall's tau by the normal approximation with tie corrections; None if one side is constant."""
     n = len(x)
-    s = sum(((x[i] > x[j]) - (x[i] < x[j])) * ((y[i] > y[j]) - (y[i] < y[j])) for i in range(n) for j in range(i))
+    a, b = np.asarray(x, dtype=float), np.asarray(y, dtype=float)
+    s = 0  # concordant less discordant pairs, in blocks of rows
+    for lo in range(0, n, 512):
+        s += int((np.sign(a[lo : lo + 512, None] - a[None, :]) * np.sign(b[lo : lo + 512, None] - b[None, :])).sum())
+    s //= 2
 
     def ties(v: Sequence[float]) -> list[int]:
         return [c for c in pd.Series(list(v)).value_counts() if c > 1]
@@ -269,7 +283,7 @@ def automatic_threshold(daily: DataFrame) -> DataFrame:
 
     The selected target is the largest of the accepted block.
     """
-    targets = lambda_targets(threshold_counts(daily))
+    targets = materialize(lambda_targets(threshold_counts(daily)), "lambda-targets")  # events and tests read them
     keys = ("station_code", "lambda_target")
     thresholds = targets.select(*keys, "threshold_m3s")
     tests = pot_tests(pot_events(daily, thresholds, keys), daily, thresholds, keys)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fluvia.operators import daily, flow
 from fluvia.plans.bindings import cte, view
+from fluvia.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,14 +39,16 @@ def merged(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
 
 
 def flow_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return daily.complete_grid(merged(spark, sf_dir, "flow").select("station_code", "date", F.col("value").alias("discharge_m3s")))
+    """The days of all stations with their discharge, written once: most queries read them several times."""
+    return materialize(daily.complete_grid(merged(spark, sf_dir, "flow").select("station_code", "date", F.col("value").alias("discharge_m3s"))), "flow-days")
 
 
 def hq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days with discharge and stage."""
-    q = merged(spark, sf_dir, "flow").select("station_code", "date", F.col("value").alias("discharge_m3s"))
-    h = merged(spark, sf_dir, "stage").select("station_code", "date", F.col("value").alias("stage_cm"))
-    return daily.complete_grid(q.join(h, ["station_code", "date"], "full"))
+    """Days with discharge and stage, merged in one pass over the records of both and written once."""
+    names = {"discharge": "discharge_m3s", "stage": "stage_cm"}
+    both = daily.merge_daily(view(spark, sf_dir, "raw_flow").unionByName(view(spark, sf_dir, "raw_stage")), ORDINAL)
+    wide = both.groupBy("station_code", "date").agg(*(F.max(F.when(F.col("variable") == v, F.struct("value"))).alias(c) for v, c in names.items()))
+    return materialize(daily.complete_grid(wide.select("station_code", "date", *(F.col(f"{c}.value").alias(c) for c in names.values()))), "flow-and-stage-days")
 
 
 # SQL of the parts that queries share
@@ -194,7 +197,7 @@ SELECT station_code, cenario, pct AS demand_pct_qmlt, round(any_value(qmlt * pct
 )
 def regularization(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = flow_grid(spark, sf_dir)
-    return flow.regularization(grid, flow.monthly_stats(grid), flow.annual_stats(grid))
+    return flow.regularization(grid, materialize(flow.monthly_stats(grid), "monthly"), materialize(flow.annual_stats(grid), "annual"))
 
 
 @query(
