@@ -340,39 +340,48 @@ def view_fingerprints(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > firsts.shape[1], axis=1, bitorder="little").view("<u8")[:, 0]
 
 
+def raw_hash(text: F.Column) -> F.Column:
+    """128 bits of the text as it is; null is empty text."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, norm, views, size): a 128-bit hash of the normalised words, the fingerprint of all shingles with those of the
-    views, and how many different shingles there are."""
+    """(id, raw, norm, views, size) of each row: 128-bit hashes of its text and of the normalised words, the fingerprint of
+    all shingles with those of the views, and how many different shingles there are. Null text is empty; rows of null id
+    are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             norms, views, sizes = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 norms.append(xxhash.xxh3_128_digest(b" ".join((text or "").encode().lower().split())))
                 hashes = shingle_hashes(text, width)
                 sizes.append(len(np.unique(hashes)))
                 views.append(np.concatenate([np.array([fingerprint(hashes)], dtype=np.uint64), view_fingerprints(hashes)]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(norms, pa.binary()), pa.array(views, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], names=["id", "norm", "views", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(norms, pa.binary()), pa.array(views, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], names=["id", "raw", "norm", "views", "size"])
 
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("norm", T.BinaryType()), T.StructField("views", T.ArrayType(T.LongType())), T.StructField("size", T.LongType())])
-    return docs.where(F.col(id_col).isNotNull()).select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("raw", T.BinaryType()), T.StructField("norm", T.BinaryType()), T.StructField("views", T.ArrayType(T.LongType())), T.StructField("size", T.LongType())])
+    return docs.where(F.col(id_col).isNotNull()).select(id_col, raw_hash(F.col(text_col)), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, shingles): the different shingle hashes of the texts of ``ids``."""
+def shingle_sets(docs: DataFrame, some: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(node, shingles): the different shingle hashes of the texts that ``some`` (id, raw, node) names, one row a node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id", "left_semi")
-    return some.mapInArrow(run, T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("shingles", T.ArrayType(T.LongType()))])).dropDuplicates(["id"])
+    texts = docs.select(F.col(id_col).alias("id"), raw_hash(F.col(text_col)).alias("raw"), F.col(text_col).cast("string").alias("text")).join(some, ["id", "raw"])
+    return texts.select("node", "text").mapInArrow(run, "node binary, shingles array<bigint>").dropDuplicates(["node"])
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) with ``close``: whether the Jaccard similarity of their shingle sets reaches the bound."""
-    left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+    """The pairs (a, b) with ``close``: whether the Jaccard similarity of their shingle sets reaches the bound.
+
+    Pairs of nodes without a set are left out; the sets of two empty texts are close.
+    """
+    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", (both >= similarity * (F.size("sa") + F.size("sb") - both)).alias("close"))
 
@@ -424,74 +433,86 @@ def close_links(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray,
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
-    """(id, group) of every different id: the smallest id of its group of near copies, its own if it has none.
+    """(id, raw, group, stays) of every different id and text: ``raw`` is the text's hash, ``group`` the smallest id of its
+    group of near copies, its own if it has none, and ``stays`` tells the one text of the group that is kept: that of the
+    smallest id, and of these the one of smallest hash.
 
     Two texts link if the Jaccard similarity of their ``width``-word shingle sets is ``similarity`` or more. Texts of
-    equal normalised words are one. Candidates are texts whose fingerprints of all shingles lie within ``radius`` bits,
-    by the vantage-point trees, or whose fingerprints of one of VIEWS samples of shingles are equal. Of each set of
-    candidates, all are compared exactly with the one of smallest id. Where that leaves some apart, the set's texts are
-    parted by a second view, and within those sets an inverted index finds all links, in blocks of bounded size that hand
-    on a forest of them: a common passage or a large group of copies never makes a row for each pair.
-
-    Null or blank text equals other blank text. Null ids take no part. Rows of equal id are one document, whose smallest
-    normalised hash counts. An empty table gives an empty result.
+    equal normalised words are one node, whatever their ids. Candidates are texts whose fingerprints of all shingles lie
+    within ``radius`` bits, by the vantage-point trees, or whose fingerprints of one of VIEWS samples of shingles are
+    equal. Of each set of candidates, all are compared exactly with one of them. Where that leaves some apart, the set's
+    texts are parted by a second view, and within those sets an inverted index finds all links, in blocks of bounded size
+    that hand on a forest of them: a common passage or a large group of copies never makes a row for each pair.
+
+    Null or blank text equals other blank text. Null ids take no part. Rows of equal id and different texts are different
+    documents, each of which belongs to its own text's group; rows of equal id and text are one. No choice depends on the
+    order of rows. An empty table gives an empty result.
     """
     table = materialize(sketches(docs, id_col, text_col, width), "sketches")
-    one = table.groupBy("id").agg(F.min(F.struct("norm", "views", "size")).alias("s")).select("id", "s.*")
-    classes = one.groupBy("norm").agg(F.min(F.struct("id", "views", "size")).alias("r"))
-    reps = materialize(classes.select("norm", "r.*"), "sketch-classes")
-    seen = reps.select("id", "size", F.posexplode("views").alias("view", "fp"))
+    classes = table.groupBy("norm").agg(F.min(F.struct("id", "raw", "views", "size")).alias("r"))
+    reps = materialize(classes.select(F.col("norm").alias("node"), "r.*"), "sketch-classes")
+    seen = reps.select("node", "size", F.posexplode("views").alias("view", "fp"))
     # samples of similar texts are equal or far apart; the fingerprints of all shingles go through the trees
     whole = materialize(seen.where("view = 0").groupBy("fp").agg(F.count("*").alias("n")), "view-fingerprints")
     links = hamming_links(whole.select("fp"), radius=radius)
     groups = whole.select("fp", F.col("fp").alias("g"), "n").union(whole.join(links.select(F.col("u").alias("fp"), F.col("v").alias("g")), "fp").select("fp", "g", "n")).distinct()
     several = groups.groupBy("g").agg(F.sum("n").alias("size")).where("size > 1").select("g")
     groups = materialize(groups.join(several, "g").select("fp", "g"), "view-groups")
-    near = seen.where("view = 0").join(groups, "fp").select("view", "g", "id", "size")
+    near = seen.where("view = 0").join(groups, "fp").select("view", "g", "node", "size")
     equal = materialize(seen.where("view > 0").groupBy("view", "fp").count().where("count > 1").select("view", "fp"), "view-classes")
-    same = seen.where("view > 0").join(equal, ["view", "fp"]).select("view", F.col("fp").alias("g"), "id", "size")
-    members = near.union(same).select(F.xxhash64("view", "g").alias("key"), "id", F.array("view").alias("used"), "size").distinct()
+    same = seen.where("view > 0").join(equal, ["view", "fp"]).select("view", F.col("fp").alias("g"), "node", "size")
+    members = near.union(same).select(F.xxhash64("view", "g").alias("key"), "node", F.array("view").alias("used"), "size").distinct()
 
     members = materialize(members, "candidates")
-    sets = materialize(shingle_sets(docs, members.select("id").distinct(), id_col, text_col, width), "shingle-sets")
+    asked = reps.select("id", "raw", "node").join(members.select("node").distinct(), "node", "left_semi")
+    sets = materialize(shingle_sets(docs, asked, id_col, text_col, width), "shingle-sets")
 
-    # each with the text of smallest id of its set; one set under ``similarity`` times the other's size is never close
-    pivots = materialize(members.groupBy("key").agg(F.min(F.struct("id", "size")).alias("p")).select("key", F.col("p.id").alias("pivot"), F.col("p.size").alias("pivot_size")), "pivots")
+    # each with the first text of its set; one set under ``similarity`` times the other's size is never close
+    pivots = materialize(members.groupBy("key").agg(F.min(F.struct("node", "size")).alias("p")).select("key", F.col("p.node").alias("pivot"), F.col("p.size").alias("pivot_size")), "pivots")
     fits = F.least("size", "pivot_size") >= similarity * F.greatest("size", "pivot_size")
-    paired = members.join(pivots, "key").select("key", "id", "pivot", fits.alias("fits"))
-    asked = paired.where("fits and id > pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+    paired = members.join(pivots, "key").select("key", "node", "pivot", fits.alias("fits"))
+    asked = paired.where("fits and node > pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     close = materialize(similar_pairs(asked, sets, similarity).where("close").select(F.col("a").alias("u"), F.col("b").alias("v")), "close")
 
     # sets that are not all close to their pivot go on: by two agreeing views, all within are compared
-    apart = materialize(paired.where("id > pivot").join(close.withColumnsRenamed({"u": "id", "v": "pivot"}), ["id", "pivot"], "left_anti").select("key", "id").distinct(), "apart")
+    apart = materialize(paired.where("node > pivot").join(close.withColumnsRenamed({"u": "node", "v": "pivot"}), ["node", "pivot"], "left_anti").select("key", "node").distinct(), "apart")
     going = materialize(apart.select("key").distinct(), "apart-keys")
-    rest = members.join(apart.withColumn("apart", F.lit(1)), ["key", "id"], "left").join(going, "key", "left_semi").join(reps.select("id", "views"), "id")
-    rest = rest.select("id", "size", "views", F.coalesce("apart", F.lit(0)).alias("apart"), F.explode(F.transform(F.filter(F.sequence(F.lit(0), F.lit(VIEWS)), lambda v: ~F.array_contains("used", v)), lambda v: F.array_sort(F.array_append("used", v)))).alias("two"))
-    rest = materialize(rest.groupBy(F.xxhash64("two", F.transform("two", lambda v: F.get("views", v))).alias("key"), "id", "size").agg(F.max("apart").alias("apart")), "two-views")
-    sizes = rest.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.max("apart").alias("apart"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("n > 1 and apart = 1")
+    rest = members.join(apart.withColumn("apart", F.lit(1)), ["key", "node"], "left").join(going, "key", "left_semi").join(reps.select("node", "views"), "node")
+    rest = rest.select("node", "size", "views", F.coalesce("apart", F.lit(0)).alias("apart"), F.explode(F.transform(F.filter(F.sequence(F.lit(0), F.lit(VIEWS)), lambda v: ~F.array_contains("used", v)), lambda v: F.array_sort(F.array_append("used", v)))).alias("two"))
+    rest = materialize(rest.groupBy(F.xxhash64("two", F.transform("two", lambda v: F.get("views", v))).alias("key"), "node", "size").agg(F.max("apart").alias("apart")), "two-views")
+    sizes = rest.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.max("apart").alias("apart"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("n > 1 and apart = 1")
     # texts that agree in many views meet in many sets; of sets of the same members (by a 128-bit hash) one is enough
     sizes = materialize(sizes.groupBy("n", "x", "y").agg(F.min(F.struct("key", "words")).alias("k")).select("k.*", "n"), "two-view-sets")
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("words") / BLOCK_SHINGLES)).cast("int")
-    rest = rest.select("key", "id").join(sizes.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rest = rest.select("key", "id", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("key", "id", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    kind = docs.schema[id_col].dataType
+    rest = rest.select("key", "node").join(sizes.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rest = rest.select("key", "node", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("key", "node", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", ignore_index=True)
+        pdf = pdf.sort_values("node", ignore_index=True)
         u, v = close_links(list(pdf["shingles"]), similarity)
-        return pd.DataFrame({"u": pdf["id"].to_numpy()[u], "v": pdf["id"].to_numpy()[v]})
+        return pd.DataFrame({"u": pdf["node"].to_numpy()[u], "v": pdf["node"].to_numpy()[v]})
 
-    more = rest.join(sets, "id").groupBy("key", "lo", "hi").applyInPandas(compare, T.StructType([T.StructField("u", kind), T.StructField("v", kind)]))
+    more = rest.join(sets, "node").groupBy("key", "lo", "hi").applyInPandas(compare, "u binary, v binary")
     roots = components(close.union(more), "near-copies")
-    named = reps.select("norm", "id").join(roots.withColumnRenamed("u", "id"), "id", "left").select("norm", F.coalesce("root", "id").alias("group"))
-    return one.select("id", "norm").join(named, "norm").select("id", "group")
+    named = reps.select("node", "id", "raw").join(roots.withColumnRenamed("u", "node"), "node", "left").select("node", "id", "raw", F.coalesce("root", "node").alias("root"))
+    first = materialize(named.groupBy("root").agg(F.min(F.struct("id", "raw")).alias("first")), "near-firsts")
+    named = materialize(named.join(first, "root").select(F.col("node").alias("norm"), "first"), "near-groups")
+    every = table.select("id", "raw", "norm").distinct().join(named, "norm")
+    return every.select("id", "raw", F.col("first.id").alias("group"), ((F.col("id") == F.col("first.id")) & (F.col("raw") == F.col("first.raw"))).alias("stays"))
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The input's rows without near copies: one document of each group of ``near_duplicates`` stays, that of smallest id.
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The input's rows without near copies: of each group of ``near_duplicates`` one row stays, that of smallest id.
 
-    Of rows of equal id one stays. Rows with a null id all stay.
+    Of rows of equal id and text one stays, that of the smallest hash of all columns; rows of equal id and different
+    texts are different documents, so no text goes that has no near copy. Rows with a null id all stay.
     """
-    kept = near_duplicates(docs, id_col=id_col, **options).where(F.col("id") == F.col("group")).select(F.col("id").alias(id_col))
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("stays").select(F.col("id").alias("__id"), F.col("raw").alias("__raw"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.struct(*columns).alias("__row"), F.col(id_col).alias("__id"), raw_hash(F.col(text_col)).alias("__raw"), F.xxhash64(*columns).alias("__tie"))
+    several = materialize(rows.select("__id", "__raw").groupBy("__id", "__raw").count().where("count > 1").select("__id", "__raw"), "repeated-rows")
+    staying = rows.join(kept, ["__id", "__raw"], "left_semi")
+    # most rows are the only ones of their id and text; only the others are gathered once more
+    single = staying.join(several, ["__id", "__raw"], "left_anti").select("__row.*")
+    repeated = staying.join(several, ["__id", "__raw"], "left_semi").groupBy("__id", "__raw").agg(F.min_by("__row", "__tie").alias("__row")).select("__row.*")
+    return single.unionByName(repeated).unionByName(docs.where(F.col(id_col).isNull()))
