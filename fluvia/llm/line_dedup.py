@@ -5,7 +5,8 @@ segment folds them into its part of both filters: a bit seen again moves from "o
 documents again and lets only keys whose bits are all in the "twice" filter shuffle; those are confirmed exactly, by the
 key itself, and the smallest doc_id of each repeated key keeps its lines. A false positive costs a shuffled row, never a
 result. The filter is sized from the input and at most ``max_filter_bits`` bits (32 MB), which bounds what is broadcast;
-beyond its capacity more keys are suspected, up to all of them.
+beyond its capacity more keys are suspected, up to all of them. A third filter, of the documents that lose lines, keeps all
+others where they are: only those it holds shuffle to meet their keys.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -135,6 +137,34 @@ def suspects(docs: DataFrame, id_col: str, text_col: str, min_chars: int, bits:
     return source.mapInArrow(probe, T.StructType([T.StructField("doc", id_type), T.StructField("key", T.StringType())]))
 
 
+def id_filter(ids: DataFrame, bits: int) -> bytes:
+    """A Bloom filter of the hashes of ids, a power of two of bits; the driver gets the filter's segments, bits / 8 bytes."""
+
+    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _emit(np.concatenate(hash_positions(batch.column(0).to_numpy(), bits)))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for segment, new in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                held.setdefault(segment, np.zeros(1 << SEGMENT_BITS, dtype=bool))[np.frombuffer(new, dtype="<u4")] = True
+        for segment, found in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([np.packbits(found, bitorder="little").tobytes()], pa.binary())], names=["segment", "bits"])
+
+    parts = ids.select(F.xxhash64(ids.columns[0])).mapInArrow(positions, "segment int, once binary, twice binary").repartition("segment").mapInArrow(fold, "segment int, bits binary")
+    whole, width = bytearray(bits // 8), (1 << SEGMENT_BITS) // 8
+    for row in parts.toLocalIterator():
+        whole[row["segment"] * width : (row["segment"] + 1) * width] = row["bits"]
+    return bytes(whole)
+
+
+def hash_positions(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
+    """HASHES positions of 64-bit hashes, from different bits of them."""
+    h = hashes.view(np.uint64)
+    return [((h >> np.uint64(32 * i)) & np.uint64(bits - 1)).astype(np.uint32) for i in range(HASHES)]
+
+
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, max_filter_bits: int = 1 << 28) -> DataFrame:
     """Drops repeated lines from every document but the first that holds them.
 
@@ -153,8 +183,21 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     pairs = materialize(suspects(docs, id_col, text_col, min_chars, bits, found), "line-suspects")
     # written, so that the join below has plain shuffles on both sides, of which adaptive execution splits a hot key's
     repeated = materialize(pairs.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").select("key", "first"), "repeated-lines")
-    losing = pairs.join(repeated, "key").where("doc > first").groupBy("doc").agg(F.collect_set("key").alias("__drop"))
-    joined = docs.join(losing.withColumnRenamed("doc", "__doc"), F.col(id_col) == F.col("__doc"), "left").drop("__doc")
+    losing = materialize(pairs.join(repeated, "key").where("doc > first").groupBy("doc").agg(F.collect_set("key").alias("__drop")), "losing-documents")
+    # only documents that may lose a line meet their keys; all others stay where they are
+    size = 1 << max(SEGMENT_BITS, min(max_filter_bits.bit_length() - 1, (16 * losing.count()).bit_length()))
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(losing.select("doc"), size))
+
+    @F.pandas_udf("boolean")
+    def may_lose(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        held = np.frombuffer(shared.value, dtype=np.uint8)
+        for hashes in batches:
+            found = [held[p >> 3] >> (p & 7) & 1 for p in hash_positions(hashes.to_numpy(), size)]
+            yield pd.Series(np.logical_and.reduce(found).astype(bool))
+
+    some = F.col(id_col).isNotNull() & may_lose(F.xxhash64(id_col))
+    meeting = docs.where(some).join(losing.withColumnRenamed("doc", "__doc"), F.col(id_col) == F.col("__doc"), "left").drop("__doc")
+    joined = meeting.unionByName(docs.where(~some).withColumn("__drop", F.lit(None).cast("array<string>")))
 
     fields = [T.StructField(f.name, f.dataType, True) for f in docs.schema] + [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
     at = docs.columns.index(text_col)

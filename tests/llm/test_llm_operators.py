@@ -162,6 +162,22 @@ def test_near_duplicates_against_brute_force(spark):
     assert simhash.drop_near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_repeated_ids_lose_no_text(spark):
+    """Rows of one id and different texts are different documents, in whatever order they come."""
+    rng = random.Random(9)
+    a, b, c = (words(rng, 80) for _ in range(3))
+    near = c.replace(c.split()[40], "changed")
+    rows = [(1, a), (1, b), (2, a), (3, b), (3, c), (4, near), (1, a.upper()), (1, a), (None, a)]
+    md5 = lambda t: hashlib.md5(t.encode()).digest()
+    want = sorted([(1, min((a, a.upper()), key=md5)), (1, b), (3, c), (None, a)], key=str)
+    for order in (rows, rows[::-1], rows[4:] + rows[:4]):
+        docs = spark.createDataFrame([(*r, f"{i}") for i, r in enumerate(order)], f"{DOCS}, other string").repartition(3, "other")
+        assert sorted([(r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(docs).collect()], key=str) == want
+    groups = {(r["id"], bytes(r["raw"])): (r["group"], r["stays"]) for r in simhash.near_duplicates(docs).collect()}
+    assert groups[4, md5(near)] == (3, False) and groups[2, md5(a)] == (1, False) and groups[3, md5(b)] == (1, False) and groups[3, md5(c)] == (3, True)
+    assert sum(stays for _, stays in groups.values()) == 3
+
+
 # nearest neighbours
 
 
@@ -513,6 +529,18 @@ def test_lines(spark, bits):
 # quality
 
 
+def test_only_losing_documents_meet_their_keys(spark):
+    """Documents that lose nothing stay where they are; ids of any type are told apart by the filter."""
+    rows = [(f"d{i}", f"a line of document {i} alone\n" + ("a line that many documents hold" if i % 7 == 0 else "x")) for i in range(400)]
+    got = {r["doc_id"]: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id string, text string").repartition(5)).collect()}
+    assert len(got) == 400 and sum(r["n_dropped"] for r in got.values()) == sum(i % 7 == 0 for i in range(400)) - 1
+    bits = 1 << line_dedup.SEGMENT_BITS
+    held = np.frombuffer(line_dedup.id_filter(spark.range(0, 1000, 3).toDF("doc"), bits), dtype=np.uint8)
+    hashes = np.array([r[0] for r in spark.range(1000).select(F.xxhash64("id")).collect()])
+    found = np.logical_and.reduce([held[p >> 3] >> (p & 7) & 1 for p in line_dedup.hash_positions(hashes, bits)]).astype(bool)
+    assert found[::3].all() and found.sum() < 344
+
+
 def test_held_out_accuracy(spark):
     path = "/root/testdata/sf0.01"
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{path}/labels.parquet").collect()}
