@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,9 @@ from fluvia.plans.catalog import flow_grid, query
 from fluvia.plans.catalog_more import CLEAN, stations
 from fluvia.session import scratch_dir, shared_dir
 from fluvia.sources import exports
+from fluvia.sources.rest import Response
 from fluvia.sources.store import Store
+from fluvia.streaming import downloads
 
 
 def new_store(spark: SparkSession) -> Store:
@@ -130,3 +133,19 @@ def captured_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = diagnostics.station_fits(view(spark, sf_dir, "measurements"))
     few = F.coalesce(F.col("error_class") == "ValueError", F.lit(False))
     return rows.select("station_code", few.alias("too_few"), F.when(few, F.col("error_message")).alias("why"))
+
+
+def answer(route: str, station: str, start: date, end: date, token: str) -> Response:
+    """What a service would say of a window, by the window alone: some are empty, some never succeed."""
+    kind = zlib.crc32(f"{route} {station} {start}".encode()) % 16
+    return Response(503, message="unavailable") if kind == 0 else Response(200, [] if kind == 1 else [{"station": station, "day": start.isoformat()}] * (kind % 3 + 1))
+
+
+@query()
+def resumable_downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of a stateful stream that downloads every window of the request log, in two steps, into a new shared folder."""
+    folder = f"{shared_dir(spark)}/downloads-{uuid.uuid4().hex}"
+    tasks = view(spark, sf_dir, "request_log").select("station_code", "route_name", "date_start", F.col("date_start").alias("date_end")).distinct()
+    downloads.plan_downloads(tasks, f"{folder}/plan", files=2)
+    downloads.download_stream(spark, f"{folder}/plan", f"{folder}/log", f"{folder}/checkpoint", answer, lanes=4, stop_after=1 << 30).awaitTermination()
+    return spark.read.parquet(f"{folder}/log").select("route_name", "station_code", "date_start", "status", "n_attempts", "n_items")
