@@ -3,7 +3,8 @@
 Archives are rows (archive, data) of a table, so that any store Spark reaches can hold them; ``export_files`` puts them
 into a mounted folder as .warc.gz files with .idx sidecars. The writer makes one gzip stream of a whole archive, as many
 crawlers do. The normaliser inflates such a stream once, front to back, rewrites every record as a gzip member of its
-own, and gives a sidecar index of member offsets, by which single records can be read.
+own, and gives a sidecar index of member offsets, by which single records can be read; the round trip writes it to files of
+its own and reads the records by them.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -19,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluvia.session import materialize
+from fluvia.session import materialize, scratch_dir
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX_TYPE = "array<struct<offset: bigint, length: bigint, record_id: string, type: string>>"
@@ -184,6 +186,25 @@ def sidecar(normalized: DataFrame) -> DataFrame:
     return normalized.select("archive", F.inline("index"))
 
 
+def write_sidecar(normalized: DataFrame, folder: str) -> DataFrame:
+    """Writes the offset index beside the archives, as tab-separated files in a new folder, and reads it back.
+
+    Rows as in ``sidecar``; a missing record id or type is an empty field and comes back as null.
+    """
+    lines = sidecar(normalized)
+    lines.write.option("sep", "\t").csv(folder)
+    return normalized.sparkSession.read.schema(lines.schema).option("sep", "\t").csv(folder)
+
+
+def with_index(archives: DataFrame, index: DataFrame) -> DataFrame:
+    """(archive, data, index) of archives and their sidecar, records by offset; archives without records are left out.
+
+    An archive's records are one group, bounded by the archive's size.
+    """
+    each = index.groupBy("archive").agg(F.sort_array(F.collect_list(F.struct(*(c for c in index.columns if c != "archive")))).alias("index"))
+    return archives.select("archive", "data").join(each, "archive")
+
+
 def parse_member(member: bytes) -> dict:
     """What one gzip member says of its page; for a response, bytes and digest are of the payload as read."""
     record = zlib.decompress(member, 31)
@@ -250,6 +271,8 @@ def load_files(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def warc_round_trip(pages: DataFrame, **options) -> DataFrame:
-    """Writes all pages to archives, normalises those, and reads the normalised archives back."""
+    """Writes all pages to archives, normalises those with a sidecar index, and reads the records back through the sidecar's files."""
     whole = materialize(write_warc(pages, **options), "warc-whole")
-    return read_warc(materialize(normalize(whole), "warc-normal"), payload=False)
+    normal = materialize(normalize(whole), "warc-normal")
+    index = write_sidecar(normal, f"{scratch_dir(pages.sparkSession)}/warc-sidecar-{uuid.uuid4().hex}")
+    return read_warc(with_index(normal, index), payload=False)

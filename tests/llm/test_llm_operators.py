@@ -652,6 +652,12 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.export_files(normal, str(tmp_path)).agg(F.sum("records")).first()[0] == len(rows)
     loaded = warc.normalize(warc.load_files(spark, f"{tmp_path}/*.gz"))
     assert {r["data"] for r in loaded.collect()} == set(data.values())
+    kept = normal.cache()
+    lines = warc.write_sidecar(kept, f"{tmp_path}/sidecar")
+    assert sorted(map(tuple, lines.collect()), key=str) == sorted(map(tuple, warc.sidecar(kept).collect()), key=str) and list(tmp_path.glob("sidecar/*.csv"))
+    by_file = warc.read_warc(warc.with_index(kept, lines), payload=False)
+    assert sorted(map(tuple, by_file.collect()), key=str) == sorted(map(tuple, warc.read_warc(kept, payload=False).collect()), key=str)
+    assert warc.warc_round_trip(df, archive_bytes=2000).count() == len(rows)
     small = warc.read_warc(warc.normalize(warc.write_warc(df, min_bytes=5))).where("record_type = 'revisit'")
     assert small.count() == 0
     assert warc.warc_round_trip(df.limit(0)).count() == 0
