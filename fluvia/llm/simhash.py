@@ -507,12 +507,11 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     Of rows of equal id and text one stays, that of the smallest hash of all columns; rows of equal id and different
     texts are different documents, so no text goes that has no near copy. Rows with a null id all stay.
     """
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("stays").select(F.col("id").alias("__id"), F.col("raw").alias("__raw"))
+    kept = materialize(near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("stays").select(F.col("id").alias("__id"), F.col("raw").alias("__raw")), "kept-documents")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.where(F.col(id_col).isNotNull()).select(F.struct(*columns).alias("__row"), F.col(id_col).alias("__id"), raw_hash(F.col(text_col)).alias("__raw"), F.xxhash64(*columns).alias("__tie"))
     several = materialize(rows.select("__id", "__raw").groupBy("__id", "__raw").count().where("count > 1").select("__id", "__raw"), "repeated-rows")
-    staying = rows.join(kept, ["__id", "__raw"], "left_semi")
-    # most rows are the only ones of their id and text; only the others are gathered once more
-    single = staying.join(several, ["__id", "__raw"], "left_anti").select("__row.*")
-    repeated = staying.join(several, ["__id", "__raw"], "left_semi").groupBy("__id", "__raw").agg(F.min_by("__row", "__tie").alias("__row")).select("__row.*")
+    # most rows are the only ones of their id and text; the others part from them before either meets what is kept
+    single = rows.join(several, ["__id", "__raw"], "left_anti").join(kept, ["__id", "__raw"], "left_semi").select("__row.*")
+    repeated = rows.join(several, ["__id", "__raw"], "left_semi").join(kept, ["__id", "__raw"], "left_semi").groupBy("__id", "__raw").agg(F.min_by("__row", "__tie").alias("__row")).select("__row.*")
     return single.unionByName(repeated).unionByName(docs.where(F.col(id_col).isNull()))
