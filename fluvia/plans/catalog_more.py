@@ -121,7 +121,54 @@ def pot_threshold_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extremes.threshold_counts(flow_grid(spark, sf_dir))
 
 
-@query()
+def kendall_sql(pairs: str, keys: str) -> str:
+    """kp: Kendall's two-sided p by keys of pairs (keys, i, x, y), normal approximation with tie corrections.
+
+    The error function is its series, which a double holds to nine digits up to 4; beyond that p is below 2e-8.
+    """
+    ties = " ".join(f"t{c} AS (SELECT {keys}, sum(t * (t - 1) * (2 * t + 5)) AS v{c}, sum(t * (t - 1)) AS u{c}, sum(t * (t - 1) * (t - 2)) AS w{c} FROM (SELECT {keys}, {c}, CAST(count(*) AS DOUBLE) AS t FROM {pairs} GROUP BY ALL) GROUP BY ALL)," for c in "xy")
+    return f"""{ties}
+ks AS (SELECT {keys}, CAST(sum(sign(a.x - b.x) * sign(a.y - b.y)) AS DOUBLE) AS s FROM {pairs} a JOIN {pairs} b USING ({keys}) WHERE b.i < a.i GROUP BY ALL),
+kn AS (SELECT {keys}, CAST(count(*) AS DOUBLE) AS m FROM {pairs} GROUP BY ALL),
+kv AS (SELECT {keys}, s, (m * (m - 1) * (2 * m + 5) - vx - vy) / 18 + ux * uy / (2 * m * (m - 1)) + wx * wy / (9 * m * (m - 1) * (m - 2)) AS v FROM kn JOIN ks USING ({keys}) JOIN tx USING ({keys}) JOIN ty USING ({keys})),
+kz AS (SELECT {keys}, abs(s) / sqrt(v) / sqrt(2) AS z FROM kv WHERE v > 0),
+kp AS (SELECT {keys}, CASE WHEN z > 4 THEN 0.0 ELSE 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 90), lambda k: CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END * exp((2 * k + 1) * ln(greatest(z, 1e-12)) - lgamma(k + 1)) / (2 * k + 1))) END AS p FROM kz)"""
+
+
+def chi2_sql(years: int = 60, alpha: float = 0.05) -> str:
+    """x2: the bounds of the dispersion index by the number of years, of which there are at most ``years``."""
+    rows = ", ".join(f"({n}, {extremes.chi2_quantile(alpha / 2, n - 1) / (n - 1)!r}::DOUBLE, {extremes.chi2_quantile(1 - alpha / 2, n - 1) / (n - 1)!r}::DOUBLE)" for n in range(5, years + 1))
+    return f"x2 AS (SELECT * FROM (VALUES {rows}) t(years, lower, upper))"
+
+
+def tests_sql(events: str, wanted: str, keys: str) -> str:
+    """tests: those of the events (keys, date_peak, q) of each row of ``wanted`` (keys, y0, y1)."""
+    return f"""{events}_i AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY date_peak) AS i, lead(q) OVER (PARTITION BY {keys} ORDER BY date_peak) AS y, date_peak - lag(date_peak) OVER (PARTITION BY {keys} ORDER BY date_peak) AS gap FROM {events}),
+{events}_p AS (SELECT {keys}, i, q AS x, y FROM {events}_i WHERE y IS NOT NULL),
+{kendall_sql(f"{events}_p", keys)}, {chi2_sql()},
+cy AS (SELECT {keys}, unnest(range(y0, y1 + 1)) AS year, y1 - y0 + 1 AS years FROM {wanted}),
+cn AS (SELECT {", ".join(f"cy.{k}" for k in keys.split(", "))}, cy.year, any_value(years) AS years, count(e.date_peak) AS n FROM cy LEFT JOIN {events} e ON {" AND ".join(f"e.{k} = cy.{k}" for k in keys.split(", "))} AND year(e.date_peak) = cy.year GROUP BY ALL),
+cd AS (SELECT {keys}, CAST(sum(n) AS BIGINT) AS n, any_value(years) AS years, CASE WHEN any_value(years) >= 5 AND sum(n) > 0 THEN var_samp(n) / avg(n) END AS di FROM cn GROUP BY ALL),
+ca AS (SELECT {keys}, coalesce(min(gap) >= 7, true) AS apart, stddev_samp(q) > 0 AS varied FROM {events}_i GROUP BY ALL),
+ct AS (
+    SELECT cd.*, apart, CASE WHEN n >= 6 AND varied THEN p END AS p, CASE WHEN n >= 6 AND varied THEN coalesce(p >= 0.05, false) ELSE true END AS serial, CASE WHEN di IS NOT NULL THEN lower END AS lower, CASE WHEN di IS NOT NULL THEN upper END AS upper, coalesce(di BETWEEN lower AND upper, false) AS poisson
+    FROM cd LEFT JOIN ca USING ({keys}) LEFT JOIN kp USING ({keys}) LEFT JOIN x2 USING (years)
+),
+tests AS (
+    SELECT {keys}, n AS n_events, CASE WHEN n > 0 THEN n / years END AS lambda_observed, coalesce(apart, false) AS min_separation_ok, p AS kendall_p_value, n > 0 AND serial AS kendall_ok, CASE WHEN n > 0 THEN di END AS dispersion_index, CASE WHEN n > 0 THEN lower END AS poisson_lower, CASE WHEN n > 0 THEN upper END AS poisson_upper, n > 0 AND poisson AS poisson_ok,
+           coalesce(n >= 10 AND apart, false) AS selection_ok, coalesce(n >= 10 AND apart AND serial AND poisson, false) AS hypotheses_ok,
+           CASE WHEN n = 0 THEN '{extremes.POT_MESSAGES[5]}' WHEN n >= 10 AND apart AND serial AND poisson THEN '{extremes.POT_MESSAGES[0]}' WHEN n < 10 THEN '{extremes.POT_MESSAGES[1]}' WHEN NOT apart THEN '{extremes.POT_MESSAGES[2]}' WHEN NOT serial THEN '{extremes.POT_MESSAGES[3]}' ELSE '{extremes.POT_MESSAGES[4]}' END AS message
+    FROM ct
+)"""
+
+
+_TESTED = ", ".join(f"round({c}, 6) AS {c}" if c in ("lambda_observed", "kendall_p_value", "dispersion_index", "poisson_lower", "poisson_upper") else c for c in (f.split()[0] for f in extremes.TEST_FIELDS.split(", ")))
+
+
+@query(
+    f"""WITH {EVENTS}, pk AS (SELECT station_code, arg_min(date, struct_pack(a := -q, b := date)) AS date_peak, max(q) AS q FROM e GROUP BY station_code, event_id), w AS (SELECT station_code, year(lo) AS y0, year(hi) AS y1 FROM span_flow JOIN t USING (station_code)),
+{tests_sql("pk", "w", "station_code")} SELECT station_code, u AS threshold_m3s, {_TESTED} FROM tests JOIN t USING (station_code)"""
+)
 def pot_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid, thresholds = fixed_threshold(spark, sf_dir)
     return extremes.pot_tests(extremes.pot_events(grid, thresholds), grid, thresholds)
@@ -139,7 +186,25 @@ def pot_dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extremes.pot_tests(extremes.pot_events(grid, thresholds), grid, thresholds).select("station_code", "n_events", "lambda_observed", "min_separation_ok", "dispersion_index", "selection_ok")
 
 
-@query()
+@query(
+    f"""WITH {FLOW},
+v AS (SELECT station_code, list(q ORDER BY q) AS v, CAST(count(*) AS BIGINT) AS n FROM grid_flow WHERE q > 0 GROUP BY 1 HAVING count(*) >= 30),
+gp AS (SELECT *, (0.50 + 0.495 * g / 69) * (n + 1.0 / 3) + 1.0 / 3 AS pos FROM v, range(0, 70) r(g)),
+gi AS (SELECT *, least(greatest(CAST(floor(pos + 4e-16) AS BIGINT), 1), n) AS i FROM gp),
+u AS (SELECT DISTINCT station_code, v[i] + least(greatest(pos - i, 0.0), 1.0) * (v[least(i + 1, n)] - v[i]) AS u FROM gi),
+o AS (SELECT g.station_code, u, date, lag(date) OVER (PARTITION BY g.station_code, u ORDER BY date) AS prior FROM grid_flow g JOIN u USING (station_code) WHERE q > 0 AND q > u),
+oc AS (SELECT station_code, u, count(*) FILTER (WHERE prior IS NULL OR date - prior > 7) AS n_events FROM o GROUP BY ALL),
+lt AS (SELECT oc.station_code, CAST(k AS DOUBLE) / 2 + 1 AS lambda_target, u, n_events, n_events >= ceil((CAST(k AS DOUBLE) / 2 + 1) * ((hi - lo + 1) / 365.25)) AS enough FROM oc JOIN span_flow USING (station_code), range(0, 9) r(k)),
+tg AS (SELECT station_code, lambda_target, u FROM lt QUALIFY row_number() OVER (PARTITION BY station_code, lambda_target ORDER BY enough DESC, CASE WHEN enough THEN -u ELSE -n_events END, -u) = 1),
+te AS (SELECT g.station_code, lambda_target, date, q, lag(date) OVER (PARTITION BY g.station_code, lambda_target ORDER BY date) AS prior FROM grid_flow g JOIN tg USING (station_code) WHERE q > 0 AND q > u),
+tn AS (SELECT *, sum(CASE WHEN prior IS NULL OR date - prior > 7 THEN 1 ELSE 0 END) OVER (PARTITION BY station_code, lambda_target ORDER BY date) AS event_id FROM te),
+pk AS (SELECT station_code, lambda_target, arg_min(date, struct_pack(a := -q, b := date)) AS date_peak, max(q) AS q FROM tn GROUP BY station_code, lambda_target, event_id),
+w AS (SELECT station_code, lambda_target, year(lo) AS y0, year(hi) AS y1 FROM tg JOIN span_flow USING (station_code)),
+{tests_sql("pk", "w", "station_code, lambda_target")},
+ra AS (SELECT tests.* EXCLUDE (selection_ok, hypotheses_ok), u AS threshold_m3s, coalesce(lambda_observed >= lambda_target * 0.85, false) AS reached_target_lambda, selection_ok AND coalesce(lambda_observed >= lambda_target * 0.85, false) AS selection_ok, hypotheses_ok AND coalesce(lambda_observed >= lambda_target * 0.85, false) AS hypotheses_ok FROM tests JOIN tg USING (station_code, lambda_target)),
+rb AS (SELECT *, bool_and(selection_ok) OVER (PARTITION BY station_code ORDER BY lambda_target) AS accepted_initial_block FROM ra)
+SELECT station_code, lambda_target, round(threshold_m3s, 6) AS threshold_m3s, {_TESTED}, reached_target_lambda, accepted_initial_block, coalesce(lambda_target = max(lambda_target) FILTER (WHERE accepted_initial_block) OVER (PARTITION BY station_code), false) AS selected FROM rb"""
+)
 def pot_automatic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extremes.automatic_threshold(flow_grid(spark, sf_dir))
 
