@@ -77,6 +77,19 @@ def parse_date(c: Column | str) -> Column:
     return _first_time(_token(c), DATE_FORMATS).cast("date")
 
 
+def parse_dates_alike(df: DataFrame, name: str, ordinal: str) -> DataFrame:
+    """The column as dates, all by one format: the first that fits the first value present, by the ordinal.
+
+    What that format does not fit is null, as are all values if no format fits the first. One row reaches the driver.
+    (``parse_date`` chooses for each value instead.)
+    """
+    text = _token(name)
+    first = F.min_by(text, ordinal)
+    fitting = F.coalesce(*(F.when(F.try_to_timestamp(first, F.lit(f)).isNotNull(), f) for f in DATE_FORMATS))
+    found = df.where(text.isNotNull()).agg(fitting.alias("f")).first()["f"]
+    return df.withColumn(name, F.lit(None).cast("date") if found is None else F.try_to_timestamp(text, F.lit(found)).cast("date"))
+
+
 def parse_datetime(c: Column | str) -> Column:
     """A UTC time, year first or day first, truncated or not."""
     text = F.regexp_replace(F.regexp_replace(_token(c), "T", " "), "Z$", "")

@@ -186,5 +186,22 @@ def preview(df: DataFrame, keys: Sequence[str], row_id: str, most: int, seed: in
     return df.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most).drop("__n")
 
 
+def seeded_sample(df: DataFrame, row_id: str, most: int = 8000, seed: int = 67) -> DataFrame:
+    """At most ``most`` rows of a whole table for a map, the same ones however it is partitioned: those of smallest hash.
+
+    The hash is the first 60 bits of the MD5 of seed and row id, then the id. Rows over a bound that leaves somewhat more
+    than ``most`` of them are dropped where they lie, so that no table is sorted and no task gets more than those; should
+    the bound leave too few, all take part. Null ids come last.
+    """
+    total = df.count()
+    if total <= most:
+        return df
+    part = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(row_id).cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
+    marked = df.withColumn("__h", part)
+    some = marked.where(F.col("__h") < int((1 << 60) * min(1.0, (most + 6 * most**0.5 + 10) / total)))
+    chosen = some if some.count() >= most else marked
+    return chosen.orderBy(F.asc_nulls_last("__h"), row_id).limit(most).drop("__h")
+
+
 def map_group_label(group: Column) -> Column:
     return ladder(group, [(group == MAP_GROUPS[0], "Medições + curvas-chave"), (group == MAP_GROUPS[1], "Somente medições")], "Somente cadastro")

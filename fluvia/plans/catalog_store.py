@@ -9,12 +9,14 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluvia.operators import cleaning, diagnostics, flow, metrics
+from fluvia.functions import columns, tables
+from fluvia.operators import cleaning, diagnostics, display, extremes, flow, metrics
+from fluvia.plans import catalog_more
 from fluvia.plans.bindings import cte, view
-from fluvia.plans.catalog import flow_grid, query
+from fluvia.plans.catalog import ORACLES, flow_grid, query
 from fluvia.plans.catalog_more import CLEAN, stations
 from fluvia.session import scratch_dir, shared_dir
-from fluvia.sources import exports
+from fluvia.sources import exports, sinks
 from fluvia.sources.rest import Response
 from fluvia.sources.store import Store
 from fluvia.streaming import downloads
@@ -149,3 +151,35 @@ def resumable_downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     downloads.plan_downloads(tasks, f"{folder}/plan", files=2)
     downloads.download_stream(spark, f"{folder}/plan", f"{folder}/log", f"{folder}/checkpoint", answer, lanes=4, stop_after=1 << 30).awaitTermination()
     return spark.read.parquet(f"{folder}/log").select("route_name", "station_code", "date_start", "status", "n_attempts", "n_items")
+
+
+@query("WITH r AS (SELECT o_orderkey AS id, o_orderstatus AS status FROM orders) SELECT id, status FROM r ORDER BY substr(md5('67:' || CAST(id AS VARCHAR)), 1, 15), id LIMIT 8000")
+def map_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """8,000 points of the whole table, the same ones however it is partitioned."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    return display.seeded_sample(rows, "id")
+
+
+_MIXED = "CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN {0} ELSE {1} END"
+
+
+@query(
+    f"""WITH d AS (SELECT o_orderkey AS id, {_MIXED.format("'day'", "'year'")} AS kind, CAST(o_orderdate AS DATE) AS d FROM orders), f AS (SELECT arg_min(kind, id) FILTER (WHERE kind IS NOT NULL) AS first FROM d)
+SELECT id, CASE WHEN kind IS NOT NULL THEN d END AS by_value, CASE WHEN kind = first THEN d END AS by_column FROM d, f"""
+)
+def mixed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of two date formats, each parsed by its own, and all by the one that fits the first."""
+    text = F.expr(_MIXED.format("date_format(o_orderdate, 'dd/MM/yyyy')", "date_format(o_orderdate, 'yyyy-MM-dd')"))
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), text.alias("by_column"), text.alias("by_value"))
+    return columns.parse_dates_alike(rows, "by_column", "id").withColumn("by_value", columns.parse_date("by_value"))
+
+
+@query(ORACLES["pot_test"])
+def pot_tests_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tests of peaks by the table function of that name."""
+    tables.register(spark)
+    grid, thresholds = catalog_more.fixed_threshold(spark, sf_dir)
+    span = grid.groupBy("station_code").agg(F.year(F.min("date")).alias("y0"), F.year(F.max("date")).alias("y1"))
+    peaks = thresholds.join(span, "station_code").join(extremes.pot_events(grid, thresholds).select("station_code", "date_peak", "q_peak_m3s"), "station_code", "left")
+    sinks.create_views(spark, {"v_peaks": peaks, "v_thresholds": thresholds})
+    return spark.sql("SELECT p.*, t.threshold_m3s FROM pot_tests(TABLE(SELECT station_code, date_peak, q_peak_m3s, y0, y1 FROM v_peaks) PARTITION BY station_code ORDER BY date_peak) p JOIN v_thresholds t ON t.station_code = p.station_code")

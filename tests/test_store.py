@@ -2,16 +2,20 @@
 
 import csv
 import datetime as dt
+import hashlib
 import io
 import random
+import statistics
 from collections import defaultdict
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from fluvia.operators import cleaning, curves, daily, diagnostics, extremes, flow, metrics, quality_index
+from fluvia.functions import columns, tables
+from fluvia.operators import cleaning, curves, daily, diagnostics, display, extremes, flow, metrics, quality_index
 from fluvia.plans import catalog_extra
 from fluvia.plans.bindings import view
 from fluvia.sources import exports, sinks
@@ -226,3 +230,88 @@ def test_information_score_joins_and_columns_agree(spark):
     want = {r["station_code"]: r["preliminary_information_score"] for r in quality_index.information_score(base, *tables).collect()}
     got = {r["station_code"]: r["preliminary_information_score"] for r in entry.queries()["full_station_index"](spark, SF).collect()}
     assert got == want
+
+
+# samples, dates of one format, table functions
+
+
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_sample_is_the_same_however_dealt(spark, parts):
+    ids = [hashlib.md5(f"67:{i}".encode()).hexdigest()[:15] for i in range(5000)]
+    want = sorted(sorted(range(5000), key=lambda i: (ids[i], i))[:300])
+    df = spark.range(5000).repartition(parts)
+    assert sorted(r["id"] for r in display.seeded_sample(df, "id", 300).collect()) == want
+    assert display.seeded_sample(df, "id", 5000).count() == 5000 and display.seeded_sample(df.limit(0), "id", 3).count() == 0
+    assert "Window" not in display.seeded_sample(df, "id", 300)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dates_of_one_format(spark):
+    rows = [(3, "2001-02-03"), (1, " NA "), (2, "05/02/2001"), (4, "06/02/2001"), (5, None), (6, "31/02/2001")]
+    df = spark.createDataFrame(rows, "i int, d string").repartition(3)
+    assert {r["i"]: r["d"] for r in columns.parse_dates_alike(df, "d", "i").collect()} == {1: None, 2: dt.date(2001, 2, 5), 3: None, 4: dt.date(2001, 2, 6), 5: None, 6: None}
+    assert {r["d"] for r in columns.parse_dates_alike(df.withColumn("d", F.lit("soon")), "d", "i").collect()} == {None}
+    assert columns.parse_dates_alike(df.limit(0), "d", "i").dtypes == [("i", "int"), ("d", "date")]
+
+
+def test_table_functions_by_name(spark):
+    df = spark.createDataFrame([("a", dt.date(2000 + i // 3, 1 + i % 3 * 4, 1), float(i % 5), 2000, 2009) for i in range(30)] + [("b", None, None, 2000, 2009)], "station_code string, date_peak date, q_peak_m3s double, y0 int, y1 int")
+    sinks.create_views(spark, {"some_peaks": df})
+    sql = "SELECT station_code, n_events, message FROM pot_tests(TABLE(SELECT * FROM some_peaks) PARTITION BY station_code)"
+    assert tables.register(spark) == ["pot_tests", "residual_regimes"]
+    assert {r["station_code"]: r["n_events"] for r in spark.sql(sql).collect()} == {"a": 30, "b": 0}
+    tables.register(spark, {"pot_tests": lambda rows: iter([(rows[0]["station_code"], len(rows), *[None] * 10, "mine")])})
+    assert {(r["station_code"], r["n_events"], r["message"]) for r in spark.sql(sql).collect()} == {("a", 30, "mine"), ("b", 1, "mine")}
+    tables.register(spark)
+    with pytest.raises(KeyError):
+        tables.register(spark, {"nothing": lambda rows: iter(())})
+    rng = random.Random(1)
+    days = [(f"s{i % 2}", dt.date(1990, 1, 1) + dt.timedelta(days=40 * i), rng.gauss(0, 0.05) + (0.5 if i > 150 and i % 2 else 0)) for i in range(300)]
+    residuals = spark.createDataFrame(days, "station_code string, measurement_date date, power_log_residual double")
+    sinks.create_views(spark, {"residuals": residuals})
+    got = {tuple(r) for r in spark.sql("SELECT * FROM residual_regimes(TABLE(SELECT * FROM residuals) PARTITION BY station_code ORDER BY measurement_date)").collect()}
+    assert got == {(r["station_code"], r["n_regimes"], r["n_points"], r["regime_evidence_class"]) for r in diagnostics.temporal_regimes(residuals).collect()}
+    assert {g[1] for g in got} == {1, 2}
+
+
+def plain_regimes(days, values, p=diagnostics.DEFAULT):
+    """(breaks, evidence) by trying all single breaks, then all second ones beside the best, with plain sums."""
+
+    def sse(x):
+        m = statistics.median(x)
+        d = sorted(abs(v - m) for v in x)
+        at = 0.9 * (len(d) - 1)
+        cap = d[int(at)] + (at - int(at)) * (d[min(int(at) + 1, len(d) - 1)] - d[int(at)])
+        return sum(min(v, cap if cap > 0 else max(d)) ** 2 for v in d)
+
+    def scored(breaks):
+        edges = sorted(breaks)
+        groups = [[] for _ in range(len(edges) + 1)]
+        for d, v in zip(days, values, strict=True):
+            groups[sum(d > e for e in edges)].append((d, v))
+        medians = [statistics.median(v for _, v in g) for g in groups]
+        return groups, medians, sse(values), sum(sse([v for _, v in g]) for g in groups)
+
+    dates = sorted(set(days))[:-1] if len(set(days)) >= 3 else []
+    if len(dates) > p.max_breaks:
+        dates = [dates[i] for i in sorted({round(1 + k * (len(dates) - 1) / (p.max_breaks - 1)) - 1 for k in range(p.max_breaks)})]
+    return dates, scored
+
+
+def test_regime_candidates_and_groups(spark):
+    """The search's partitions, gains and shifts against plain ones, over all stations of a query's kind."""
+    rng = random.Random(8)
+    for n in (2, 29, 90, 260):
+        days = sorted(rng.randrange(720_000, 730_000) for _ in range(n))
+        values = [rng.gauss(0, 0.1) + (0.4 if d > 725_000 else 0) for d in days]
+        dates, scored = plain_regimes(days, values)
+        found, evidence = diagnostics.find_regimes(np.array(days), np.array(values))
+        best = None
+        for d in dates:
+            groups, medians, whole, parts = scored([d])
+            s = diagnostics.score_breaks(np.array(days), np.array(values), [d], diagnostics.DEFAULT)
+            assert s["smallest"] == min(map(len, groups)) and s["gain"] == pytest.approx(1 - parts / whole) and s["shift"] == pytest.approx(max(medians) - min(medians))
+            if s["accepted"] and (best is None or s["gain"] > best[0]):
+                best = s["gain"], d
+        assert (found["n_regimes"] > 1) == (best is not None)
+        if found["n_regimes"] == 2:
+            assert found["breaks"] == [best[1]] and evidence in ("strong_evidence", "moderate_evidence")
