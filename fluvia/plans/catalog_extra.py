@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -269,22 +270,31 @@ def full_station_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexed_stations(store)
 
 
-def station_summaries(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The stations and their summaries, one row a station each; every table of measurements, curves, sections and requests is read once."""
-    c = materialize(view(spark, sf_dir, "rating_curves"), "curves")  # counted, and swept for overlaps
-    routes = cleaning.route_status(cleaning.window_status(view(spark, sf_dir, "request_log")))
+def station_summaries(spark: SparkSession, sf_dir: str) -> dict[str, Callable[[], DataFrame]]:
+    """What makes the stations and their summaries, one row a station each."""
+
+    def curve_table() -> DataFrame:
+        c = materialize(view(spark, sf_dir, "rating_curves"), "curves")  # counted, and swept for overlaps
+        return quality_index.curve_indices(c, curves.overlap_pairs(c))
+
+    def request_table() -> DataFrame:
+        routes = cleaning.route_status(cleaning.window_status(view(spark, sf_dir, "request_log")))
+        return routes.groupBy("station_code").agg(F.count("*").alias("n_routes"), F.sum("n_attempts").alias("n_attempts"))
+
     return {
-        "stations": stations(spark, sf_dir),
-        "measurements": quality_index.measurement_indices(diagnostics.station_profile(view(spark, sf_dir, "measurements"))),
-        "rating_curves": quality_index.curve_indices(c, curves.overlap_pairs(c)),
-        "cross_sections": quality_index.section_indices(cleaning.section_summary(view(spark, sf_dir, "vertices"))),
-        "requests": routes.groupBy("station_code").agg(F.count("*").alias("n_routes"), F.sum("n_attempts").alias("n_attempts")),
+        "rating_curves": curve_table,
+        "coverage": lambda: cleaning.station_year_summary(view(spark, sf_dir, "measurements")).groupBy("station_code").agg(F.count("*").alias("n_years"), F.max("n_dates").alias("most_dates_in_a_year")),
+        "diagnostics": lambda: diagnostics.light_counts(view(spark, sf_dir, "measurements")),
+        "measurements": lambda: quality_index.measurement_indices(cleaning.measurement_summary(view(spark, sf_dir, "measurements"))),
+        "requests": request_table,
+        "cross_sections": lambda: quality_index.section_indices(cleaning.section_summary(view(spark, sf_dir, "vertices"))),
+        "stations": lambda: stations(spark, sf_dir),
     }
 
 
 def indexed_stations(store: Store, version: int | None = None) -> DataFrame:
     """The station index of a version of stored summaries."""
-    base, *summaries = (store.read(n, version) for n in ("stations", "measurements", "rating_curves", "cross_sections", "requests"))
+    base, *summaries = (store.read(n, version) for n in ("stations", "measurements", "coverage", "diagnostics", "rating_curves", "cross_sections", "requests"))
     counts = ["n_measurements", "n_rating_curves", "n_cross_sections", "n_cross_section_vertices"]
     rows = quality_index.with_scores(quality_index.assemble(base, summaries, hint="merge")).fillna(0, counts)
     has = {n: F.col(c) > 0 for n, c in (("has_measurements", "n_measurements"), ("has_rating_curves", "n_rating_curves"), ("has_cross_sections", "n_cross_sections"), ("has_diagnostics", "n_measurements"))}
