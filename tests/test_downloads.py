@@ -41,7 +41,7 @@ def test_a_killed_run_repeats_no_finished_window(spark, tmp_path):
     inner = recorder(calls)
 
     def dies(route, station, start, end, token):
-        if start.day == 6 and not Path(flag).exists():
+        if Path(calls).exists() and Path(calls).read_text().count("\n") >= 9 and not Path(flag).exists():  # in the third step of four windows each, whichever files come first
             Path(flag).touch()
             raise SystemExit("killed")  # no error that a download handles
         return inner(route, station, start, end, token)
