@@ -57,8 +57,7 @@ def curve_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT pq.station_code, rating_curve_segment_id, point, round(q * exp(mean_r - 1.96 * sd_r), 3) AS discharge_lower, round(q * exp(mean_r + 1.96 * sd_r), 3) AS discharge_upper FROM pq JOIN env USING (rating_curve_segment_id) WHERE env.n >= 5 AND sd_r IS NOT NULL"""
 )
 def envelope_ribbons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = curves.curve_points(view(spark, sf_dir, "rating_curves"))
-    rows = curves.envelope_ribbons(points, matched(spark, sf_dir)[1])
+    rows = curves.envelope_ribbons(view(spark, sf_dir, "rating_curves"), matched(spark, sf_dir)[1])
     # discharges of up to 10^6 m³/s, to the three decimals of the exports: six are more than doubles of two engines share
     return rows.select("station_code", "rating_curve_segment_id", "point", *(F.round(c, 3).alias(c) for c in ("discharge_lower", "discharge_upper")))
 
