@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fluvia.functions.columns import finite, is_finite
 from fluvia.operators.daily import value_stats
+from fluvia.session import spread
 
 MIN_YEARS = 5
 
@@ -128,18 +129,23 @@ def critical_volume(monthly: DataFrame, annual: DataFrame) -> DataFrame:
 def regularization(daily: DataFrame, monthly: DataFrame, annual: DataFrame, demand_pct: Sequence[int] = tuple(range(10, 101))) -> DataFrame:
     """Storage that meets each demand (percent of the mean flow), over the whole series and the driest five years.
 
-    The sequent peak D = max(0, D' + demand - volume) is S - min(0, least S so far), S the running sum of differences;
-    both are windows over a station's months, one pass for all demands.
+    The sequent peak D = max(0, D' + demand - volume) folds a station's months, which the calendar bounds: they are one
+    array, and demands are folds of it, not copies of its rows.
     """
     whole = monthly_volume(monthly).select("station_code", "year", "month", "days_in_period", "volume_hm3", F.lit("Série completa").alias("cenario"))
     dry = critical_volume(monthly, annual).select("station_code", "year", "month", "days_in_period", "volume_hm3", F.lit("5 anos mais secos").alias("cenario"))
     months = whole.unionByName(dry).join(eligible(annual), "station_code", "left_semi").join(mean_flow(daily).where("qmlt > 0"), "station_code")
-    grid = months.select("*", F.explode(F.array(*(F.lit(p) for p in demand_pct))).alias("demand_pct_qmlt"))
+    month = F.struct("year", "month", (F.col("days_in_period") * 86400 / 1e6).alias("full"), "volume_hm3")
+    series = months.groupBy("station_code", "cenario", "qmlt").agg(F.sort_array(F.collect_list(month)).alias("months"))
+    grid = spread(series, "station_code", "cenario").select("*", F.explode(F.array(*(F.lit(p) for p in demand_pct))).alias("demand_pct_qmlt"))
     demand = F.col("qmlt") * F.col("demand_pct_qmlt") / 100
-    w = Window.partitionBy("station_code", "cenario", "demand_pct_qmlt").orderBy("year", "month").rowsBetween(Window.unboundedPreceding, 0)
-    grid = grid.withColumn("s", F.sum(demand * F.col("days_in_period") * 86400 / 1e6 - F.col("volume_hm3")).over(w))
-    grid = grid.withColumn("deficit", F.col("s") - F.least(F.lit(0.0), F.min("s").over(w)))
-    return grid.groupBy("station_code", "cenario", "demand_pct_qmlt").agg(F.first(demand).alias("demand_m3s"), F.max("deficit").alias("regularization_volume_hm3"))
+
+    def fold(acc: Column, m: Column) -> Column:
+        d = F.greatest(F.lit(0.0), acc["d"] + demand * m["full"] - m["volume_hm3"])
+        return F.struct(d.alias("d"), F.greatest(acc["top"], d).alias("top"))
+
+    top = F.aggregate("months", F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("top")), fold, lambda acc: acc["top"])
+    return grid.select("station_code", "cenario", "demand_pct_qmlt", demand.alias("demand_m3s"), top.alias("regularization_volume_hm3"))
 
 
 def rippl(monthly: DataFrame, annual: DataFrame) -> DataFrame:

@@ -78,6 +78,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str, each: int | None = None) -> DataFrame:
+    """Rows dealt evenly over the session's tasks: few bytes, which one task would read, but each with much work to come.
+
+    With ``each``, as many parts as the input has times those bytes (as Catalyst estimates it), so that a task's memory does
+    not grow with the input; as many as there are cores at least, 4,096 at most.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if each is None:
+        return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), cores), *keys)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(min(max(cores, -(-size // each)), 4096), *keys)
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Sends this package to the executors, once for each context, so that their Python workers can import it."""
     context = spark.sparkContext
