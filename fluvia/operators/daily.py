@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluvia.functions.columns import failure_class, finite, is_finite, parse_date, parse_series_number, pick, station_code
+from fluvia.session import spread
 
+#: Bytes of records that one task merges.
+PART = 4 << 20
 UNITS = {"discharge": ("Vazao", "m3/s"), "stage": ("Cota", "cm"), "rainfall": ("Chuva", "mm")}
 
 
@@ -46,23 +49,42 @@ def normalize_month_rows(df: DataFrame, variable: str, source: str = "") -> Data
     )
 
 
+def _precedence(value: str, ordinal: Sequence[str]) -> Column:
+    level = _level()
+    return F.struct(
+        F.when(level == "2", 0).when(level == "1", 1).otherwise(2).alias("p1"), F.col(value).isNull().cast("int").alias("p2"),
+        F.when(F.col("daily_flag") == "1", 0).when(F.col("daily_flag") == "0", 1).otherwise(2).alias("p3"),
+        *(F.col(o).alias(f"k_{o}") for o in ordinal), value, "consistency_level", "daily_flag", "source_status",
+    )
+
+
+def _level() -> Column:
+    return F.coalesce(F.nullif(F.trim("consistency_level"), F.lit("")), F.lit("sem_nivel"))
+
+
 def merge_daily(records: DataFrame, ordinal: Sequence[str]) -> DataFrame:
     """One record for each station, variable and date.
 
     Level 2 goes before 1 before others, then records with a value, then daily flag 1 before 0 before others, then the
-    ordinal. Counts tell how many records there were, the most in one level, and whether a level had several. Both steps
-    aggregate in part before they shuffle; no window sorts all records.
+    ordinal. Counts tell how many records there were, the most in one level, and whether a level had several. Records move
+    once, to their station, and are sorted once, by station, date, variable and level: both steps and what follows by
+    station and date need nothing else.
     """
-    level = F.coalesce(F.nullif(F.trim("consistency_level"), F.lit("")), F.lit("sem_nivel"))
-    order = F.struct(
-        F.when(level == "2", 0).when(level == "1", 1).otherwise(2).alias("p1"), F.col("value").isNull().cast("int").alias("p2"),
-        F.when(F.col("daily_flag") == "1", 0).when(F.col("daily_flag") == "0", 1).otherwise(2).alias("p3"),
-        *(F.col(o).alias(f"k_{o}") for o in ordinal), "value", "consistency_level", "daily_flag", "source_status",
-    )
-    keys = ["station_code", "variable", "date"]
-    levels = records.groupBy(*keys, level.alias("__level")).agg(F.count("*").alias("n"), F.min(order).alias("best"))
+    keys = ["station_code", "date", "variable"]
+    rows = spread(records.select(*keys, "value", "consistency_level", "daily_flag", "source_status", *ordinal), "station_code", each=PART)
+    levels = rows.groupBy(*keys, _level().alias("__level")).agg(F.count("*").alias("n"), F.min(_precedence("value", ordinal)).alias("best"))
     merged = levels.groupBy(*keys).agg(F.min("best").alias("best"), F.sum("n").alias("n_source_records"), F.max("n").alias("max_same_consistency_records"))
-    return merged.select(*keys, "best.value", "best.consistency_level", "best.daily_flag", "best.source_status", "n_source_records", "max_same_consistency_records", (F.col("max_same_consistency_records") > 1).alias("has_duplicate_same_consistency"))
+    return merged.select("station_code", "variable", "date", "best.value", "best.consistency_level", "best.daily_flag", "best.source_status", "n_source_records", "max_same_consistency_records", (F.col("max_same_consistency_records") > 1).alias("has_duplicate_same_consistency"))
+
+
+def merge_values(records: DataFrame, values: Sequence[str], ordinal: Sequence[str]) -> DataFrame:
+    """The merged values of several variables that are columns of the same records: station_code, date and each value.
+
+    Each variable's value is that of its own first record in the order of ``merge_daily``; all in one pass.
+    """
+    rows = spread(records.select("station_code", "date", *values, "consistency_level", "daily_flag", "source_status", *ordinal), "station_code", each=PART)
+    merged = rows.groupBy("station_code", "date").agg(*(F.min(_precedence(v, ordinal)).alias(v) for v in values))
+    return merged.select("station_code", "date", *(F.col(f"{v}.{v}").alias(v) for v in values))
 
 
 def complete_grid(daily: DataFrame) -> DataFrame:
