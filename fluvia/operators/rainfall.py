@@ -56,8 +56,11 @@ def rain_issues(days: DataFrame, very_high_mm: float = 400.0, zero_days: int = 3
     positive = F.when(F.col("is_valid") & (F.col("rainfall_mm") > 0), F.log10("rainfall_mm"))
     fences = days.groupBy("station_code").agg(F.count(positive).alias("__n"), F.percentile(positive, F.array(F.lit(0.25), F.lit(0.75))).alias("__q"))
     fences = fences.select("station_code", F.when(F.col("__n") >= 10, F.col("__q")[1] + 3 * (F.col("__q")[1] - F.col("__q")[0])).alias("__fence"))
-    rows = run_lengths(days, F.when(F.col("is_valid") & (F.col("rainfall_mm") == 0), F.lit(0)), "zero_run")
-    rows = run_lengths(rows, F.when(F.col("is_valid") & (F.col("rainfall_mm") > 0), F.bround("rainfall_mm", 1)), "value_run").join(fences, "station_code", "left")
+    # a day is in a run of zeros or in one of a positive value, so one pass over the days' own columns finds both
+    days = days.select("station_code", "date", "rainfall_mm", "is_observed", "is_valid", "has_duplicate_same_consistency", "status_attention")
+    zero, above = F.col("is_valid") & (F.col("rainfall_mm") == 0), F.col("is_valid") & (F.col("rainfall_mm") > 0)
+    rows = run_lengths(days, F.when(zero, F.lit(-1.0)).when(above, F.bround("rainfall_mm", 1)), "__run")
+    rows = rows.withColumns({"zero_run": F.when(zero, F.col("__run")), "value_run": F.when(above, F.col("__run"))}).drop("__run").join(fences, "station_code", "left")
     rules = (~F.col("is_observed"), F.col("rainfall_mm") < 0, F.col("has_duplicate_same_consistency"), F.col("status_attention"), F.col("is_valid") & (F.col("rainfall_mm") >= very_high_mm), positive > F.col("__fence"), F.col("zero_run") >= zero_days, F.col("value_run") >= repeated_days)
     found = F.array(*(F.when(rule, F.struct(F.lit(code).alias("code"), F.lit(group).alias("issue_group"), F.lit(label).alias("label"))) for rule, (code, group, label) in zip(rules, ISSUES, strict=True)))
     return rows.select("station_code", "date", "rainfall_mm", "zero_run", "value_run", F.inline(F.filter(found, lambda x: x.isNotNull())))
