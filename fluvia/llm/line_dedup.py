@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fluvia.session import materialize
+from fluvia.session import materialize, slices
 
 WHITE = b" \t\n\x0b\x0c\r"
 SEGMENT_BITS = 20
@@ -80,7 +80,7 @@ def twice_filter(docs: DataFrame, id_col: str, text_col: str, min_chars: int, bi
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[int] = []
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 for key in document_keys(text, min_chars):
                     held.extend(bit_positions(key, mask))
@@ -123,7 +123,7 @@ def suspects(docs: DataFrame, id_col: str, text_col: str, min_chars: int, bits:
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.frombuffer(shared.value, dtype=np.uint8)
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[int] = []
             keys: list[bytes] = []
             for i, text in enumerate(batch.column(1).to_pylist()):
@@ -203,7 +203,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     at = docs.columns.index(text_col)
 
     def drop_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             columns = batch.columns[:-1]
             texts: list[str] = []
             before: list[int] = []

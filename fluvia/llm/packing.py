@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from fluvia.llm.bpe import BEYOND, WORD_PATTERN, read_spec, unsettled, vocabulary
-from fluvia.session import materialize
+from fluvia.session import materialize, slices
 
 #: (lengths, most first; how many sequences have them)
 Pattern = tuple[tuple[int, ...], int]
@@ -240,7 +240,7 @@ def pieces(docs: DataFrame, *, keep: list[str], text_col: str = "text", size: in
         encode = encoder(shared.value)
         end = np.array([end_id], dtype="<u4")
         uid = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in slices(batches):
             rows, spans, sums, ids = [], [], [], []
             for i, text in enumerate(batch.column(0).to_pylist()):
                 found = np.concatenate([encode(text or ""), end]).astype("<u4").tobytes()

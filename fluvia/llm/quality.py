@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fluvia.session import slices
+
 THRESHOLD = 0.7
 
 _CLASS = np.zeros(256, dtype=np.uint8)
@@ -159,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     source = docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col).alias("__doc")).join(F.broadcast(chosen), F.expr("__doc = __id"))  # most_rows small rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [features(t).tobytes() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(rows, pa.binary())], names=["id", "label", "x"])
 
@@ -181,7 +183,7 @@ def score(docs: DataFrame, model: Model, *, keep: list[str] | None = None, id_co
     keep = [c for c in (docs.columns if keep is None else keep) if c not in OWN]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = np.array([features(t) for t in batch.column(0).to_pylist()], dtype=np.float32).reshape(-1, WIDTH)
             found = model.score(rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found), pa.array((found >= THRESHOLD).astype(np.int32))], names=[*keep, "__held", "score", "predicted"])

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fluvia.session import materialize
+from fluvia.session import materialize, slices
 
 SEED = 42
 BITS = 64
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, *, text_col: str = "text", keep: list[str], wi
     """The kept columns and ``fp``, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = np.array([fingerprint(shingle_hashes(t, width)) for t in batch.column(0).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found.view(np.int64))], names=[*keep, "fp"])
 
@@ -351,7 +351,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
     are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             norms, views, sizes = [], [], []
             for text in batch.column(2).to_pylist():
                 norms.append(xxhash.xxh3_128_digest(b" ".join((text or "").encode().lower().split())))
@@ -368,7 +368,7 @@ def shingle_sets(docs: DataFrame, some: DataFrame, id_col: str, text_col: str, w
     """(node, shingles): the different shingle hashes of the texts that ``some`` (id, raw, node) names, one row a node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 

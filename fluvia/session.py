@@ -8,10 +8,15 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that a worker takes of a batch at a time.
+SLICE_ROWS = 1000
+
 
 def session(app: str = "fluvia", cores: str | int = "*", **conf: str) -> SparkSession:
     """A local session with the settings that the library expects (UTC, adaptive execution)."""
@@ -92,6 +97,16 @@ def spread(df: DataFrame, *keys: str, each: int | None = None) -> DataFrame:
     return df.repartition(min(max(cores, -(-size // each)), 4096), *keys)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most so many rows, without a copy: what a worker makes of one is small, and goes before the next.
+
+    Spark's batches have up to 10,000 rows, so that texts, their vectors and what comes back would be held for all of them.
+    """
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Sends this package to the executors, once for each context, so that their Python workers can import it."""
     context = spark.sparkContext
