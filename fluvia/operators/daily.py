@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluvia.functions.columns import failure_class, finite, is_finite, parse_date, parse_series_number, pick, station_code
-from fluvia.session import spread
+from fluvia.session import count_parts, spread
 
 #: Bytes of records that one task merges.
 PART = 4 << 20
@@ -77,12 +77,14 @@ def merge_daily(records: DataFrame, ordinal: Sequence[str]) -> DataFrame:
     return merged.select("station_code", "variable", "date", "best.value", "best.consistency_level", "best.daily_flag", "best.source_status", "n_source_records", "max_same_consistency_records", (F.col("max_same_consistency_records") > 1).alias("has_duplicate_same_consistency"))
 
 
-def merge_values(records: DataFrame, values: Sequence[str], ordinal: Sequence[str]) -> DataFrame:
+def merge_values(records: DataFrame, values: Sequence[str], ordinal: Sequence[str], parts: int | None = None) -> DataFrame:
     """The merged values of several variables that are columns of the same records: station_code, date and each value.
 
-    Each variable's value is that of its own first record in the order of ``merge_daily``; all in one pass.
+    Each variable's value is that of its own first record in the order of ``merge_daily``; all in one pass. The stations are
+    dealt over ``parts``, which follow the input by default.
     """
-    rows = spread(records.select("station_code", "date", *values, "consistency_level", "daily_flag", "source_status", *ordinal), "station_code", each=PART)
+    rows = records.select("station_code", "date", *values, "consistency_level", "daily_flag", "source_status", *ordinal)
+    rows = rows.repartition(parts or count_parts(rows, PART), "station_code")
     merged = rows.groupBy("station_code", "date").agg(*(F.min(_precedence(v, ordinal)).alias(v) for v in values))
     return merged.select("station_code", "date", *(F.col(f"{v}.{v}").alias(v) for v in values))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fluvia.functions import columns as C
 from fluvia.operators import cleaning, curves, diagnostics, display, extremes, flow, quality_index
 from fluvia.plans.bindings import cte, view
-from fluvia.plans.catalog import FLOW, ROLLING, flow_grid, hq, merged_sql, query
+from fluvia.plans.catalog import FLOW, ROLLING, flow_grid, matched_days, merged_sql, query
 from fluvia.plans.catalog_more import CLEAN, MATCH, MAXIMA, POWER, SCORES, SUMMARY, WINDOWS, matched, scores, stations
 from fluvia.session import materialize, scratch_dir
 from fluvia.sources import readers, sinks
@@ -174,7 +174,7 @@ iss AS (SELECT station_code, date, CASE WHEN coalesce(abs(err) > 0.25, false) TH
 
 
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = curves.match_daily(hq(spark, sf_dir), view(spark, sf_dir, "rating_curves"))
+    rows = matched_days(spark, sf_dir)
     return rows.where("q_diff_gt_25 or discharge_without_curve").select("station_code", "date", F.when(F.col("q_diff_gt_25"), "Diferença").otherwise("Sem curva").alias("label"))
 
 

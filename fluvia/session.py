@@ -83,18 +83,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def count_parts(df: DataFrame, each: int) -> int:
+    """How many times the input has those bytes (as Catalyst estimates it); as many as there are cores at least, 4,096 at most.
+
+    Of rows that come from no table Catalyst knows no size: those have the session's number of partitions.
+    """
+    spark = df.sparkSession
+    size, cores = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), spark.sparkContext.defaultParallelism
+    return min(max(cores, -(-size // each)), 4096) if size < 1 << 60 else max(int(spark.conf.get("spark.sql.shuffle.partitions")), cores)
+
+
 def spread(df: DataFrame, *keys: str, each: int | None = None) -> DataFrame:
     """Rows dealt evenly over the session's tasks: few bytes, which one task would read, but each with much work to come.
 
-    With ``each``, as many parts as the input has times those bytes (as Catalyst estimates it), so that a task's memory does
-    not grow with the input; as many as there are cores at least, 4,096 at most.
+    With ``each``, over ``count_parts`` of the input, so that a task's memory does not grow with it. Adaptive execution
+    doesn't put these parts together again, as it does with those of a shuffle of its own.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    if each is None:
-        return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), cores), *keys)
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(min(max(cores, -(-size // each)), 4096), *keys)
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), cores) if each is None else count_parts(df, each), *keys)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
