@@ -96,13 +96,17 @@ def rain_regime(monthly: DataFrame) -> DataFrame:
     return monthly.groupBy("station_code", "month").agg(F.count("*").alias("n_years"), F.avg("total_mm").alias("mean_mm"), F.min("total_mm").alias("min_mm"), F.max("total_mm").alias("max_mm"))
 
 
+def _windowed(days: DataFrame, d: int) -> DataFrame:
+    """The days with the rolling window that ends on each: n days, k valid ones, their sum s, whether one asks for care, and its first year h0."""
+    w = Window.partitionBy("station_code").orderBy("date").rowsBetween(-(d - 1), 0)
+    rows = days.withColumn("hydrological_year", hydrological_year("date"))
+    return rows.withColumns({"n": F.count("*").over(w), "k": F.count("rain_valid").over(w), "s": F.sum("rain_valid").over(w), "h0": F.min("hydrological_year").over(w), "care": F.max("status_attention").over(w)})
+
+
 def duration_windows(days: DataFrame, duration_days: int = 1) -> DataFrame:
     """Rolling sums of complete windows that lie within one hydrological year, with start, centre and end."""
     d = duration_days
-    w = Window.partitionBy("station_code").orderBy("date").rowsBetween(-(d - 1), 0)
-    rows = days.withColumn("hydrological_year", hydrological_year("date"))
-    rows = rows.withColumns({"n": F.count("*").over(w), "k": F.count("rain_valid").over(w), "s": F.sum("rain_valid").over(w), "h0": F.min("hydrological_year").over(w), "care": F.max("status_attention").over(w)})
-    rows = rows.where((F.col("n") == d) & (F.col("h0") == F.col("hydrological_year")))
+    rows = _windowed(days, d).where((F.col("n") == d) & (F.col("h0") == F.col("hydrological_year")))
     return rows.select("station_code", "hydrological_year", F.date_sub("date", d - 1).alias("date_start"), F.date_add(F.date_sub("date", d - 1), -(-d // 2) - 1).alias("date_center"), F.col("date").alias("date_end"), (F.col("k") == d).alias("is_complete"), F.when(F.col("k") == d, F.col("s")).alias("p_max_mm"), F.col("care").alias("has_status_attention_window"))
 
 
@@ -124,24 +128,28 @@ MAX_FLAGS = (
 
 def rain_maxima(days: DataFrame, duration_days: int = 1) -> DataFrame:
     """Maxima of hydrological years with eleven flags; fractions refer to the days that the series has."""
-    rows = days.withColumn("hydrological_year", hydrological_year("date"))
-    keys = ["station_code", "hydrological_year"]
-    years = rows.groupBy(*keys).agg(F.min("date").alias("first_date_in_series"), F.max("date").alias("last_date_in_series"), F.count("*").alias("days_expected_in_session"), F.count_if("is_valid").alias("valid_days"), F.count_if(~F.col("is_observed")).alias("missing_days"), F.count_if(F.col("rainfall_mm") < 0).alias("negative_days"), F.count_if("status_attention").alias("status_attention_days"))
-    windows = duration_windows(days, duration_days)
-    counts = windows.groupBy(*keys).agg(F.count("*").alias("n_windows_expected"), F.count("p_max_mm").alias("n_valid_windows"), F.max("p_max_mm").alias("p_max_mm"))
-    at_max = windows.join(counts.select(*keys, F.col("p_max_mm").alias("top")), keys).where("p_max_mm = top").groupBy(*keys).agg(F.count("*").alias("n_tied_max_windows"), F.min(F.struct("date_end", "date_start", "date_center", "has_status_attention_window")).alias("w"))
-    annual = years.join(counts, keys, "left").join(at_max, keys, "left").fillna(0, ["n_windows_expected", "n_valid_windows"])
+    d, keys = duration_days, ["station_code", "hydrological_year"]
+    rows = _windowed(days, d)
+    inside = (F.col("n") == d) & (F.col("h0") == F.col("hydrological_year"))
+    rows = rows.withColumns({"inside": inside, "p": F.when(inside & (F.col("k") == d), F.col("s"))})
+    # days of a year by the sum of their window first, of which the greatest has the ties: the days are read and sorted once
+    sums = rows.groupBy(*keys, "p").agg(F.min("date").alias("d0"), F.max("date").alias("d1"), F.count("*").alias("n"), F.count_if("inside").alias("n_inside"), F.count_if("is_valid").alias("n_valid"), F.count_if(~F.col("is_observed")).alias("n_missing"), F.count_if(F.col("rainfall_mm") < 0).alias("n_negative"), F.count_if("status_attention").alias("n_attention"), F.min(F.when(F.col("care"), F.col("date"))).alias("care_date"))
+    top = F.max(F.when(F.col("p").isNotNull(), F.struct("p", F.col("n").alias("ties"), F.col("d0").alias("date_end"), F.coalesce(F.col("care_date") == F.col("d0"), F.lit(False)).alias("care"))))
+    annual = sums.groupBy(*keys).agg(F.min("d0").alias("first_date_in_series"), F.max("d1").alias("last_date_in_series"), F.sum("n").alias("days_expected_in_session"), F.sum("n_valid").alias("valid_days"), F.sum("n_missing").alias("missing_days"), F.sum("n_negative").alias("negative_days"), F.sum("n_attention").alias("status_attention_days"), F.sum("n_inside").alias("n_windows_expected"), F.sum(F.when(F.col("p").isNotNull(), F.col("n")).otherwise(0)).alias("n_valid_windows"), top.alias("w"))
+    annual = annual.withColumns({"p_max_mm": F.col("w.p"), "n_tied_max_windows": F.col("w.ties")})
     p = F.col("p_max_mm")
     start, end = F.make_date(F.col("hydrological_year") - 1, F.lit(10), F.lit(1)), F.make_date("hydrological_year", F.lit(9), F.lit(30))
     valid_fraction, window_fraction = F.col("valid_days") / F.col("days_expected_in_session"), F.col("n_valid_windows") / F.nullif(F.col("n_windows_expected"), F.lit(0))
     annual = annual.withColumns({
-        "duration_days": F.lit(duration_days), "missing_fraction": F.col("missing_days") / F.col("days_expected_in_session"), "valid_fraction": valid_fraction, "valid_window_fraction": window_fraction, "date_start": F.col("w.date_start"), "date_center": F.col("w.date_center"), "date_end": F.col("w.date_end"),
+        "duration_days": F.lit(duration_days), "missing_fraction": F.col("missing_days") / F.col("days_expected_in_session"), "valid_fraction": valid_fraction, "valid_window_fraction": window_fraction, "date_start": F.date_sub("w.date_end", d - 1), "date_center": F.date_add(F.date_sub("w.date_end", d - 1), -(-d // 2) - 1), "date_end": F.col("w.date_end"),
         "flag_few_valid_days": valid_fraction < 0.80, "flag_partial_hydrological_year": (F.col("first_date_in_series") > start) | (F.col("last_date_in_series") < end), "flag_few_valid_windows": yes(window_fraction < 0.80), "flag_zero_maximum": yes(p <= 0),
-        "flag_negative_values_year": F.col("negative_days") > 0, "flag_status_on_max_window": yes(F.col("w.has_status_attention_window")), "flag_tied_maximum_within_year": yes(F.col("n_tied_max_windows") > 1),
+        "flag_negative_values_year": F.col("negative_days") > 0, "flag_status_on_max_window": yes(F.col("w.care")), "flag_tied_maximum_within_year": yes(F.col("n_tied_max_windows") > 1),
     }).drop("w")
     x = F.when(p > 0, F.log10(p))
-    fences = annual.groupBy("station_code").agg(F.count(x).alias("__n"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("__q")).where("__n >= 4").select("station_code", F.col("__q")[0].alias("__q1"), F.col("__q")[1].alias("__q3"))
-    annual = annual.join(fences, "station_code", "left")
+    # over a window: a join of the years with their fences would make the years, from all days, twice
+    own = Window.partitionBy("station_code")
+    annual = annual.withColumns({"__n": F.count(x).over(own), "__q": F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).over(own)})
+    annual = annual.withColumns({"__q1": F.when(F.col("__n") >= 4, F.col("__q")[0]), "__q3": F.when(F.col("__n") >= 4, F.col("__q")[1])}).drop("__n", "__q")
     span = 3 * (F.col("__q3") - F.col("__q1"))
     key = F.bround(p, 1)
     repeated = F.count("*").over(Window.partitionBy("station_code", key)) > 1
