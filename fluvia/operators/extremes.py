@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluvia.functions.columns import MONTHS_PT, count_flags, finite, hydrological_year, is_finite, labels, ladder, yes
-from fluvia.session import materialize
+from fluvia.operators.daily import PART
+from fluvia.session import count_parts, materialize
 
 DURATIONS = (1, 3, 7, 15, 30)
 RUN_DAYS = 7
@@ -32,8 +33,10 @@ def iqr_flags(df: DataFrame, value: str, keys: Sequence[str], strong: float = 3.
     Quartiles interpolate linearly; fewer than ``least`` values or a range of zero give no signal.
     """
     x = F.when(finite(value) > 0, F.log10(finite(value)))
-    fences = df.groupBy(*keys).agg(F.count(x).alias("__n"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("__q")).select(*keys, "__n", F.col("__q")[0].alias("__q1"), F.col("__q")[1].alias("__q3"))
-    df = df.join(fences, list(keys), "left")
+    # over a window: a join of the rows with their fences would make the rows, and all that they come from, twice
+    own = Window.partitionBy(*keys)
+    df = df.withColumns({"__n": F.count(x).over(own), "__q": F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).over(own)})
+    df = df.withColumns({"__q1": F.col("__q")[0], "__q3": F.col("__q")[1]}).drop("__q")
     iqr = F.col("__q3") - F.col("__q1")
     usable = yes((F.col("__n") >= least) & (iqr > 0)) & x.isNotNull()
     high = ladder(x, [(usable & (x > F.col("__q3") + strong * iqr), "forte"), (usable & (x > F.col("__q3") + 1.5 * iqr), "atenção")], "sem sinal")
@@ -74,12 +77,14 @@ def issues_by_date(issues: DataFrame | None, grid: DataFrame) -> DataFrame:
 def annual_maxima(grid: DataFrame, issues: DataFrame | None = None) -> DataFrame:
     """Maxima of hydrological years with completeness, ties, gaps around the peak, ranks, outliers and flags.
 
-    ``issues`` has station_code, date and label. Neighbouring days come from one window over a station's days.
+    ``issues`` has station_code, date and label. Neighbouring days come from one window over a station's days, which are
+    dealt over parts that follow the input, so that a task's days don't grow with it.
     """
     by_day = Window.partitionBy("station_code").orderBy("date")
     has = is_finite("discharge_m3s")
     hy = hydrological_year("date")
     days = grid.select("station_code", "date", finite("discharge_m3s").alias("q"), has.cast("int").alias("has"), hy.alias("hydrological_year"))
+    days = days.repartition(count_parts(grid, PART), "station_code")
     around = [F.coalesce(F.lag("has", k).over(by_day) if k > 0 else F.lead("has", -k).over(by_day), F.lit(0)) for k in (2, 1, -1, -2)]
     truncated = F.row_number().over(by_day).isin(1, 2) | F.lead("has", 2).over(by_day).isNull()
     year = Window.partitionBy("station_code", "hydrological_year")
