@@ -143,13 +143,22 @@ def answer(route: str, station: str, start: date, end: date, token: str) -> Resp
     return Response(503, message="unavailable") if kind == 0 else Response(200, [] if kind == 1 else [{"station": station, "day": start.isoformat()}] * (kind % 3 + 1))
 
 
+def lanes_for(windows: int, each: int = 25_000) -> int:
+    """Lanes for so many windows, four at least: as many windows a lane whatever the table's size."""
+    return max(4, -(-windows // each))
+
+
 @query()
 def resumable_downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log of a stateful stream that downloads every window of the request log, in two steps, into a new shared folder."""
+    """The log of a stateful stream that downloads every window of the request log, in two steps, into a new shared folder.
+
+    Lanes follow the log: a worker holds one lane's windows of a step.
+    """
     folder = f"{shared_dir(spark)}/downloads-{uuid.uuid4().hex}"
-    tasks = view(spark, sf_dir, "request_log").select("station_code", "route_name", "date_start", F.col("date_start").alias("date_end")).distinct()
+    requests = view(spark, sf_dir, "request_log")
+    tasks = requests.select("station_code", "route_name", "date_start", F.col("date_start").alias("date_end")).distinct()
     downloads.plan_downloads(tasks, f"{folder}/plan", files=2)
-    downloads.download_stream(spark, f"{folder}/plan", f"{folder}/log", f"{folder}/checkpoint", answer, lanes=4, stop_after=1 << 30).awaitTermination()
+    downloads.download_stream(spark, f"{folder}/plan", f"{folder}/log", f"{folder}/checkpoint", answer, lanes=lanes_for(requests.count()), stop_after=1 << 30).awaitTermination()
     return spark.read.parquet(f"{folder}/log").select("route_name", "station_code", "date_start", "status", "n_attempts", "n_items")
 
 
