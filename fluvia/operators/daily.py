@@ -49,13 +49,15 @@ def normalize_month_rows(df: DataFrame, variable: str, source: str = "") -> Data
     )
 
 
+def _ranks() -> tuple[Column, Column]:
+    """The ranks of a record's level and of its daily flag, 0 first."""
+    level, flag = _level(), F.col("daily_flag")
+    return F.when(level == "2", 0).when(level == "1", 1).otherwise(2), F.when(flag == "1", 0).when(flag == "0", 1).otherwise(2)
+
+
 def _precedence(value: str, ordinal: Sequence[str]) -> Column:
-    level = _level()
-    return F.struct(
-        F.when(level == "2", 0).when(level == "1", 1).otherwise(2).alias("p1"), F.col(value).isNull().cast("int").alias("p2"),
-        F.when(F.col("daily_flag") == "1", 0).when(F.col("daily_flag") == "0", 1).otherwise(2).alias("p3"),
-        *(F.col(o).alias(f"k_{o}") for o in ordinal), value, "consistency_level", "daily_flag", "source_status",
-    )
+    by_level, by_flag = _ranks()
+    return F.struct(by_level.alias("p1"), F.col(value).isNull().cast("int").alias("p2"), by_flag.alias("p3"), *(F.col(o).alias(f"k_{o}") for o in ordinal), value, "consistency_level", "daily_flag", "source_status")
 
 
 def _level() -> Column:
@@ -80,23 +82,29 @@ def merge_daily(records: DataFrame, ordinal: Sequence[str]) -> DataFrame:
 def merge_values(records: DataFrame, values: Sequence[str], ordinal: Sequence[str], parts: int | None = None) -> DataFrame:
     """The merged values of several variables that are columns of the same records: station_code, date and each value.
 
-    Each variable's value is that of its own first record in the order of ``merge_daily``; all in one pass. The stations are
-    dealt over ``parts``, which follow the input by default.
+    Each variable's value is that of its own first record in the order of ``merge_daily``; all in one pass. What moves of level
+    and flag are their ranks. The stations are dealt over ``parts``, which follow the input by default.
     """
-    rows = records.select("station_code", "date", *values, "consistency_level", "daily_flag", "source_status", *ordinal)
-    rows = rows.repartition(parts or count_parts(rows, PART), "station_code")
-    merged = rows.groupBy("station_code", "date").agg(*(F.min(_precedence(v, ordinal)).alias(v) for v in values))
+    by_level, by_flag = _ranks()
+    rows = records.select("station_code", "date", *values, by_level.cast("tinyint").alias("p1"), by_flag.cast("tinyint").alias("p3"), *ordinal)
+    rows = rows.repartition(parts or count_parts(records, PART), "station_code")
+    merged = rows.groupBy("station_code", "date").agg(*(F.min(F.struct("p1", F.col(v).isNull().alias("p2"), "p3", *(F.col(o).alias(f"k_{o}") for o in ordinal), v)).alias(v) for v in values))
     return merged.select("station_code", "date", *(F.col(f"{v}.{v}").alias(v) for v in values))
 
 
+def with_until(daily: DataFrame, name: str = "until") -> DataFrame:
+    """Adds the day before the station's next record (the last one's own date); rows without a date are left out. One row a station and day in."""
+    following = F.lead("date").over(Window.partitionBy("station_code").orderBy("date"))
+    return daily.where("date is not null").withColumn(name, F.coalesce(F.date_sub(following, 1), F.col("date")))
+
+
 def complete_grid(daily: DataFrame) -> DataFrame:
     """Every day from a station's first to its last date; days without a record have nulls. One row a station and day in.
 
     Each record is followed by the days up to the station's next one: the table is read and shuffled once, and joined with
     nothing. A station's records are one window, bounded by the calendar. Rows without a date are left out.
     """
-    following = F.lead("date").over(Window.partitionBy("station_code").orderBy("date"))
-    rows = daily.where("date is not null").withColumn("__last", F.coalesce(F.date_sub(following, 1), F.col("date"))).select("*", F.posexplode(F.sequence("date", "__last")).alias("__n", "__day"))
+    rows = with_until(daily, "__last").select("*", F.posexplode(F.sequence("date", "__last")).alias("__n", "__day"))
     own = [F.when(F.col("__n") == 0, F.col(f"`{c}`")).alias(c) for c in daily.columns if c not in ("station_code", "date")]
     return rows.select("station_code", F.col("__day").alias("date"), *own)
 

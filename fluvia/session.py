@@ -93,6 +93,16 @@ def count_parts(df: DataFrame, each: int) -> int:
     return min(max(cores, -(-size // each)), 4096) if size < 1 << 60 else max(int(spark.conf.get("spark.sql.shuffle.partitions")), cores)
 
 
+def unsorted_parts(df: DataFrame, least: int, most: int) -> int:
+    """How many parts of the input's rows to shuffle into: of ``least`` bytes each, but, as long as they stay within ``most``, no
+    more than Spark writes without sorting (``spark.shuffle.sort.bypassMergeThreshold``).
+
+    Beyond that number a task that writes holds the rows of its whole split, and spills them where that is more than its memory.
+    """
+    unsorted = int(df.sparkSession.sparkContext.getConf().get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+    return max(min(count_parts(df, least), unsorted), count_parts(df, most))
+
+
 def spread(df: DataFrame, *keys: str, each: int | None = None) -> DataFrame:
     """Rows dealt evenly over the session's tasks: few bytes, which one task would read, but each with much work to come.
 
