@@ -2,17 +2,20 @@
 
 Each task counts, for every word of its documents, the path of that word and the two after it within a piece: a trie of
 depth three, held as sorted packed paths of word numbers. A full trie is serialised sorted by its words, in chunks cut at
-the bounds of prefix ranges. Each range merges the chunks of all tries in the order of their first paths, so that only
-the chunks that overlap are held, and drops what is complete and rare on the way. A walk over a merged range gives each
-frequent node its left parts, which are its ancestors; the few ancestors that a bound cuts through come as parts of their
-counts from each range and are summed afterwards. Right parts are suffix links: a node's phrase without its first word is
-itself a node, found by a join level by level.
+the bounds of prefix ranges. Each range is one task's, which merges the chunks of all tries in the order of their first
+paths, so that only the chunks that overlap are held. It settles what lies before the next chunk when it holds twice what
+the last time left, so that the work follows the rows however many chunks overlap. Sums of hashes find what is surely
+rare; only the rest is sorted. Frequent nodes get their left parts, which are their ancestors; the few ancestors that a
+bound or a settlement cuts through come as parts of their counts and are summed afterwards. Right parts are suffix links:
+a node's phrase without its first word is itself a node, found by a join level by level.
 """
 
 from __future__ import annotations
 
 import bisect
+import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,133 +31,161 @@ WORD_BITS = 21
 MASK = (1 << WORD_BITS) - 1
 #: No byte of UTF-8; stands for the end of a piece.
 END = b"\xff"
-_TABLE = bytearray(range(256))
-for _c in b".,;:!?\n\x0b\x0c\r":
-    _TABLE[_c] = END[0]
-for _c in range(65, 91):
-    _TABLE[_c] = _c + 32
-_TABLE[9] = 32
-#: Bytes of a text that are split at once; words of a trie's buffer; different paths and words after which a trie is written.
-BLOCK, BUFFER, FULL, VOCABULARY = 1 << 20, 1 << 17, 3 << 19, 1 << 20
-#: Paths of a chunk; rows that a merge gathers before it sums them.
-CHUNK, GATHER = 1 << 14, 1 << 18
+_TABLE = bytes(END[0] if i in b".,;:!?\n\x0b\x0c\r" else 32 if i == 9 else i + 32 if 65 <= i <= 90 else i for i in range(256))
+#: Bytes of a text that are cut off at once; of texts that wait to be split; words of a task's tries, and different ones of a
+#: trie, after which they are written.
+BLOCK, BUFFER, FULL, VOCABULARY = 1 << 20, 1 << 20, 3 << 20, 1 << 20
+#: Paths of a chunk; rows that a merge gathers before it sums them; most bits of the hashes by which it finds what is rare.
+CHUNK, GATHER, HASH_BITS = 1 << 14, 1 << 18, 22
 RANGE_BYTES, MOST_RANGES = 8 << 20, 4096
+#: Parts of a language's phrases that are ranked by themselves.
+SHARES = 64
 
 Path = tuple[bytes, bytes, bytes]
-
-
-class Numbers(dict):
-    """Words by number in the order of their appearance; the end of a piece is 0."""
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        return number
+_STOP = re.compile(b"[ \xff]")
 
 
 def blocks(data: bytes) -> Iterator[bytes]:
-    """The data in blocks of about BLOCK bytes, cut at spaces."""
+    """Translated data in blocks of about BLOCK bytes, cut between words."""
     lo = 0
-    while len(data) - lo > BLOCK:
-        hi = data.find(b" ", lo + BLOCK)
-        if hi < 0:
-            break
-        yield data[lo:hi]
-        lo = hi
+    while len(data) - lo > BLOCK and (stop := _STOP.search(data, lo + BLOCK)):
+        yield data[lo : stop.start()]
+        lo = stop.start()
     yield data[lo:]
 
 
+def split(block: bytes) -> pa.Array:
+    """The words of a block, with END where a piece ends and empty ones where spaces meet."""
+    return pc.split_pattern(pa.array([block.replace(END, b" \xff ")], pa.binary()), b" ").flatten()
+
+
+def listed(words: pa.Array) -> list[bytes]:
+    """Words, none of which holds a line end, as a list (at a tenth of the time that to_pylist takes)."""
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), b"\n")
+    return joined[0].as_py().split(b"\n") if len(words) else []
+
+
 def words_of(text: bytes) -> Iterator[list[bytes]]:
     """The words of a text in lists, with END where a piece ends."""
-    for block in blocks(text.translate(bytes(_TABLE))):
-        yield block.replace(END, b" \xff ").split()
+    for block in blocks(text.translate(_TABLE)):
+        yield [w for w in listed(split(block)) if w]
 
 
 class Trie:
-    """Counts of the paths of three words (shorter ones at the end of a piece) of one language."""
+    """The words of one language's documents, of which ``sorted`` makes the counts of all paths of three words.
+
+    Paths at the end of a piece are shorter. The words are held as numbers, with a dictionary for each block.
+    """
 
     def __init__(self) -> None:
+        self.last: list[bytes] = []
         self.clear()
 
     def clear(self) -> None:
-        self.numbers = Numbers({END: 0})
-        self.held: list[bytes] = []
-        self.new: list[np.ndarray] = []
+        """Begins anew with the last two words, which the next ones may go on."""
+        self.texts: list[bytes] = []
         self.waiting = 0
-        self.paths, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def add(self, words: list[bytes]) -> None:
-        for lo in range(0, len(words), BUFFER):
-            self.held += words[lo : lo + BUFFER]
-            if len(self.held) > BUFFER:
-                self._count()
-
-    def _count(self) -> None:
-        """Turns all words but the last two into paths, which those two may go on."""
-        n = np.fromiter(map(self.numbers.__getitem__, self.held), dtype=np.int64, count=len(self.held))
-        self.held = self.held[-2:]
-        first, second, third = n[:-2], n[1:-1], n[2:]
-        paths = (first << 2 * WORD_BITS) | (second << WORD_BITS) | np.where(second == 0, 0, third)
-        self.new.append(paths[first > 0])
-        self.waiting += len(self.new[-1])
-        if self.waiting > FULL // 3:
-            self.fold()
-
-    def fold(self) -> None:
-        if self.new:
-            paths, counts = np.unique(np.concatenate(self.new), return_counts=True)
-            self.new, self.waiting = [], 0
-            both, weights = np.concatenate([self.paths, paths]), np.concatenate([self.counts, counts])
-            order = np.argsort(both, kind="stable")
-            both, weights = both[order], weights[order]
-            starts = np.flatnonzero(np.diff(both, prepend=-1))
-            self.paths, self.counts = both[starts], np.add.reduceat(weights, starts) if len(starts) else weights
-
-    def full(self) -> bool:
-        return len(self.paths) > FULL or len(self.numbers) > VOCABULARY
+        self.words: list[pa.DictionaryArray] = []
+        self.size = self.different = 0
+        self.add(self.last)
+
+    def put(self, block: bytes) -> None:
+        """Adds translated text."""
+        self.texts.append(block)
+        self.waiting += len(block)
+        if self.waiting > BUFFER:
+            self.close()
+
+    def add(self, words: list[bytes] | pa.Array) -> None:
+        if len(words):
+            self.words.append((words if isinstance(words, pa.Array) else pa.array(words, pa.binary())).dictionary_encode())
+            self.size += len(words)
+            self.different += len(self.words[-1].dictionary)
 
     def close(self) -> None:
-        """Counts what is held; called between documents, whose words end with two ENDs."""
-        if len(self.held) > 2:
-            self._count()
-        self.fold()
+        """Splits what waits."""
+        if self.texts:
+            self.add(split(b"".join(self.texts)))
+            self.texts, self.waiting = [], 0
 
     def sorted(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """(words in order, after the empty one for an end; paths by these words' places, sorted; their counts)."""
-        words = sorted(x for x in self.numbers if x != END)
-        place = np.zeros(len(words) + 1, dtype=np.int64)
-        place[[self.numbers[x] for x in words]] = np.arange(1, len(words) + 1)
-        paths = sum(place[self.paths >> i * WORD_BITS & MASK] << i * WORD_BITS for i in range(DEPTH))
-        order = np.argsort(paths, kind="stable")
-        return [b"", *words], paths[order], self.counts[order]
+        """(words in order, after the empty one for an end; paths by these words' places, sorted; their counts).
+
+        The last two words begin no path yet.
+        """
+        parts = pa.chunked_array(self.words, pa.dictionary(pa.int32(), pa.binary())).unify_dictionaries().chunks
+        words = parts[0].dictionary if parts else pa.array([], pa.binary())
+        order = pc.array_sort_indices(words).to_numpy()
+        names = listed(words.take(pa.array(order)))
+        blank = names[:1] == [b""]
+        place = np.empty(len(names), dtype=np.int64)
+        place[order] = np.arange(len(names)) + (not blank)
+        n = place[np.concatenate([x.indices.to_numpy() for x in parts])] if parts else place
+        if blank:
+            n = n[n > 0]
+        names = [b"", *names[blank:]]
+        if names[-1] == END:
+            n[n == len(names) - 1] = 0
+            names.pop()
+        self.last = [names[i] or END for i in n[-2:].tolist()]
+        first, second, third = n[:-2], n[1:-1], n[2:]
+        paths = ((first << 2 * WORD_BITS) | (second << WORD_BITS) | np.where(second == 0, 0, third))[first > 0]
+        paths.sort()
+        starts = np.flatnonzero(np.diff(paths, prepend=-1))
+        return names, paths[starts], np.diff(starts, append=len(paths))
 
 
-def first_at(words: list[bytes], bound: Path) -> int:
+def first_at(words: list[bytes] | pa.Array, bound: Path) -> int:
     """The least packed path that is not below the bound."""
     packed = 0
+    value = (lambda x: x.as_py()) if isinstance(words, pa.Array) else (lambda x: x)
     for i, word in enumerate(bound):
-        place = bisect.bisect_left(words, word)
+        place = bisect.bisect_left(words, word, key=value)
         packed |= place << (DEPTH - 1 - i) * WORD_BITS
-        if place == len(words) or words[place] != word:
+        if place == len(words) or value(words[place]) != word:
             break
     return packed
 
 
-def pack(words: list[bytes], paths: np.ndarray, counts: np.ndarray) -> bytes:
-    """A chunk with the words it uses."""
-    parts = np.stack([paths >> (DEPTH - 1 - i) * WORD_BITS & MASK for i in range(DEPTH)])
-    used, inverse = np.unique(np.concatenate([[0], parts.ravel()]), return_inverse=True)
-    body = b"\n".join(words[i] for i in used.tolist())
-    head = np.array([len(paths), len(body)], dtype="<u4").tobytes()
-    return zstandard.compress(head + body + inverse[1:].astype("<u4").tobytes() + counts.astype("<u8").tobytes(), 1)
+class Chunk(NamedTuple):
+    """Sorted paths by the places of their words among the words in order; the first word is the empty one for an end."""
+
+    words: pa.Array
+    paths: np.ndarray
+    counts: np.ndarray
+
 
+def _narrow(numbers: np.ndarray) -> np.ndarray:
+    return numbers.astype(np.min_scalar_type(numbers.max(initial=0)))
 
-def unpack(blob: bytes) -> pa.Table:
+
+def pack(words: list[bytes] | pa.Array, paths: np.ndarray, counts: np.ndarray) -> bytes:
+    """A chunk with the words it uses."""
+    words = words if isinstance(words, pa.Array) else pa.array(words, pa.binary())
+    parts = np.stack([paths >> (DEPTH - 1 - i) * WORD_BITS & MASK for i in range(DEPTH)])
+    used = np.zeros(len(words), dtype=bool)
+    used[0] = used[parts] = True
+    found = np.flatnonzero(used)
+    place = np.empty(len(words), dtype=np.int32)
+    place[found] = np.arange(len(found))
+    own = words.take(pa.array(found))
+    numbers = [_narrow(x) for x in (pc.binary_length(own).to_numpy(), place[parts], counts)]
+    head = np.array([len(found), len(paths), *(x.itemsize for x in numbers)], dtype="<u4")
+    text = own.buffers()[2].to_pybytes()[: int(numbers[0].sum(dtype=np.int64))]
+    return zstandard.compress(b"".join([head.tobytes(), *(x.tobytes() for x in numbers), text]), 1)
+
+
+def unpack(blob: bytes) -> Chunk:
     data = zstandard.decompress(blob)
-    n, size = np.frombuffer(data, dtype="<u4", count=2).tolist()
-    words = pa.array(data[8 : 8 + size].split(b"\n"), pa.binary())
-    parts = np.frombuffer(data, dtype="<u4", count=DEPTH * n, offset=8 + size).reshape(DEPTH, n)
-    counts = np.frombuffer(data, dtype="<u8", count=n, offset=8 + size + 4 * DEPTH * n).astype(np.int64)
-    return pa.table([*(words.take(pa.array(p)) for p in parts), pa.array(counts)], names=["w1", "w2", "w3", "f"])
+    m, n, *widths = np.frombuffer(data, dtype="<u4", count=5).tolist()
+    numbers, at = [], 20
+    for size, width in zip((m, DEPTH * n, n), widths, strict=True):
+        numbers.append(np.frombuffer(data, dtype=f"<u{width}", count=size, offset=at))
+        at += size * width
+    ends = np.concatenate([[0], np.cumsum(numbers[0], dtype=np.int32)]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer(ends), pa.py_buffer(data[at:])])
+    first, second, third = numbers[1].reshape(DEPTH, n).astype(np.int64)
+    return Chunk(words, (first << 2 * WORD_BITS) | (second << WORD_BITS) | third, numbers[2].copy())
 
 
 def sample_bounds(docs: DataFrame, ranges: int, seed: int = 7) -> list[tuple[bytes, Path]]:
@@ -187,51 +218,66 @@ def serialised(docs: DataFrame, bounds: list[tuple[bytes, Path]]) -> DataFrame:
 
     def cut(lang: str, trie: Trie) -> Iterator[tuple]:
         words, paths, counts = trie.sorted()
-        name = lang.encode()
+        name, held = lang.encode(), pa.array(words, pa.binary())
         lo, hi = bisect.bisect_left(bounds, (name,)), bisect.bisect_left(bounds, (name + b"\0",))
         edges = np.searchsorted(paths, [first_at(words, b[1]) for b in bounds[lo:hi]]).tolist()
         for i, (start, stop) in enumerate(zip([0, *edges], [*edges, len(paths)], strict=True)):
             for at in range(start, stop, CHUNK):
                 some = slice(at, min(at + CHUNK, stop))
                 head = [words[int(paths[at]) >> (DEPTH - 1 - j) * WORD_BITS & MASK] for j in range(DEPTH)]
-                yield lo + i, lang, *head, pack(words, paths[some], counts[some])
+                yield lo + i, lang, *head, pack(held, paths[some], counts[some])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries: dict[str, Trie] = {}
 
         def write() -> Iterator[pa.RecordBatch]:
+            rows: list[tuple] = []
+            size = 0
             for lang, trie in tries.items():
                 trie.close()
                 for row in cut(lang, trie):
-                    yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, kinds, strict=True)], names=names)
-            tries.clear()
+                    rows.append(row)
+                    size += len(row[-1])
+                    if size > BUFFER:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+                trie.clear()
+            if rows:
+                yield batch_of(rows)
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
         kinds = (pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
         names = ["range", "lang", "w1", "w2", "w3", "chunk"]
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1), strict=True):  # one text after the other
                 trie = tries.setdefault(lang.as_py(), Trie())
-                for words in words_of(text.as_py()):
-                    trie.add(words)
-                trie.add([END, END])
-                if trie.full() or len(tries) > 64 or sum(len(t.paths) for t in tries.values()) > FULL:
+                for block in blocks(text.as_py().translate(_TABLE)):
+                    trie.put(block)
+                    if trie.different > VOCABULARY or sum(t.size for t in tries.values()) > FULL:
+                        yield from write()
+                trie.put(END + END)
+                if len(tries) > 64:
                     yield from write()
+                    tries.clear()
         yield from write()
 
     return docs.mapInArrow(run, "range int, lang string, w1 binary, w2 binary, w3 binary, chunk binary")
 
 
-def _sums(table: pa.Table, by: list[str]) -> pa.Table:
-    return table.group_by(by).aggregate([("f", "sum")]).rename_columns([*by, "f"])
+def _may_be(least: int, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Whether a key may occur ``least`` times or more, by the sums of a hash: what is rare may pass, nothing else is lost."""
+    bits = min(HASH_BITS, len(keys).bit_length() + 1)
+    at = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
+    return (np.bincount(at, weights=counts) >= least)[at]
 
 
-def _below(table: pa.Table, path: tuple[bytes, ...]) -> pa.Array:
-    """Whether each row's first words come before the path."""
-    found = None
-    for i, word in reversed(list(enumerate(path))):
-        column = table.column(i)
-        found = pc.less(column, word) if found is None else pc.or_(pc.less(column, word), pc.and_(pc.equal(column, word), found))
-    return found
+def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order of the keys, where another one begins in it, its sum)."""
+    order = np.argsort(keys)
+    starts = np.flatnonzero(np.diff(keys[order], prepend=-1))
+    return order, starts, np.add.reduceat(counts[order], starts) if len(starts) else counts[:0]
 
 
 class Merge:
@@ -239,64 +285,94 @@ class Merge:
 
     def __init__(self, lang: str, edges: set[tuple], least: int) -> None:
         self.lang, self.edges, self.least = lang, edges, least
-        self.waiting: list[pa.Table] = []
-        self.rows = 0
-        #: Sums of words, of pairs and of frequent triples whose first word may go on.
-        self.nodes: list[pa.Table | None] = [None, None, None]
+        self.waiting: list[Chunk] = []
+        self.rows, self.limit = 0, GATHER
+        #: Nodes through which the last ``settle`` cut.
+        self.cut: set[tuple] = set()
         self.total = 0
 
-    def add(self, table: pa.Table) -> None:
-        self.waiting.append(table)
-        self.rows += len(table)
+    def add(self, chunk: Chunk) -> None:
+        self.waiting.append(chunk)
+        self.rows += len(chunk.paths)
+
+    def full(self) -> bool:
+        """Whether to settle: not before there are twice the rows that the last time left, as each time looks at all chunks."""
+        return self.rows > self.limit
 
     def settle(self, until: Path | None) -> Iterator[pa.RecordBatch]:
-        """Sums all paths before ``until`` (all, if None) and gives the frequent nodes of the words before it."""
-        table = pa.concat_tables(self.waiting)
-        if until is not None:
-            ready = _below(table, until)
-            self.waiting = [table.filter(pc.invert(ready))]
-            table = table.filter(ready)
-        else:
-            self.waiting = []
-        self.rows = sum(map(len, self.waiting))
-        paths = _sums(table, ["w1", "w2", "w3"])
-        self.total += pc.sum(paths["f"]).as_py() or 0
-        pairs = _sums(paths.filter(pc.not_equal(paths["w2"], b"")), ["w1", "w2"])
-        triples = paths.filter(pc.and_(pc.not_equal(paths["w3"], b""), pc.greater_equal(paths["f"], self.least)))
-        for i, new in enumerate((_sums(paths, ["w1"]), pairs, triples)):
-            old = self.nodes[i]
-            self.nodes[i] = new if old is None else _sums(pa.concat_tables([old, new]), [f"w{j + 1}" for j in range(i + 1)]) if i < 2 else pa.concat_tables([old, new])
-        done = self.nodes
-        if until is not None:
-            closed = [_below(t, until[:1]) for t in self.nodes]
-            done = [t.filter(c) for t, c in zip(self.nodes, closed, strict=True)]
-            self.nodes = [t.filter(pc.invert(c)) for t, c in zip(self.nodes, closed, strict=True)]
-            pairs = self.nodes[1]  # complete pairs that are rare go at once, whatever their word becomes
-            stay = pc.or_(pc.greater_equal(pairs["f"], self.least), pc.invert(_below(pairs, until[:2])))
-            for edge in self.edges:
-                if len(edge) == 2:
-                    stay = pc.or_(stay, pc.and_(pc.equal(pairs["w1"], edge[0]), pc.equal(pairs["w2"], edge[1])))
-            self.nodes[1] = pairs.filter(stay)
-        yield from self._walk(*done)
-
-    def _walk(self, words: pa.Table, pairs: pa.Table, triples: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Sums all paths before ``until`` (all, if None) and gives their frequent nodes; ``until`` becomes an edge."""
+        chunks, self.waiting, ready = self.waiting, [], []
+        for words, paths, counts in chunks:
+            stop = len(paths) if until is None else int(np.searchsorted(paths, first_at(words, until)))
+            if stop:
+                ready.append(Chunk(words, paths[:stop], counts[:stop]))
+            if stop < len(paths):
+                self.waiting.append(Chunk(words, paths[stop:], counts[stop:]))
+        self.rows = sum(len(x.paths) for x in self.waiting)
+        self.limit = max(GATHER, 2 * self.rows)
+        new = set() if until is None else {until[:1], until[:2]}
+        edges, self.cut = self.edges | self.cut | new, new
+        if ready:
+            yield from self._count(ready, edges)
+
+    def _count(self, chunks: list[Chunk], edges: set[tuple]) -> Iterator[pa.RecordBatch]:
         """Frequent nodes with their ancestors' counts; a node of an edge comes as a part of its count, whatever it is."""
-        one = {w: f for w, f in zip(words["w1"].to_pylist(), words["f"].to_pylist(), strict=True) if f >= self.least or (w,) in self.edges}
-        two = {(a, b): f for a, b, f in zip(*(c.to_pylist() for c in pairs.columns), strict=True) if f >= self.least or (a, b) in self.edges}
-        rows = [(w, None, None, f, None, None, (w,) in self.edges) for w, f in one.items()]
-        rows += [(a, b, None, f, None if (a,) in self.edges else one[a], None, (a, b) in self.edges) for (a, b), f in two.items()]
-        rows += [(a, b, c, f, None if (a,) in self.edges else one[a], None if (a, b) in self.edges else two[a, b], False) for a, b, c, f in zip(*(x.to_pylist() for x in triples.columns), strict=True)]
-        if rows:
-            yield self._batch(rows)
+        every = pa.concat_arrays([x.words for x in chunks]).dictionary_encode()
+        names, numbers = every.dictionary, every.indices.to_numpy()  # an end is 0, as it is each chunk's first word
+        starts = np.cumsum([0, *(len(x.words) for x in chunks)]).tolist()
+        a, b, c = (np.concatenate([numbers[at:][x.paths >> i * WORD_BITS & MASK] for at, x in zip(starts, chunks, strict=False)]) for i in (2, 1, 0))
+        counts = np.concatenate([x.counts for x in chunks]).astype(np.int64)
+        self.total += int(counts.sum())
+        n, least = len(names), self.least
+        number = dict(zip(words := sorted({w for e in edges for w in e}), pc.index_in(pa.array(words, pa.binary()), names).to_pylist(), strict=True))
+
+        one = np.zeros(n, dtype=np.int64)
+        np.add.at(one, a, counts)
+        cut1 = np.zeros(n, dtype=bool)
+        cut1[[number[e[0]] for e in edges if number[e[0]] is not None]] = True
+        words1 = np.flatnonzero((one >= least) | (cut1 & (one > 0)))
+
+        keys = a.astype(np.int64) * n + b
+        cuts = np.array([number[e[0]] * n + number[e[1]] for e in edges if len(e) == 2 and None not in (number[e[0]], number[e[1]])], dtype=np.int64)
+        rows = np.flatnonzero(b > 0)
+        rows = rows[_may_be(least, keys[rows], counts[rows]) | np.isin(keys[rows], cuts)]
+        order, starts, two = _sums(keys[rows], counts[rows])
+        rows, pair = rows[order], np.repeat(np.arange(len(starts)), np.diff(starts, append=len(rows)))
+        cut2, head = np.isin(keys[rows[starts]], cuts), rows[starts]
+        words2 = np.flatnonzero((two >= least) | cut2)
+
+        some = np.flatnonzero((c[rows] > 0) & (two >= least)[pair])
+        rows, pair = rows[some], pair[some]
+        keys = pair * n + c[rows]
+        some = np.flatnonzero(_may_be(least, keys, counts[rows]))
+        rows, pair = rows[some], pair[some]
+        order, starts, three = _sums(keys[some], counts[rows])
+        words3 = order[starts[three >= least]]
+        three = three[three >= least]
+
+        pairs, triples, of = head[words2], rows[words3], pair[words3]
+        ends1, ends2 = len(words1), len(words1) + len(pairs)
+        size = ends2 + len(triples)
+        if not size:
+            return
+        place = np.arange(size)
+        w1 = np.concatenate([words1, a[pairs], a[triples]])
+        w2 = np.concatenate([np.zeros_like(words1), b[pairs], b[triples]])
+        w3 = np.concatenate([np.zeros(ends2, dtype=np.int64), c[triples]])
+        l2 = np.concatenate([np.zeros(ends2, dtype=np.int64), two[of]])
+        part = np.concatenate([cut1[words1], cut2[words2], np.zeros(len(triples), dtype=bool)])
+        hidden2 = np.concatenate([np.ones(ends2, dtype=bool), cut2[of]])
+        columns = [names.take(pa.array(x, mask=place < end)).cast(pa.string()) for x, end in ((w1, 0), (w2, ends1), (w3, ends2))]
+        f = np.concatenate([one[words1], two[words2], three])
+        columns += [pa.array(f), pa.array(one[w1], mask=(place < ends1) | cut1[w1]), pa.array(l2, mask=hidden2), pa.array(part)]
+        yield self._batch(columns)
 
     def whole(self) -> pa.RecordBatch:
         """The part of the language's words that this range holds."""
-        return self._batch([(None, None, None, self.total, None, None, True)])
+        return self._batch([pa.array([x], kind) for x, kind in zip((None, None, None, self.total, None, None, True), (*[pa.string()] * 3, *[pa.int64()] * 3, pa.bool_()), strict=True)])
 
-    def _batch(self, rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True))
-        texts = [pa.array(c, pa.binary()).cast(pa.string()) for c in columns[:3]]
-        return pa.RecordBatch.from_arrays([pa.array([self.lang] * len(rows)), *texts, *(pa.array(c, pa.int64()) for c in columns[3:6]), pa.array(columns[6], pa.bool_())], names=["lang", "w1", "w2", "w3", "f", "l1", "l2", "part"])
+    def _batch(self, columns: list[pa.Array]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([self.lang] * len(columns[0])), *columns], names=["lang", "w1", "w2", "w3", "f", "l1", "l2", "part"])
 
 
 def merged(chunks: DataFrame, bounds: list[tuple[bytes, Path]], least: int) -> DataFrame:
@@ -314,20 +390,20 @@ def merged(chunks: DataFrame, bounds: list[tuple[bytes, Path]], least: int) -> D
         now: tuple | None = None
         merge: Merge | None = None
         for batch in batches:
-            for at, lang, w1, w2, w3, chunk in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for at, lang, w1, w2, w3, chunk in zip(*(c.to_pylist() for c in batch.columns[:5]), batch.column(5), strict=True):
                 if (at, lang) != now:
                     if merge is not None:
                         yield from merge.settle(None)
                         yield merge.whole()
                     now, merge = (at, lang), Merge(lang, edges_of(at, lang), least)
-                elif merge.rows > GATHER:
+                elif merge.full():
                     yield from merge.settle((w1, w2, w3))
-                merge.add(unpack(chunk))
+                merge.add(unpack(chunk.as_py()))
         if merge is not None:
             yield from merge.settle(None)
             yield merge.whole()
 
-    ordered = chunks.repartition(len(bounds) + 1, "range").sortWithinPartitions("range", "lang", "w1", "w2", "w3")
+    ordered = chunks.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("range", "lang", "w1", "w2", "w3")
     return ordered.mapInArrow(run, "lang string, w1 string, w2 string, w3 string, f bigint, l1 bigint, l2 bigint, part boolean")
 
 
@@ -342,9 +418,9 @@ def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
     for counts below 10^16.
 
     Null text is empty, a null language ``und``; repeated rows count each; other columns are left out, whatever their
-    names; an empty table gives none. A task holds one trie of at most FULL paths or so, texts are split in blocks, and a
-    range's merge holds the chunks that overlap; bounds come from a sample and move no count. At most MOST_RANGES ranges,
-    so at most three times as many nodes are summed from parts.
+    names; an empty table gives none. A task's tries hold FULL words or so, texts are split in blocks, and a range's merge
+    holds the chunks that overlap; bounds come from a sample and move no count. There are at most MOST_RANGES ranges, so few
+    nodes are summed from parts.
     """
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     if ranges is None:
@@ -376,8 +452,10 @@ def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
     kept = twos.join(inside, ["lang", "w1", "w2"], "left").where(F.coalesce(100 * F.col("longer") < share * F.col("f"), F.lit(True)))
     found = kept.select("lang", F.concat_ws(" ", "w1", "w2").alias("phrase"), F.col("f").alias("a"), at(1, "l1", "r").alias("best"))
     found = found.unionByName(threes.select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), F.col("f").alias("a"), F.least(at(1, "l1", "r1"), at(2, "l2", "r2")).alias("best")))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("best.score"), F.desc("a"), "phrase"))
-    best = found.withColumn("rank", rank).where(F.col("rank") <= top)
+    order = [F.desc("best.score"), F.desc("a"), F.col("phrase")]  # first in SHARES parts of a language, of which the last ranking gets ``top`` each
+    near = F.row_number().over(Window.partitionBy("lang", F.pmod(F.hash("phrase"), F.lit(SHARES))).orderBy(*order))
+    best = found.withColumn("near", near).where(F.col("near") <= top).drop("near")
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", F.col("best.l").alias("l"), F.col("best.r").alias("r"), "n", F.col("best.score").alias("score"))
 
 

@@ -237,6 +237,45 @@ def test_collocations_of_nothing(spark):
     assert collocations.collocations(spark.createDataFrame([(None, None)], none.schema)).count() == 0
 
 
+def test_merge_of_overlapping_chunks_follows_their_rows(monkeypatch):
+    """As the chunks of many tries all reach over their range, each of them waits till the end; looking at all of them for each is quadratic."""
+    monkeypatch.setattr(collocations, "GATHER", 40)
+    words = [b"", *(b"w%03d" % i for i in range(200))]
+    rng = np.random.default_rng(1)
+    merge, looked, total, found = collocations.Merge("en", set(), 10), 0, 0, []
+    for i in range(300):
+        places = np.unique(np.r_[1, rng.integers(1, 201, 20), 200])
+        paths = places << 2 * collocations.WORD_BITS | (places[::-1] << collocations.WORD_BITS)
+        if merge.full():
+            looked += merge.rows
+            found += merge.settle((words[1], words[1 + i % 100], b""))
+        merge.add(collocations.unpack(collocations.pack(words, paths, np.full(len(paths), i + 1))))
+        total += len(paths) * (i + 1)
+    rows = merge.rows
+    found += [*merge.settle(None), merge.whole()]
+    assert rows > 5000 and looked < 3 * rows
+    every = _total(found)
+    assert every["en", ()] == total and sum(f for (_, w), f in every.items() if len(w) == 1) == total
+
+
+def test_each_range_is_a_task(spark):
+    """Numbers of ranges dealt by their hash met in some tasks, and left others without one."""
+    rng = np.random.default_rng(3)
+    texts = [(" ".join(f"w{i}" for i in rng.integers(0, 400, 200)),) for _ in range(200)]
+    docs = spark.createDataFrame(texts, "text string").select(F.lit("en").alias("lang"), F.col("text").cast("binary").alias("text"))
+    bounds = collocations.sample_bounds(docs, 24)
+    nodes = collocations.merged(collocations.serialised(docs, bounds), bounds, 10)
+    wholes = nodes.where("w1 is null").groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(bounds) == 23 and [r["count"] for r in wholes] == [1] * 24
+
+
+def test_collocations_of_one_long_text_of_many_words(spark):
+    """A text of more words than a trie can number, which is no place where tries could be written before."""
+    text = "a b " + " ".join(f"{i:x}" + (" a b" if i % 200_000 == 0 else "") for i in range(16, 2_300_000))
+    got = collocations.collocations(spark.createDataFrame([(text, "en")], "text string, lang string"), ranges=3).collect()
+    assert [tuple(r) for r in got] == [("en", 1, "a b", 12, 12, 12, text.count(" ") + 1, 10**6)]
+
+
 # Time partitions
 
 
