@@ -269,8 +269,12 @@ def serialised(docs: DataFrame, bounds: list[tuple[bytes, Path]]) -> DataFrame:
 def _may_be(least: int, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Whether a key may occur ``least`` times or more, by the sums of a hash: what is rare may pass, nothing else is lost."""
     bits = min(HASH_BITS, len(keys).bit_length() + 1)
-    at = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
-    return (np.bincount(at, weights=counts) >= least)[at]
+    at, sums = np.empty(len(keys), dtype=np.int32), np.zeros(1 << bits, dtype=np.int64)
+    for lo in range(0, len(keys), GATHER):  # piece by piece, for the sake of memory
+        some = slice(lo, lo + GATHER)
+        at[some] = keys[some].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)
+        np.add.at(sums, at[some], counts[some])
+    return (sums >= least)[at]
 
 
 def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -308,6 +312,7 @@ class Merge:
                 ready.append(Chunk(words, paths[:stop], counts[:stop]))
             if stop < len(paths):
                 self.waiting.append(Chunk(words, paths[stop:], counts[stop:]))
+        chunks.clear()
         self.rows = sum(len(x.paths) for x in self.waiting)
         self.limit = max(GATHER, 2 * self.rows)
         new = set() if until is None else {until[:1], until[:2]}
@@ -316,12 +321,17 @@ class Merge:
             yield from self._count(ready, edges)
 
     def _count(self, chunks: list[Chunk], edges: set[tuple]) -> Iterator[pa.RecordBatch]:
-        """Frequent nodes with their ancestors' counts; a node of an edge comes as a part of its count, whatever it is."""
+        """Frequent nodes with their ancestors' counts; a node of an edge comes as a part of its count, whatever it is.
+
+        Takes the chunks out of their list.
+        """
         every = pa.concat_arrays([x.words for x in chunks]).dictionary_encode()
         names, numbers = every.dictionary, every.indices.to_numpy()  # an end is 0, as it is each chunk's first word
         starts = np.cumsum([0, *(len(x.words) for x in chunks)]).tolist()
         a, b, c = (np.concatenate([numbers[at:][x.paths >> i * WORD_BITS & MASK] for at, x in zip(starts, chunks, strict=False)]) for i in (2, 1, 0))
         counts = np.concatenate([x.counts for x in chunks]).astype(np.int64)
+        chunks.clear()
+        del every, numbers
         self.total += int(counts.sum())
         n, least = len(names), self.least
         number = dict(zip(words := sorted({w for e in edges for w in e}), pc.index_in(pa.array(words, pa.binary()), names).to_pylist(), strict=True))
@@ -334,8 +344,7 @@ class Merge:
 
         keys = a.astype(np.int64) * n + b
         cuts = np.array([number[e[0]] * n + number[e[1]] for e in edges if len(e) == 2 and None not in (number[e[0]], number[e[1]])], dtype=np.int64)
-        rows = np.flatnonzero(b > 0)
-        rows = rows[_may_be(least, keys[rows], counts[rows]) | np.isin(keys[rows], cuts)]
+        rows = np.flatnonzero((b > 0) & (_may_be(least, keys, counts) | np.isin(keys, cuts)))
         order, starts, two = _sums(keys[rows], counts[rows])
         rows, pair = rows[order], np.repeat(np.arange(len(starts)), np.diff(starts, append=len(rows)))
         cut2, head = np.isin(keys[rows[starts]], cuts), rows[starts]
